@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import winnow
+from . import jaccard, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
+    "op8_jaccard_rtree": jaccard.op8,
 }
 
 ORACLES = {
     "op4_winnowing": winnow.OP4_SQL,
+    "op8_jaccard_rtree": jaccard.OP8_SQL,
 }
