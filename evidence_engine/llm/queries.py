@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, winnow
+from . import jaccard, quality, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
     "op8_jaccard_rtree": jaccard.op8,
+    "op2_rule_ensemble": quality.op2,
 }
 
 ORACLES = {
