@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, quality, tokens, winnow
+from . import jaccard, mixing, quality, tokens, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
     "op8_jaccard_rtree": jaccard.op8,
     "op2_rule_ensemble": quality.op2,
     "op5_token_ids": tokens.op5,
+    "op10_block_mixing": mixing.op10,
 }
 
 ORACLES = {
