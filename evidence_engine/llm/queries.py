@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, quality, tokens, winnow
+from . import jaccard, licences, mixing, quality, tokens, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -10,9 +10,11 @@ QUERIES = {
     "op2_rule_ensemble": quality.op2,
     "op5_token_ids": tokens.op5,
     "op10_block_mixing": mixing.op10,
+    "op7_license_digest": licences.op7,
 }
 
 ORACLES = {
     "op4_winnowing": winnow.OP4_SQL,
     "op8_jaccard_rtree": jaccard.OP8_SQL,
+    "op7_license_digest": licences.OP7_SQL,
 }
