@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, quality, tokens, winnow
+from . import jaccard, licences, mixing, mtree, quality, tokens, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_token_ids": tokens.op5,
     "op10_block_mixing": mixing.op10,
     "op7_license_digest": licences.op7,
+    "op6_mtree": mtree.op6,
 }
 
 ORACLES = {
     "op4_winnowing": winnow.OP4_SQL,
     "op8_jaccard_rtree": jaccard.OP8_SQL,
     "op7_license_digest": licences.OP7_SQL,
+    "op6_mtree": mtree.OP6_SQL,
 }
