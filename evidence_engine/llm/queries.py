@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, mtree, quality, tokens, winnow
+from . import html, jaccard, licences, mixing, mtree, quality, tokens, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_block_mixing": mixing.op10,
     "op7_license_digest": licences.op7,
     "op6_mtree": mtree.op6,
+    "op9_block_lstm": html.op9,
 }
 
 ORACLES = {
