@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, licences, mixing, mtree, quality, tokens, winnow
+from . import html, jaccard, licences, mixing, mtree, quality, tokens, toxicity, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_license_digest": licences.op7,
     "op6_mtree": mtree.op6,
     "op9_block_lstm": html.op9,
+    "op1_bigru": toxicity.op1,
 }
 
 ORACLES = {
