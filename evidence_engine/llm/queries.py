@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, jaccard, licences, mixing, mtree, quality, tokens, toxicity, winnow
+from . import ctw, html, jaccard, licences, mixing, mtree, quality, tokens, toxicity, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_mtree": mtree.op6,
     "op9_block_lstm": html.op9,
     "op1_bigru": toxicity.op1,
+    "op3_context_tree": ctw.op3,
 }
 
 ORACLES = {
