@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Entries of a page; vectors of a block, on average.
-PAGE, BLOCK = 48, 8192
+PAGE, BLOCK = 256, 8192
 #: Slack for rounding of distances, in units of the squared distance.
 SLACK = 1e-6
 
