@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from . import shared as S
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Distinct pieces, and characters of a piece, that a worker remembers at most.
-REMEMBERED, LONGEST = 300_000, 40
+#: Pieces that a worker remembers at most (about 200 bytes each; beyond that the older half goes), and characters of such a piece.
+REMEMBERED, LONGEST = 1_000_000, 40
+#: Bytes of text that are encoded together.
+SLICE = 6 << 20
 
 WRITER = {
     "compression": "zstd",
@@ -44,31 +47,69 @@ WRITER = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 
-PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-WHOLE = re.compile(r"<\|endoftext\|>|[\x1c-\x1f]")
+#: Texts that are one piece: the end token's string, and spaces of which the tokenizer and this module may think differently.
+WHOLE = re.compile("<\\|endoftext\\|>|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class PieceEncoder:
-    """The ids of texts as little-endian 32-bit bytes."""
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_POINT[[0x2C, 0x2E]] = True
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def piece_starts(data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where pieces begin: a word with the one U+0020 before it, else a run of spaces but its last, and that one.
+
+    A comma or full stop that ends a word after an ASCII letter is a piece of its own, as the tokenizer's pattern has it.
+    """
+    start, end, first = S.word_bounds(data, off, S.IS_TOKEN)
+    flags = np.zeros(len(data) + 1, bool)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    flags[end] = True
+    before = start > off[row]
+    flags[start[before] - 1] = True
+    flags[start[~before | (data[start - 1] != 0x20)]] = True
+    flags[end[_POINT[data[end - 1]] & (end - start > 1) & _LETTER[data[np.maximum(end - 2, 0)]]] - 1] = True
+    for i in np.flatnonzero(whole):
+        flags[off[i] : off[i + 1]] = False
+    flags[off[:-1]] = True
+    return np.flatnonzero(flags[: len(data)])
+
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if WHOLE.search(t) else PIECES.findall(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known |= zip(new, self._ids(new))
-        out = [b"".join([known[p] for p in pieces]) if pieces is not None else self._ids([t])[0] for t, pieces in zip(texts, cut)]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+class PieceEncoder(dict):
+    """Token ids of texts; as a dict, those of the pieces met so far as little-endian 32-bit bytes."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def __call__(self, data: np.ndarray, off: np.ndarray, whole: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, each row's closed by the end id, and the rows' counts."""
+        if len(self) > REMEMBERED:
+            newer = list(islice(self.items(), len(self) // 2, None))
+            self.clear()
+            self.update(newer)
+        start = piece_starts(data, off, whole)
+        end = np.append(start[1:], len(data))
+        row = np.searchsorted(off, start, side="right") - 1
+        _, at, place = np.unique(S.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        known = [self[raw[a:b]] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        size = np.array([len(x) for x in known], np.int64) // 4
+        flat = np.frombuffer(b"".join(known), "<u4").astype(np.int32)
+        source, size = (np.cumsum(size) - size)[place], size[place]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = flat[np.arange(total) + np.repeat(source - (upto - size), size)]
+        counts = np.bincount(row, weights=size, minlength=len(off) - 1).astype(np.int64)
+        out = np.full(total + len(counts), end_id, np.int32)
+        out[np.arange(total) + np.repeat(np.arange(len(counts)), counts)] = ids
+        return out, counts + 1
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -97,17 +138,17 @@ def vocabulary(path: str | None = None) -> str:
 def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, options: dict | None = None) -> None:
     """Writes (doc_id, n_tokens, tokens) in ascending doc_id order."""
     spark = docs.sparkSession
-    S.arrow_batches(spark, rows=500)
+    S.arrow_batches(spark)
     model = spark.sparkContext.broadcast(vocabulary(tokenizer_path))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model.value)
         for batch in batches:
-            ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), S.lists(values, counts)], names=["doc_id", "n_tokens", "tokens"])
+            text = batch.column(1)
+            whole = np.array([WHOLE.search(t or "") is not None for t in text.to_pylist()], bool)
+            for a, b, part, off in S.slices(*S.flat(text), SLICE):
+                ids, counts = encode(part, off, whole[a:b], end_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), S.lists(pa.array(ids), counts)], names=["doc_id", "n_tokens", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
