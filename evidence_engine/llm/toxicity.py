@@ -62,6 +62,24 @@ class Words:
         self.bytes = held[start[at][:, None] + cols[None, :]] if len(at) else np.zeros((0, 1), np.uint8)
 
 
+class Lexicon:
+    """The distinct words of all texts, and in how many texts with and without the label each stands."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, y: np.ndarray):
+        parts = []
+        for a, _, part, o in S.slices(data, off, SLICE):
+            w = Words(part, o)
+            n = max(len(w.hash), 1)
+            pair = np.unique(np.repeat(np.arange(len(o) - 1), np.diff(w.first)) * n + w.place)
+            labelled = y[a + pair // n] > 0
+            counts = [np.bincount(pair[labelled == yes] % n, minlength=len(w.hash)) for yes in (True, False)]
+            parts.append((w.hash, *counts, np.pad(w.bytes, ((0, 0), (0, LONGEST - w.bytes.shape[1]))), w.length))
+        hashes, with_, without, codes, length = (np.concatenate(x) for x in zip(*parts))
+        self.hash, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        self.bytes, self.length = codes[at], length[at]
+        self.with_label, self.without = (np.bincount(place, weights=c, minlength=len(at)) for c in (with_, without))
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first place and length of every window; rows without words have one empty window."""
     n = np.diff(first)
@@ -196,7 +214,9 @@ class Network:
 
 
 def _softmax(s: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    e = np.exp(s - np.max(np.where(mask > 0, s, -1e9), axis=0, keepdims=True).clip(-1e8)) * mask
+    s = np.where(mask > 0, s, -np.inf)
+    top = s.max(axis=0, keepdims=True)
+    e = np.exp(s - np.where(np.isfinite(top), top, 0))
     return e / np.maximum(e.sum(axis=0, keepdims=True), 1e-9)
 
 
@@ -224,16 +244,14 @@ def trained(texts: list[str], y: np.ndarray, epochs: int = 5, seed: int = 3) ->
     raw = [t.encode("utf-8", "replace") for t in texts]
     off = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    w = Words(data, off)
-    row_of = np.repeat(np.arange(len(y)), np.diff(w.first))
-    pair = np.unique(row_of.astype(np.int64) * len(w.hash) + w.place)
-    with_, without = (np.bincount(pair[(y[pair // len(w.hash)] > 0) == yes] % len(w.hash), minlength=len(w.hash)) for yes in (True, False))
-    odds = np.log((with_ + 0.5) / (y.sum() + 1)) - np.log((without + 0.5) / (len(y) - y.sum() + 1))
-    enough = with_ + without >= 4
+    w = Lexicon(data, off, y)
+    odds = np.log((w.with_label + 0.5) / (y.sum() + 1)) - np.log((w.without + 0.5) / (len(y) - y.sum() + 1))
+    texts_with = w.with_label + w.without
+    enough = texts_with >= 4
     slot = (w.hash % np.uint64(ODDS)).astype(np.int64)
     best = np.zeros(ODDS)
-    np.add.at(best, slot, with_ + without)  # a slot that several words share goes by the common ones
-    share = enough & (with_ + without > 0.5 * best[slot])
+    np.add.at(best, slot, texts_with)  # a slot that several words share goes by the common ones
+    share = enough & (texts_with > 0.5 * best[slot])
     model.odds[slot[share]] = np.clip(odds[share] / 4, -1, 1.5)
     _learn_characters(model, w, np.flatnonzero(enough), odds, rng)
     _learn_windows(model, data, off, y, epochs, rng)
@@ -242,7 +260,7 @@ def trained(texts: list[str], y: np.ndarray, epochs: int = 5, seed: int = 3) ->
     return model
 
 
-def _learn_characters(model: Network, w: Words, at: np.ndarray, odds: np.ndarray, rng: np.random.Generator, steps: int = 500) -> None:
+def _learn_characters(model: Network, w: Lexicon, at: np.ndarray, odds: np.ndarray, rng: np.random.Generator, steps: int = 500) -> None:
     """The character layers, on whether a word's log-odds are high."""
     y = (odds[at] > 1.5).astype(N.F4)
     high, low = at[y > 0], at[y == 0]
