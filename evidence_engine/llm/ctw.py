@@ -130,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Group:
-    """The trees below one pair of nearest context bytes: depths 2 to DEPTH."""
+    """The trees below some pairs of nearest context bytes, each with all its grams: depths 2 to DEPTH."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
@@ -140,7 +140,7 @@ class Group:
             k, at = np.unique(levels[d + 1][0] & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
             levels[d] = (k, np.bincount(at, weights=levels[d + 1][1], minlength=len(k)))
         self.p = np.zeros((len(keys), 8))  # of each gram's decisions, depths 2 and below mixed
-        self.nodes: list[tuple[int, float, float, float]] = []  # prefix, zeros, ones, log weighted probability at depth 2
+        nodes = []  # of depth 2: nearest byte, prefix, zeros, ones, log weighted probability
         x = (self.keys & np.uint64(255)).astype(np.int64)
         for l in range(8):
             below, shift = None, np.uint64(8 - l)
@@ -166,33 +166,35 @@ class Group:
                 p = q if p is None else own[at] * q + (1 - own[at]) * p
             self.p[:, l] = p
             node, a, b, _ = mixed[-1]
-            prefix = (1 << l) | (node & np.uint64((1 << l) - 1)).astype(np.int64) if l else np.ones(len(node), np.int64)
-            self.nodes += zip(prefix.tolist(), a.tolist(), b.tolist(), below[1].tolist())
+            prefix = (1 << l) | (node & np.uint64((1 << l) - 1)).astype(np.int64)
+            nodes.append(((node >> np.uint64(l)).astype(np.int64) & 255, prefix, a, b, below[1]))
+        self.nodes = [np.concatenate(x) for x in zip(*nodes)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Group]]:
-    """Groups of (near, key, n) rows that come sorted by near."""
-    last, keys, counts = None, [], []
+def _groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 18) -> Iterator[Group]:
+    """Groups of (near, key, n) rows that come sorted by near: whole pairs of nearest bytes, together until there are enough grams."""
+    last, held, keys, counts = None, 0, [], []
     for batch in batches:
         near, key, n = (batch.column(c).to_numpy() for c in ("near", "key", "n"))
         cut = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(near)]
         for a, b in zip(cut[:-1], cut[1:]):
             if a == b:
                 continue
-            if last is not None and near[a] != last:
-                yield last, Group(np.concatenate(keys), np.concatenate(counts))
-                keys, counts = [], []
+            if last is not None and near[a] != last and held >= enough:
+                yield Group(np.concatenate(keys), np.concatenate(counts))
+                held, keys, counts = 0, [], []
             last = int(near[a])
+            held += b - a
             keys.append(key[a:b].view(np.uint64))
             counts.append(n[a:b])
-    if last is not None:
-        yield last, Group(np.concatenate(keys), np.concatenate(counts))
+    if keys:
+        yield Group(np.concatenate(keys), np.concatenate(counts))
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for near, group in _groups(batches):
-        prefix, a, b, w = zip(*group.nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), near & 255, np.int32)), pa.array(prefix, pa.int32()), pa.array(a), pa.array(b), pa.array(w)], names=["c1", "prefix", "a", "b", "w"])
+    for group in _groups(batches):
+        c1, prefix, a, b, w = group.nodes
+        yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int32()), pa.array(prefix, pa.int32()), pa.array(a), pa.array(b), pa.array(w)], names=["c1", "prefix", "a", "b", "w"])
 
 
 def top_nodes(rows: list) -> dict[str, np.ndarray]:
@@ -222,7 +224,7 @@ def gram_logs(group: Group, top: dict[str, np.ndarray]) -> np.ndarray:
 
 def _models(top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches):
+        for group in _groups(batches):
             yield pa.RecordBatch.from_arrays([pa.array(S.signed(group.keys)), pa.array(gram_logs(group, top.value))], names=["key", "value"])
 
     return run
