@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Words of a block; rows of a bucket in which running positions are summed; words of an output shard.
-BLOCK_WORDS, BUCKET_ROWS, SHARD_WORDS = 64, 50_000, 1 << 22
+BLOCK_WORDS, BUCKET_ROWS, SHARD_WORDS = 64, 5_000, 1 << 22
 WEIGHTS, MOST = (5, 2, 1), 3
 SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -136,15 +136,15 @@ def mixed(docs: DataFrame, *, text_col: str = "text", source_col: str = "source"
 
 
 def takes(spans: DataFrame, slots: DataFrame) -> DataFrame:
-    """The spans that are taken, and how many times."""
-    return spans.join(slots.groupBy("skey", "block").agg(F.count("*").alias("times")), ["skey", "block"])
+    """The spans that are taken, and how many times. Both sides grow with the texts: neither is broadcast, however well it compresses."""
+    return spans.hint("merge").join(slots.groupBy("skey", "block").agg(F.count("*").alias("times")), ["skey", "block"])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     placed, spans, slots = mixed(docs)
     taken = takes(spans, slots).groupBy("skey", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    hit = placed.where("size > 0").join(taken, ["skey", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    hit = placed.where("size > 0").hint("merge").join(taken.hint("merge"), ["skey", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
     return hit.union(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
 
 
@@ -188,7 +188,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A pass that takes all words keeps the text as it is. Documents without words have nothing to take.
     """
     placed, spans, slots = mixed(docs)
-    own = takes(spans, slots).join(placed.select("skey", "start", "size", "row_hash").where("size > 0").drop("size"), ["skey", "start"])
+    own = takes(spans, slots).join(placed.select("skey", "start", "size", "row_hash").where("size > 0").drop("size").hint("merge"), ["skey", "start"])
     per_row = own.groupBy("row_hash").agg(F.collect_list(F.struct("start", "lo", "hi", "times")).alias("__spans"))
     keyed = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["row_hash"])
     joined = keyed.join(per_row, "row_hash").select(*docs.columns, "__spans")
