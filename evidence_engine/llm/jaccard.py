@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-#: Coordinates of a count vector.
-GROUPS = 64
+#: Coordinates of a count vector: enough that the minima of unlike sets of some thousand shingles stay below what links need.
+GROUPS = 256
 #: Points of an R-tree leaf, children of an inner node.
 FANOUT = 32
 #: Members of a block that one R-tree holds.
@@ -269,9 +269,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, perce
             yield pa.RecordBatch.from_arrays([t.column("a").take(at), t.column("b").take(at)], names=["a", "b"])
 
     near = S.settled(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(bounded, "a bigint, b bigint").distinct(), "jaccard-near")
-    needed = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    own = S.settled(texts.join(needed, "id", "left_semi"), "jaccard-texts")
-    full = near.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+    full = near.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     return S.settled(full.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a bigint, b bigint").distinct(), "jaccard-links")
 
 
@@ -302,14 +300,30 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sigs = S.settled(source.mapInArrow(_signatures(k, percent), "id bigint, n bigint, d1 bigint, d2 bigint, vec binary, keys array<bigint>"), "jaccard-signatures")
     named = sigs.where("id is not null and n > 0")
     classes = S.settled(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("id")), "jaccard-classes")
-    reps = named.join(classes.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"])
-    local = S.settled(reps.select("id", "keys").where(F.size("keys") > 0).mapInArrow(_local_hubs, "key bigint, id bigint, hub bigint"), "jaccard-local")
+    reps = S.settled(named.join(classes.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "vec", "keys"), "jaccard-reps")
+    slim = S.settled(sigs.select("id", "n", "d1", "d2"), "jaccard-rows")
+    del named
+    S.discard(spark, sigs)
+    local = reps.select("id", "keys").where(F.size("keys") > 0).mapInArrow(_local_hubs, "key bigint, id bigint, hub bigint")
     runs = local.where("hub is null").select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_run_hubs, "key bigint, id bigint, hub bigint")
     members = S.settled(runs.union(local.where("hub is not null").select("key", "id", "hub")), "jaccard-members")
-    vectors = reps.select("id", "n", "vec")
-    star = S.settled(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-star")
-    links = _verified(star, vectors, source, k, percent)
+    vectors = S.settled(reps.select("id", "n", "vec").distinct(), "jaccard-vectors")
+    del local, runs
+    S.discard(spark, reps)  # the keys, the bulk of what is kept
+    star = S.settled(members.groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared")), "jaccard-star")
+    # The texts of all sets that share a block with another: the pairs of every later step are among these.
+    texts = S.settled(source.join(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct(), "id", "left_semi"), "jaccard-texts")
+    S.discard(spark)
+    # Most sets link with the one they share most blocks with; the other pairs matter only where that leaves two components.
+    nearest = star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("m")))["m"].alias("m")).select((-F.col("m")).alias("a"), "b")
+    links = _verified(nearest, vectors, texts, k, percent)
     comp = components(links)
+    S.discard(spark)
+    side = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+    apart = star.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+    links = S.settled(links.union(_verified(apart.select("a", "b"), vectors, texts, k, percent)), "jaccard-links")
+    comp = components(links)
+    S.discard(spark)
     # Blocks whose members are not yet of one component.
     inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).distinct().join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     inside = S.settled(inside, "jaccard-blocks")
@@ -318,12 +332,12 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     blocked = inside.join(split, "key").join(vectors, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     blocked = blocked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", (F.col("part") == F.col("own")).alias("point"), "id", "comp", "n", "vec")
     more = blocked.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
-    more = S.settled(more.join(star, ["a", "b"], "left_anti"), "jaccard-more")
+    more = S.settled(more.join(star.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
-        links = S.settled(links.union(_verified(more, vectors, source, k, percent)), "jaccard-links")
+        links = S.settled(links.union(_verified(more, vectors, texts, k, percent)), "jaccard-links")
         comp = components(links)
     of_class = classes.join(comp, "id", "left").select("n", "d1", "d2", F.coalesce("comp", "id").alias("comp"))
-    rows = sigs.select("id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
+    rows = slim.join(of_class, ["n", "d1", "d2"], "left")
     return rows.select("id", "n", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("comp", "id")).alias("comp")), links
 
 

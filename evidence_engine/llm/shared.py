@@ -6,6 +6,7 @@ that setting is unset (tests) a folder of the local machine stands in.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,7 +53,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a written table in the shared folder: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more, and lets Spark drop the shuffle files of finished steps."""
+    for path in {t._scratch_path for t in tables}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 32) -> None:
@@ -124,14 +136,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], from one running polynomial sum."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], from running polynomial sums over about ``span`` bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + span, side="right")))
+        lo, hi = start[i], end[j - 1]
+        up, down = powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
