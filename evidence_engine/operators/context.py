@@ -12,7 +12,8 @@ from .relational import keep_one
 def cited_documents(rows: DataFrame, docs: DataFrame, *, key: str, cited: str, doc: str, most: int = 2) -> DataFrame:
     """(key, n_docs, docs): the first cited documents that exist, in citation order. Of repeated ids the first document counts."""
     asked = rows.select(key, F.posexplode(pipe_values(F.col(cited), most)).alias("pos", "doc"))
-    own = keep_one(docs, [doc], [c for c in docs.columns if c != doc] or [doc]).withColumnRenamed(doc, "doc")
+    cited_only = docs.join(asked.select(F.col("doc").alias(doc)).distinct(), doc, "left_semi")
+    own = keep_one(cited_only, [doc], [c for c in docs.columns if c != doc] or [doc]).withColumnRenamed(doc, "doc")
     found = asked.join(own, "doc").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "doc", *[c for c in own.columns if c != "doc"]))).alias("docs"))
     return rows.select(key).join(found, key, "left").select(key, F.coalesce(F.size("docs"), F.lit(0)).alias("n_docs"), "docs")
 

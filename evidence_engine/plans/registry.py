@@ -365,6 +365,12 @@ def context_block(s, d):
     return retrieve.context_blocks(_ranked(s, d), T(s, d, "documents").withColumn("text", F.substring("text", 1, 20)), "doc_id", "text")
 
 
+@query(_SCORES + "SELECT qid, string_agg('[' || doc || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc = doc_id WHERE rank <= 3 GROUP BY qid")
+def context_block_whole(s, d):
+    """context_block with the whole texts."""
+    return retrieve.context_blocks(_ranked(s, d), T(s, d, "documents"), "doc_id", "text")
+
+
 # Metrics and failures
 
 
@@ -555,6 +561,30 @@ def contextual_input(s, d):
     return context.contextual(rows.withColumn("sft_bucket", F.lit("x")), found, key="source_row_index", content="content").select("source_row_index", "input")
 
 
+_ALL_DOCS = "docs AS (SELECT 'D' || CAST(doc_id AS STRING) AS doc, text AS content FROM documents)"
+_ALL_CITED = f"""{PRED}, {_ALL_DOCS}, k AS (SELECT source_row_index, list_filter(list_transform(string_split(cited_doc_ids, '|'), lambda x: trim(x)), lambda x: x <> '')[:2] AS ids FROM pred WHERE role = 'user'),
+f AS (SELECT source_row_index, p AS pos, ids[p] AS doc, content FROM k, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS p) JOIN docs ON docs.doc = ids[p])"""
+
+
+def _all_cited(s, d):
+    rows = P(s, d).where("role = 'user'")
+    docs = T(s, d, "documents").select(F.concat(F.lit("D"), c("doc_id").cast("string")).alias("doc"), c("text").alias("content"))
+    return rows, context.cited_documents(rows, docs, key="source_row_index", cited="cited_doc_ids", doc="doc")
+
+
+@query(_ALL_CITED + " SELECT k.source_row_index, CAST(count(doc) AS INTEGER) AS n_docs, coalesce(string_agg(doc, ',' ORDER BY pos), '') AS docs FROM k LEFT JOIN f USING (source_row_index) GROUP BY 1")
+def context_docs_whole(s, d):
+    """context_docs over all documents."""
+    return _all_cited(s, d)[1].select("source_row_index", "n_docs", F.coalesce(F.array_join(c("docs.doc"), ","), F.lit("")).alias("docs"))
+
+
+@query()
+def contextual_input_whole(s, d):
+    """contextual_input over all documents and whole texts."""
+    rows, found = _all_cited(s, d)
+    return context.contextual(rows.withColumn("sft_bucket", F.lit("x")), found, key="source_row_index", content="content").select("source_row_index", "input")
+
+
 _SUBJ = "CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '(' || format('{:,.2f}', area) || '㎡)' ELSE name END"
 _QA = [("location", "' 위치 알려줘'", "subject || '은 ' || sido || ' ' || sigungu || ' ' || dong || '에 있습니다.'"), ("location", "'는 어느 지역에 있어'", "subject || '은 ' || sigungu || '에 있습니다.'"), ("price", "' 분양가 알려줘'", "subject || ' 공급액은 ' || format('{:,}', CAST(price AS BIGINT)) || '만원입니다.'"), ("fact", "' 세대수 알려줘'", "subject || '은 ' || format('{:,}', households) || '세대입니다.'"), ("fact", "' 전용면적 알려줘'", "subject || ' 전용면적은 ' || format('{:,.2f}', area) || '㎡입니다.'"), ("fact", "' 면적대 알려줘'", "subject || '은 ' || band || '입니다.'"), ("fact", "' 입주연도 알려줘'", "subject || '은 ' || year || '년 입주입니다.'"), ("transport", "' 지하철 거리 알려줘'", "subject || '에서 역까지 약 ' || format('{:,}', CAST(distance AS BIGINT)) || 'm입니다.'")]
 
