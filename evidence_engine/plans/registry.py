@@ -515,6 +515,19 @@ def sanitize_outputs(s, d):
     return gates.sanitized(pred, src).select("source_row_index", "written")
 
 
+@query("""WITH src AS (SELECT p_partkey AS source_row_index, p_name || CAST(p_partkey % 40 AS STRING) AS question FROM part),
+  pr AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN -p_partkey WHEN p_partkey % 5 = 2 THEN p_partkey - 1 ELSE p_partkey END AS i, p_name || CAST(p_partkey % 40 AS STRING) AS question, p_partkey AS written FROM part),
+  u AS (SELECT question, min(source_row_index) AS f FROM src GROUP BY question HAVING count(*) = 1), fl AS (SELECT coalesce(i, f) AS source_row_index, written FROM pr LEFT JOIN u USING (question))
+  SELECT source_row_index, max(written) AS written FROM fl WHERE source_row_index IN (SELECT source_row_index FROM src) GROUP BY 1""")
+def sanitize_outputs_whole(s, d):
+    """sanitize_outputs over all parts: every third index missing, every seventh-and-one stale, every fifth-and-two its neighbour's."""
+    key = c("p_partkey")
+    rows = T(s, d, "part").select(key, F.concat("p_name", (key % 40).cast("string")).alias("question"))
+    index = F.when(key % 3 == 0, None).when(key % 7 == 1, -key).when(key % 5 == 2, key - 1).otherwise(key)
+    pred = rows.select(index.alias("source_row_index"), "question", key.alias("written"))
+    return gates.sanitized(pred, rows.select(key.alias("source_row_index"), "question")).select("source_row_index", "written")
+
+
 @query("""SELECT event_id, CASE WHEN rows >= 100 THEN 'COMPLETED' WHEN blocked OR (NOT alive AND NOT passed) THEN 'BLOCKED_BY_GATE' WHEN alive AND age > 10 THEN 'STALL_WARNING' WHEN alive AND slow > 25 THEN 'RUNNING_SLOW' WHEN alive THEN 'RUNNING_HEALTHY' WHEN age >= 20 THEN 'STALL_CONFIRMED' ELSE 'STALL_WARNING' END AS verdict
   FROM (SELECT event_id, event_id % 105 AS rows, event_id % 17 = 0 AS blocked, event_id % 3 = 0 AS alive, event_id % 4 <> 0 AS passed, event_id % 29 AS age, event_id % 40 AS slow FROM events)""")
 def monitor_verdict(s, d):

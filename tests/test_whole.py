@@ -1,5 +1,7 @@
 """Queries over whole tables and whole texts, against brute force over rows that lie beyond any fixed id or prefix."""
 
+import re
+
 import pytest
 
 from evidence_engine.plans import registry, views
@@ -48,3 +50,18 @@ def test_context_block_whole(spark, docs):
     ranked = registry.QUERIES["retrieve_topk"](spark, d).orderBy("rank").collect()
     want = {q: "\n".join(f"[{r.doc}] {texts[r.doc] or ''}" for r in ranked if r.qid == q) for q in {r.qid for r in ranked}}
     assert got == want and got[0].startswith(f"[19] {texts[19]}")
+
+
+def test_sanitize_outputs_whole(spark, tmp_path):
+    n = 1000
+    names = {k: f"part {k % 200 if k <= 600 else k}" for k in range(1, n + 1)}
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    question = {k: f"{v}{k % 40}" for k, v in names.items()}
+    unique = {q: k for k, q in question.items() if list(question.values()).count(q) == 1}
+    want = {}
+    for k in sorted(names):
+        i = unique.get(question[k]) if k % 3 == 0 else -k if k % 7 == 1 else k - 1 if k % 5 == 2 else k
+        if i in names:
+            want[i] = k
+    got = [tuple(r) for r in registry.QUERIES["sanitize_outputs_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want.items()) and max(want) > 400
