@@ -157,6 +157,12 @@ def normalize_text(s, d):
     return T(s, d, "documents").where("lang = 'en'").select("doc_id", K.normalize(c("text")).alias("normalized"))
 
 
+@query(f"SELECT doc_id, {NORM('text')} AS normalized FROM documents")
+def normalize_text_whole(s, d):
+    """normalize_text over the documents of all languages."""
+    return T(s, d, "documents").select("doc_id", K.normalize(c("text")).alias("normalized"))
+
+
 @query(f"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split({NORM('text')}, ' '), lambda t: t <> ''))) AS INTEGER) AS tokens FROM documents")
 def token_counts(s, d):
     return T(s, d, "documents").select("doc_id", F.size(K.tokens(c("text"))).alias("tokens"))

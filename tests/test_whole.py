@@ -65,3 +65,13 @@ def test_sanitize_outputs_whole(spark, tmp_path):
             want[i] = k
     got = [tuple(r) for r in registry.QUERIES["sanitize_outputs_whole"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.items()) and max(want) > 400
+
+
+def test_normalize_text_whole(spark, docs):
+    d, texts = docs
+
+    def plain(t):
+        return None if t is None else " ".join(re.sub(r"[^0-9a-z가-힣\s]", " ", t.lower()).split())
+
+    got = {r.doc_id: r.normalized for r in registry.QUERIES["normalize_text_whole"](spark, d).collect()}
+    assert got == {k: plain(t) for k, t in texts.items()} and got[21] == "gro e 한국어 b9 a b"
