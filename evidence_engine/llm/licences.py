@@ -14,6 +14,7 @@ licences hold; licences of one canonical form go by the smallest name; repeated
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,26 @@ KNOWN = [
     ("Zlib", f"zlib License\n\n{_ZLIB}"),
 ]
 
+#: Title lines in use above texts that are listed without one.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The BSD 2-Clause License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "The BSD 3-Clause License", "The BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "Internet Systems Consortium License"],
+    "MIT": ["The MIT License", "MIT License (MIT)", "MIT"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["The zlib License", "zlib/libpng License"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_whole() -> list[tuple[str, str]]:
+    """KNOWN, the full texts in licence_texts (also without what follows their terms), and both under their titles."""
+    texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    texts += [(name, text[: text.index(_END) + len(_END)]) for name, text in texts if _END in text]
+    bare = [(name, text) for name, text in [*KNOWN, *texts] if not text.startswith(("MIT License", "The MIT License", "zlib License"))]
+    return [*KNOWN, *texts, *((name, f"{title}\n\n{text}") for name, text in bare for title in TITLES.get(name, []))]
+
 
 def canonical(text: Column) -> Column:
     """Words of the canonical form, one space before, between and after them; one space if there are none."""
@@ -102,8 +123,8 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_licences(spark: SparkSession) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in KNOWN))
+def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known))
     return spark.range(1).select(F.inline(rows))
 
 
@@ -121,6 +142,11 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark))
 
 
+def op7_whole(spark, sf_dir: str) -> DataFrame:
+    """op7 against the whole list of texts; OP7_SQL has KNOWN alone."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark, known_whole()))
+
+
 def _sql(text: str) -> str:
     e = f"translate(coalesce({text}, ''), '{S.UPPER_AZ}', '{S.LOWER_AZ}')"
     e = f"regexp_replace({e}, '{_NOTICE}', chr(10), 'g')"
