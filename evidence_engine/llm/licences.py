@@ -38,6 +38,20 @@ EQUIVALENT = [
 _NOTICE = r"(^|\n)[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 _WORDLESS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: More of the SPDX list, and forms of the same words.
+MORE_EQUIVALENT = [
+    ("analysed", "analyzed"), ("artefacts", "artifacts"), ("authorise", "authorize"), ("authorising", "authorizing"), ("calibre", "caliber"), ("capitalisations", "capitalizations"),
+    ("categorise", "categorize"), ("emphasised", "emphasized"), ("favourite", "favorite"), ("favours", "favors"), ("fulfils", "fulfills"), ("fulfilment", "fulfillment"),
+    ("labour", "labor"), ("licencing", "licensing"), ("maximise", "maximize"), ("modelled", "modeled"), ("offence", "offense"), ("organise", "organize"),
+    ("organisations", "organizations"), ("programmes", "programs"), ("recognised", "recognized"), ("sub  licensed", "sublicensed"), ("sub  licensing", "sublicensing"), ("wilfull", "willful"),
+    ("wilfully", "willfully"),
+]
+
+#: After "copyright": words of a licence body, where a notice has (c), ©, a year or a holder. Wrapped body lines begin so.
+_BODY = "notices?|holders?|owners?|laws?|licen[cs]\\w*|statements?|and|or|nor|in|is|are|to|of|as|at|by|on|for|with|that|this|which|the|treaty|treaties|acts?|interests?|disclaimers?|protection|permission|status|infringement|rights?|restrictions?|material|ownership|may|must|shall|will|can|does|law|legend|grant|year|claims?|information|term|under|from|if|it|its|however"
+_FULL_NOTICE = rf"(^|\n)[\s*#/;\p{{Z}}-]*((\(c\)|©)[\s\p{{Z}}]*(copyright|[0-9]{{4}})[^\n]*|©[^\n]*|copyright[\s\p{{Z}}]*(\(c\)|©|[0-9]{{4}})[^\n]*|copyright[ \t]+(?!({_BODY})\b)[^\s][^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|$))"
+_FULL_WORDLESS = r"[^\p{L}\p{M}\p{N}]+"
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -110,17 +124,26 @@ def known_whole() -> list[tuple[str, str]]:
     return [*KNOWN, *texts, *((name, f"{title}\n\n{text}") for name, text in bare for title in TITLES.get(name, []))]
 
 
-def canonical(text: Column) -> Column:
-    """Words of the canonical form, one space before, between and after them; one space if there are none."""
+def _canonical(text: Column, notice: str, wordless: str, equivalent: list[tuple[str, str]]) -> Column:
     low = S.lower_az(F.coalesce(text.cast("string"), F.lit("")))
-    bare = F.regexp_replace(low, _NOTICE, "\n")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, _WORDLESS, "  "), F.lit(" "))
-    same = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUIVALENT, spaced)
+    bare = F.regexp_replace(low, notice, "\n")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, wordless, "  "), F.lit(" "))
+    same = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), equivalent, spaced)
     return F.regexp_replace(same, " +", " ")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def canonical(text: Column) -> Column:
+    """Words of the canonical form, one space before, between and after them; one space if there are none."""
+    return _canonical(text, _NOTICE, _WORDLESS, EQUIVALENT)
+
+
+def canonical_whole(text: Column) -> Column:
+    """canonical, where every code point but letters, marks and digits separates words, and only a copyright line that names (c), ©, a year or a holder is a notice."""
+    return _canonical(text, _FULL_NOTICE, _FULL_WORDLESS, EQUIVALENT + MORE_EQUIVALENT)
+
+
+def digest(text: Column, form=canonical) -> Column:
+    return F.sha2(form(text).cast("binary"), 256)
 
 
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -128,13 +151,13 @@ def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return spark.range(1).select(F.inline(rows))
 
 
-def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", form=canonical) -> DataFrame:
     """(id_col, canonical_sha256, license_id or null), a row a document."""
-    words = canonical(F.col("text")) != " "
-    known = licences.where(words & F.col("license_id").isNotNull()).groupBy(digest(F.col("text")).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    words = form(F.col("text")) != " "
+    known = licences.where(words & F.col("license_id").isNotNull()).groupBy(digest(F.col("text"), form).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col), digest(F.col(text_col)).alias("canonical_sha256"))
+    rows = docs.select(F.col(id_col), digest(F.col(text_col), form).alias("canonical_sha256"))
     return rows.join(known, "canonical_sha256", "left").select(id_col, "canonical_sha256", "license_id")
 
 
@@ -143,8 +166,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def op7_whole(spark, sf_dir: str) -> DataFrame:
-    """op7 against the whole list of texts; OP7_SQL has KNOWN alone."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark, known_whole()))
+    """op7 against the whole list of texts, in the whole canonical form; OP7_SQL has KNOWN and the narrower form."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark, known_whole()), form=canonical_whole)
 
 
 def _sql(text: str) -> str:

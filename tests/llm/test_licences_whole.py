@@ -23,3 +23,18 @@ def test_full_texts_and_titles(found):
     apache = full["Apache-2.0"]
     texts = [*full.values(), apache[: apache.index("APPENDIX")], "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + known["BSD-3-Clause"], "ISC License\n\n" + known["ISC"], apache[:5000]]
     assert found(texts) == [*full, "Apache-2.0", "BSD-3-Clause", "ISC", None] and len(full) == 15
+
+
+def test_punctuation_wrapping_and_spelling(found):
+    import textwrap
+
+    known = dict(licences.KNOWN)
+    mit, bsd, apache = known["MIT"], known["BSD-3-Clause"], (Path(licences.__file__).parent / "licence_texts/Apache-2.0.txt").read_text()
+    curly = mit.replace('"Software"', "“Software”").replace('"AS IS"', "“AS IS”").replace("merge, publish", "merge—publish")
+    wrapped = ["\n".join(textwrap.wrap(p, w)) for w in (30, 46, 61) for p in [" ".join(bsd.split())]]
+    at_line_start = bsd.replace("above copyright notice", "above\ncopyright notice").replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
+    noticed = ["Copyright (c) 2020 A\n", "© 2021 B\n", "Copyright 1999-2020, C\n", "Copyright Jane Doe <j@x.org>\nAll rights reserved.\n", " * Copyright © D\n"]
+    terms = " ".join(apache[: apache.index("APPENDIX")].split())
+    reflowed = ["\n".join(textwrap.wrap(terms, w)) for w in range(40, 90, 3)]
+    texts = [curly, *wrapped, at_line_start, *(n + "\n" + mit for n in noticed), *reflowed, mit.replace("sublicense", "sub-license"), mit + "\n• more"]
+    assert found(texts) == ["MIT", *["BSD-3-Clause"] * 4, *["MIT"] * 5, *["Apache-2.0"] * 17, "MIT", None]
