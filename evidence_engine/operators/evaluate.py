@@ -134,6 +134,16 @@ def failure_buckets(flagged: DataFrame) -> DataFrame:
     return flagged.agg(*(F.count_if(F.col(f)).alias(f) for f in FAILURES)).unpivot([], list(FAILURES), "bucket", "rows")
 
 
+def schema_buckets(flagged: DataFrame) -> DataFrame:
+    """(bucket, rows): legacy rows, and each failure among all rows and among those of the current schema."""
+    legacy = F.col("is_legacy_schema")
+    counts = [F.count_if(legacy).alias("legacy_schema")]
+    for f in ("unsafe_recommendation", "router_mismatch", "match_status_mismatch", "disclosure_miss", "area_band_unknown_candidate"):
+        counts += [F.count_if(F.col(f)).alias(f), F.count_if(~legacy & F.col(f)).alias(f"{f}_current_schema")]
+    made = flagged.agg(*counts)
+    return made.unpivot([], made.columns, "bucket", "rows")
+
+
 def hard_negatives(flagged: DataFrame) -> DataFrame:
     """Rows that failed, with what to do: unsafe ones first, then routing, then disclosure."""
     c = F.col

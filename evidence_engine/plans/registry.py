@@ -414,6 +414,12 @@ def failure_buckets(s, d):
     return evaluate.failure_buckets(evaluate.failure_flags(P(s, d)))
 
 
+@query()
+def failure_buckets_whole(s, d):
+    """The reference's eleven buckets."""
+    return evaluate.schema_buckets(evaluate.failure_flags(P(s, d)))
+
+
 _FAMILY = f"""CASE WHEN expected_router_type = '' OR expected_router_type = query_type THEN ''
   WHEN expected_router_type = 'RECOMMEND_COMPARATIVE' AND query_type = 'RECOMMEND_STRUCTURED' THEN CASE WHEN {HAS("question", C.SUBJECTIVE)} THEN 'subjective_quality_structured_instead_of_comparative' WHEN contains(question, '비교') AND {HAS("question", C.BAND_ORDER)} THEN 'area_band_comparative_structured_instead_of_comparative' ELSE 'comparative_expected_but_structured_actual' END
   WHEN expected_router_type = 'RECOMMEND_STRUCTURED' AND query_type = 'RECOMMEND_COMPARATIVE' THEN CASE WHEN contains(question, '비교') AND {HAS("question", C.BAND_ORDER)} THEN 'area_band_structured_but_comparative_actual' ELSE 'structured_expected_but_comparative_actual' END
@@ -615,4 +621,4 @@ def qa_templates(s, d):
 
 @query()
 def edge_questions(s, d):
-    return generate.edge_questions(L(s, d), {"region": 30, "condition": 10, "comparison": 25, "multi_condition": 25, "vague": 25, "colloquial": 5})
+    return generate.edge_questions(L(s, d), {"condition": 250, "comparison": 250, "multi_condition": 250, "region": 900, "vague": 175, "colloquial": 175})

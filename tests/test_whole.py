@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from evidence_engine.operators import evaluate
 from evidence_engine.plans import registry, views
 
 WORDS = {"", "nan", "None", "NULL", "null"}
@@ -75,3 +76,16 @@ def test_normalize_text_whole(spark, docs):
 
     got = {r.doc_id: r.normalized for r in registry.QUERIES["normalize_text_whole"](spark, d).collect()}
     assert got == {k: plain(t) for k, t in texts.items()} and got[21] == "gro e 한국어 b9 a b"
+
+
+def test_edge_questions_cut_none_that_are_made(spark, sf):
+    got = {r.type: r["count"] for r in registry.QUERIES["edge_questions"](spark, sf).groupBy("type").count().collect()}
+    assert got == {"region": 50, "condition": 25, "comparison": 25, "multi_condition": 25, "vague": 25, "colloquial": 25}
+
+
+def test_failure_buckets_whole(spark, sf):
+    flags = evaluate.failure_flags(views.predictions(spark, sf)).collect()
+    want = {"legacy_schema": sum(r.is_legacy_schema for r in flags)}
+    for f in ("unsafe_recommendation", "router_mismatch", "match_status_mismatch", "disclosure_miss", "area_band_unknown_candidate"):
+        want |= {f: sum(bool(r[f]) for r in flags), f"{f}_current_schema": sum(bool(r[f]) and not r.is_legacy_schema for r in flags)}
+    assert {r.bucket: r.rows for r in registry.QUERIES["failure_buckets_whole"](spark, sf).collect()} == want and len(want) == 11
