@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import shared as S
 
@@ -82,13 +81,20 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return S.word_hashes(data, start, end), first
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], rows: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (keys, counts) arrays as one, a range of keys at a time: no second copy of all of them is made."""
+    longest = max((k for k, _ in parts), key=len)
+    bounds = longest[rows // len(parts) :: max(1, rows // len(parts))]
+    cuts = [np.concatenate(([0], np.searchsorted(k, bounds), [len(k)])) for k, _ in parts]
+    for i in range(len(bounds) + 1):
+        own = [(k[c[i] : c[i + 1]], n[c[i] : c[i + 1]]) for (k, n), c in zip(parts, cuts)]
+        keys, counts = np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own])
+        if not len(keys):
+            continue
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        yield keys[new], np.add.reduceat(counts, new)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +104,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for kind, parts in held.items():
-            if parts:
-                keys, n = _merged(parts)
-                for a in range(0, len(keys), 1 << 16):
-                    k = S.signed(keys[a : a + (1 << 16)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), last, np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + (1 << 16)])], names=["chunk", "kind", "key", "n"])
+            for keys, n in _merged(parts) if parts else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), last, np.int32)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(S.signed(keys)), pa.array(n)], names=["chunk", "kind", "key", "n"])
             held[kind] = []
 
     for batch in batches:
@@ -119,13 +122,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, j, part, o in S.slices(data, off):
                 for kind, (keys, first) in ((GRAM, grams(part, o)), (WORD, tokens(part, o))):
                     skip = np.repeat(out[i:j], np.diff(first))
-                    k, n = np.unique(keys[~skip], return_counts=True)
-                    held[kind].append((k, n.astype(np.int64)))
-                    if skip.any():
-                        k = np.unique(keys[skip])
-                        held[kind].append((k, np.zeros(len(k), np.int64)))
-                    if len(held[kind]) > 8:
-                        held[kind] = [_merged(held[kind])]
+                    for own, learns in ((keys[~skip], True), (keys[skip], False)):
+                        if len(own):
+                            k, n = np.unique(own, return_counts=True)
+                            held[kind].append((k, n.astype(np.uint32) if learns else np.zeros(len(k), np.uint32)))
     yield from flush()
 
 
@@ -219,7 +219,7 @@ def gram_logs(group: Group, top: dict[str, np.ndarray]) -> np.ndarray:
         for a, b, own in ((top["a1"][c1, prefix], top["b1"][c1, prefix], top["own1"][c1, prefix]), (top["a0"][prefix], top["b0"][prefix], top["own0"][prefix])):
             p = own * (np.where(bit, b, a) + 0.5) / (a + b + 1) + (1 - own) * p
         total += np.log10(p)
-    return total
+    return np.minimum(total, -1e-300)  # a gram is told from a word by its sign
 
 
 def _models(top):
@@ -231,16 +231,18 @@ def _models(top):
 
 
 def score_chunk(docs: pa.Table, keys: pa.Table, total: float, unseen: float, ends: float) -> pa.Table:
-    """A chunk's rows (id, held_out, chunk, text) with the values of all its grams and words.
+    """A chunk's rows (id, held_out, chunk, text) with the values of all its grams (logarithms below 0) and words (counts).
 
     total: training tokens; unseen: log10 of the base probability's denominator; ends: training texts.
     """
+    key, val = keys.column("key").to_numpy().view(np.uint64), keys.column("value").to_numpy()
+    del keys
     value = {}
-    kind, key, val = (keys.column(c).to_numpy() for c in ("kind", "key", "value"))
-    for k in (GRAM, WORD):
-        own = kind == k
-        order = np.argsort(key[own].view(np.uint64))
-        value[k] = (key[own].view(np.uint64)[order], val[own][order])
+    for k, own in ((GRAM, val < 0), (WORD, val >= 0)):
+        at = np.flatnonzero(own)
+        at = at[np.argsort(key[at])]
+        value[k] = (key[at], val[at])
+    del key, val, at
     data, off = S.flat(docs.column("text"))
     score, base, n_tokens, known = [], [], [], []
     end_log = np.log10(ends + 1) - unseen
@@ -275,9 +277,8 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
     counted = dealt.select("chunk", "held_out", "text").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_count, "chunk int, kind int, key bigint, n bigint")
     counted = S.settled(counted, "ctw-counts")
-    by_key = Window.partitionBy("kind", "key")  # a row a chunk at most
-    words = S.settled(counted.where(F.col("kind") == WORD).withColumn("total", F.sum("n").over(by_key)).withColumn("turn", F.row_number().over(by_key.orderBy("chunk"))), "ctw-words")
-    sums = words.where("turn = 1 and total > 0").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
+    words = S.settled(counted.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ctw-words")
+    sums = words.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     ends = int(size.ends or 0)
     total, vocabulary = int(sums.n or 0) + ends, sums.v + int(ends > 0)
     every = counted.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")).withColumn("near", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int"))
@@ -286,8 +287,8 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     top = grouped.mapInArrow(_tops, "c1 int, prefix int, a double, b double, w double").groupBy("c1", "prefix").agg(*(F.sum(c).alias(c) for c in "abw"))
     model = spark.sparkContext.broadcast(top_nodes(top.collect()))  # at most 256 * 255 rows
     logs = S.settled(grouped.mapInArrow(_models(model), "key bigint, value double"), "ctw-model")
-    back = counted.where(F.col("kind") == GRAM).select("chunk", "kind", "key").join(logs, "key").select("chunk", "kind", "key", "value")
-    back = back.union(words.select("chunk", "kind", "key", F.col("total").cast("double").alias("value")))
+    values = logs.select(F.lit(GRAM).alias("kind"), "key", "value").union(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
+    back = counted.select("chunk", "kind", "key").join(values.hint("merge"), ["kind", "key"]).select("chunk", "key", "value")
     unseen = float(np.log10(total + vocabulary + 1))
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda d, k: score_chunk(d, k, total, unseen, ends), out)
