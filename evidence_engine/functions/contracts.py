@@ -72,7 +72,11 @@ DETERMINISTIC_ANSWERS = {
 }
 SAFETY_UNIVERSE_REASONS = ("recommendation_not_exact_match", "recommendation_flagged_must_not_recommend", "recommendation_missing_disclosure_language")
 TARGET_MIX = {"grounded_generation": 0.70, "safety_refusal": 0.15, "safe_recommendation": 0.15}
-HOLDOUT_GROUNDED, HOLDOUT_SAFETY, MIN_TRAIN, MIN_VALID = 200, 150, 50, 10
+MIN_TRAIN, MIN_VALID = 50, 10
+# Fixed values: (size from which a band holds, share of the pool, least rows, most rows); None: all rows but one.
+HOLDOUT_GROUNDED = ((0, 0.20, 0, 200), (80, 0.25, 20, 200))
+HOLDOUT_SAFETY = ((0, 0.25, 0, 150), (60, 0.25, 30, 150), (250, 0.35, 30, 150))
+VALID = ((0, 0.10, 0, None), (5, 0.10, 1, None))
 SALTS = {
     "grounded": "holdout::grounded_generation", "safety": "holdout::edge_safety", "release_grounded": "release::grounded_holdout", "release_safety": "release::safety_holdout",
     "pool_safety": "train_pool::safety_refusal", "pool_recommendation": "train_pool::safe_recommendation", "topup": "valid::global_topup",

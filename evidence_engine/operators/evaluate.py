@@ -108,7 +108,6 @@ def router_family(question: Column, expected: Column, actual: Column) -> Column:
     )
 
 
-FAILURES = ("is_legacy_schema", "router_mismatch", "match_status_mismatch", "unsafe_recommendation", "disclosure_required", "has_limit_disclosure", "disclosure_miss", "area_band_unknown_candidate")
 
 
 def failure_flags(pred: DataFrame) -> DataFrame:
@@ -129,11 +128,6 @@ def failure_flags(pred: DataFrame) -> DataFrame:
     })
 
 
-def failure_buckets(flagged: DataFrame) -> DataFrame:
-    """(bucket, rows): one aggregate, then unpivoted."""
-    return flagged.agg(*(F.count_if(F.col(f)).alias(f) for f in FAILURES)).unpivot([], list(FAILURES), "bucket", "rows")
-
-
 def schema_buckets(flagged: DataFrame) -> DataFrame:
     """(bucket, rows): legacy rows, and each failure among all rows and among those of the current schema."""
     legacy = F.col("is_legacy_schema")
@@ -145,11 +139,14 @@ def schema_buckets(flagged: DataFrame) -> DataFrame:
 
 
 def hard_negatives(flagged: DataFrame) -> DataFrame:
-    """Rows that failed, with what to do: unsafe ones first, then routing, then disclosure."""
-    c = F.col
-    bad = c("unsafe_recommendation") | c("router_mismatch") | c("match_status_mismatch") | c("disclosure_miss")
-    action = F.when(c("unsafe_recommendation"), "suppress_recommendation").when(c("router_mismatch"), "fix_router").when(c("disclosure_miss"), "add_disclosure").otherwise("review_match_status")
-    return flagged.where(bad).withColumn("recommended_action", action)
+    """Unsafe rows of the current schema, and what to do with each."""
+    action = F.when(F.col("area_band_unknown_candidate"), "route_to_unknown_before_recommendation").otherwise("review_safety_rule")
+    return flagged.where(~F.col("is_legacy_schema") & F.col("unsafe_recommendation")).withColumn("recommended_action", action)
+
+
+def router_mismatches(flagged: DataFrame) -> DataFrame:
+    """Rows of the current schema that went to another route than expected."""
+    return flagged.where(~F.col("is_legacy_schema") & F.col("router_mismatch"))
 
 
 def latency_stats(log: DataFrame, order: list[str], value: str, warmup: int = 2, worst: int = 1) -> DataFrame:

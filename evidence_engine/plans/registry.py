@@ -409,14 +409,23 @@ _FLAGS = f"""flags AS (SELECT *, answer_type = '' OR match_status = '' OR query_
   {HAS("question", C.BAND_ORDER)} AND expected_match_status = 'UNKNOWN' AS area_band_unknown_candidate FROM pred)"""
 
 
-@query(f"{PRED}, {_FLAGS} " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, count(*) FILTER (WHERE {'disclosure_required AND NOT has_limit_disclosure' if b == 'disclosure_miss' else b}) AS rows FROM flags" for b in evaluate.FAILURES))
+_MISS = {"disclosure_miss": "disclosure_required AND NOT has_limit_disclosure"}
+_BUCKETS = [("legacy_schema", "is_legacy_schema")] + [
+    (f"{b}{tail}", f"({_MISS.get(b, b)}){also}")
+    for b in ("unsafe_recommendation", "router_mismatch", "match_status_mismatch", "disclosure_miss", "area_band_unknown_candidate")
+    for tail, also in (("", ""), ("_current_schema", " AND NOT is_legacy_schema"))
+]
+_BUCKETS_SQL = f"{PRED}, {_FLAGS} " + " UNION ALL ".join(f"SELECT '{name}' AS bucket, count(*) FILTER (WHERE {test}) AS rows FROM flags" for name, test in _BUCKETS)
+
+
+@query(_BUCKETS_SQL)
 def failure_buckets(s, d):
-    return evaluate.failure_buckets(evaluate.failure_flags(P(s, d)))
+    return evaluate.schema_buckets(evaluate.failure_flags(P(s, d)))
 
 
-@query()
+@query(_BUCKETS_SQL)
 def failure_buckets_whole(s, d):
-    """The reference's eleven buckets."""
+    """The same eleven buckets."""
     return evaluate.schema_buckets(evaluate.failure_flags(P(s, d)))
 
 
@@ -426,12 +435,12 @@ _FAMILY = f"""CASE WHEN expected_router_type = '' OR expected_router_type = quer
   WHEN query_type = 'GENERAL_RETRIEVAL_QA' THEN 'fell_through_to_grounded_generation' ELSE lower(expected_router_type) || '_to_' || lower(query_type) END"""
 
 
-@query(f"{PRED} SELECT {_FAMILY} AS router_mismatch_family, count(*) AS rows FROM pred GROUP BY 1")
+@query(f"{PRED}, {_FLAGS} SELECT {_FAMILY} AS router_mismatch_family, count(*) AS rows FROM flags WHERE router_mismatch AND NOT is_legacy_schema GROUP BY 1")
 def router_families(s, d):
-    return relational.value_counts(evaluate.failure_flags(P(s, d)), "router_mismatch_family")
+    return relational.value_counts(evaluate.router_mismatches(evaluate.failure_flags(P(s, d))), "router_mismatch_family")
 
 
-@query(f"{PRED}, {_FLAGS} SELECT source_row_index, CASE WHEN unsafe_recommendation THEN 'suppress_recommendation' WHEN router_mismatch THEN 'fix_router' WHEN disclosure_required AND NOT has_limit_disclosure THEN 'add_disclosure' ELSE 'review_match_status' END AS recommended_action FROM flags WHERE unsafe_recommendation OR router_mismatch OR match_status_mismatch OR (disclosure_required AND NOT has_limit_disclosure)")
+@query(f"{PRED}, {_FLAGS} SELECT source_row_index, CASE WHEN area_band_unknown_candidate THEN 'route_to_unknown_before_recommendation' ELSE 'review_safety_rule' END AS recommended_action FROM flags WHERE unsafe_recommendation AND NOT is_legacy_schema")
 def hard_negative_queue(s, d):
     return evaluate.hard_negatives(evaluate.failure_flags(P(s, d))).select("source_row_index", "recommended_action")
 

@@ -1,13 +1,14 @@
 from pyspark.sql import functions as F
 
+from evidence_engine.functions import contracts as C
 from evidence_engine.operators import curate, evaluate, relational
 from evidence_engine.plans import registry
 
 
 def test_quota_formulas():
-    assert [curate.grounded_holdout_rows(n) for n in (0, 1, 79, 80, 400, 5000)] == [0, 0, 15, 20, 100, 200]
-    assert [curate.safety_holdout_rows(*a) for a in ((0, 0), (10, 59), (10, 60), (1000, 249), (1000, 250))] == [0, 2, 30, 150, 150]
-    assert [curate.valid_rows(n) for n in (0, 1, 4, 5, 25, 35, 100)] == [0, 0, 0, 1, 2, 4, 10]
+    assert [curate.quota(n, C.HOLDOUT_GROUNDED) for n in (0, 1, 79, 80, 400, 5000)] == [0, 0, 15, 20, 100, 200]
+    assert [curate.quota(a[0], C.HOLDOUT_SAFETY, of=a[1]) for a in ((0, 0), (10, 59), (10, 60), (1000, 249), (1000, 250))] == [0, 2, 30, 150, 150]
+    assert [curate.quota(n, C.VALID, nearest=True) for n in (0, 1, 4, 5, 25, 35, 100)] == [0, 0, 0, 1, 2, 4, 10]
     assert curate.targets(70, 100, 100) == (15, 15) and curate.targets(0, 100, 5) == (60, 0) and curate.targets(20, 3, 100) == (3, 37)
 
 
