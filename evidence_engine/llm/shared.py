@@ -55,14 +55,34 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _made.append(path)
     return out
 
 
+#: Scratch tables that were written and not deleted yet, in the order of writing.
+_made: list[str] = []
+
+
+def made() -> int:
+    return len(_made)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes settled tables that nothing reads any more, and lets Spark drop the shuffle files of finished steps."""
-    for path in {t._scratch_path for t in tables}:
+    """Deletes settled tables that nothing reads any more. A hint to the collector lets Spark drop the shuffle files of finished steps sooner."""
+    _delete(spark, {t._scratch_path for t in tables})
+
+
+def discard_since(spark: SparkSession, since: int, *but: DataFrame) -> None:
+    """Deletes all tables settled after made() gave ``since``, except some."""
+    _delete(spark, set(_made[since:]) - {t._scratch_path for t in but})
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path in _made:
+            _made.remove(path)
     gc.collect()
     spark._jvm.System.gc()
 
