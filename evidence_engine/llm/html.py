@@ -6,37 +6,43 @@ and the words of their class, id and role), of its hashed words and of a few fig
 numpy reads all blocks of the page and labels each as main text or not.
 
 The network is trained here: on generated pages of many layouts, whose labels are known, and on a bounded
-sample of the table's own pages, labelled by the meaning of their elements. No page is cut: a block is
-labelled with all blocks of its page in view, however many there are.
+sample of the table's own pages, labelled by the meaning of their elements. No page is cut, and all ancestors of a block count: it is labelled
+with all blocks of its page in view, however many there are.
 
 Defined cases: null html is empty and so is its text; a page without main text has an empty text; equal
-pages give equal texts; markup that ends early ends its last block there.
+pages give equal texts; markup that ends early ends its last block there; a column of the pages that is named as
+the text is replaced by it.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import nets as N
 from . import shared as S
 
 #: Pages of the table (those of the least hash) and generated pages that the network is trained on.
-SAMPLE_PAGES, GENERATED_PAGES = 200, 1000
-PATH_WIDTH, WORD_WIDTH, FIGURES, HIDDEN = 256, 32, 6, 16
+SAMPLE_PAGES, GENERATED_PAGES = 200, 1500
+#: Bytes of such a page at most, of all of them together, and words of theirs that generated pages are made of.
+PAGE_BYTES, SAMPLE_BYTES, SAMPLE_WORDS = 1 << 20, 16 << 20, 5000
+PATH_WIDTH, WORD_WIDTH, FIGURES, HIDDEN = 512, 32, 6, 16
 WIDTH = PATH_WIDTH + WORD_WIDTH + FIGURES
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW_TAGS = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math select object".split())
+#: Elements whose content is code, a form or a stand-in for other content, not text of the page.
+RAW_TAGS = frozenset("script style title textarea template iframe noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, if it is open within the innermost of the tags given last.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -44,11 +50,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Ancestors whose names count: the outermost and the innermost.
-OUTER, INNER = 6, 10
 
 #: Names of elements, and words of class, id and role, that tell main text from the rest.
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog button label".split())
+BOILER_TAGS = frozenset("nav header footer aside form menu dialog button label select".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer header login menu nav navbar navigation newsletter "
     "notice pagination popup promo related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
@@ -58,7 +62,8 @@ BOILER_WORDS = frozenset(
 class Block:
     __slots__ = ("path", "parts", "linked", "text")
 
-    def __init__(self, path: tuple):
+    def __init__(self, path: tuple[frozenset, str]):
+        """path: the names of all open elements, and the innermost element."""
         self.path, self.parts, self.linked, self.text = path, [], 0, ""
 
 
@@ -67,10 +72,19 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *("." + w for w in sorted(words)))
 
 
+ROOT: tuple[frozenset, str] = (frozenset(), "")
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW_TAGS}
+
+
+def opened(path: tuple[frozenset, str], names: tuple[str, ...]) -> tuple[frozenset, str]:
+    """The path within one more element."""
+    return (path[0] if path[0].issuperset(names) else path[0].union(names), names[0])
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks that have text, in page order; path: the names of the open elements."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[frozenset, str]]] = []
     current: list[Block | None] = [None]
     links = 0
 
@@ -87,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[i:])
         del stack[i:]
 
-    at, size, lower = 0, len(page), None
+    at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -97,8 +111,7 @@ def blocks(page: str) -> list[Block]:
             if text[0] == "<" and len(text) > 1:
                 continue
             if current[0] is None:
-                path = [n for _, n in stack]
-                current[0] = Block(tuple(path if len(path) <= OUTER + INNER else path[:OUTER] + path[-INNER:]))
+                current[0] = Block(stack[-1][1] if stack else ROOT)
             current[0].parts.append(text)
             if links:
                 current[0].linked += len(text)
@@ -117,9 +130,8 @@ def blocks(page: str) -> list[Block]:
         attributes = m[3] or m[6] or ""
         if tag in RAW_TAGS:
             if not attributes.rstrip().endswith("/"):
-                lower = lower or page.lower()
-                close = lower.find(f"</{tag}", at)
-                at = size if close < 0 else close
+                close = RAW_ENDS[tag].search(page, at)
+                at = close.start() if close else size
             continue
         if tag in BLOCK_TAGS:
             end()
@@ -140,14 +152,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "br" and current[0] is not None:
             current[0].parts.append(" ")
         if tag not in VOID_TAGS and not attributes.endswith("/"):
-            stack.append((tag, _names(tag, attributes)))
+            stack.append((tag, opened(stack[-1][1] if stack else ROOT, _names(tag, attributes))))
             links += tag == "a"
     end()
     return found
 
 
 def _slot(name: str) -> int:
-    return int.from_bytes(name.encode()[:64], "little") * 0x9E3779B97F4A7C15 % (1 << 64) * PATH_WIDTH >> 64
+    return zlib.crc32(name.encode("utf-8", "replace")) * PATH_WIDTH >> 32
 
 
 _paths: dict[tuple, np.ndarray] = {}
@@ -157,17 +169,22 @@ def _path_slots(path: tuple) -> np.ndarray:
     if path not in _paths:
         if len(_paths) > 50_000:
             _paths.clear()
-        names = {n for own in path for n in own} | {">" + n for n in (path[-1][:1] if path else ())}
+        names = path[0] | {">" + path[1]}
         _paths[path] = np.unique(np.array([_slot(n) for n in names], np.int64))
     return _paths[path]
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """A row for each block of all pages."""
+def vectors(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the blocks of all pages: the number of each one's path, the paths as rows of 0 and 1, and the other inputs."""
     flat = [b for page in pages for b in page]
-    x = np.zeros((len(flat), WIDTH), N.F4)
+    numbers: dict[tuple, int] = {}
+    of = np.array([numbers.setdefault(b.path, len(numbers)) for b in flat], np.int64)
+    paths = np.zeros((len(numbers), PATH_WIDTH), N.F4)
+    for path, i in numbers.items():
+        paths[i, _path_slots(path)] = 1
+    x = np.zeros((len(flat), WIDTH - PATH_WIDTH), N.F4)
     if not flat:
-        return x
+        return of, paths, x
     texts = [b.text.encode("utf-8", "replace") for b in flat]
     off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -175,15 +192,20 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     n = np.diff(first)
     hashed = np.concatenate([S.word_hashes(S.LOWER[part], *S.word_bounds(part, o, S.IS_TOKEN)[:2]) for _, _, part, o in S.slices(data, off)])
     place = np.repeat(np.arange(len(flat)), n) * WORD_WIDTH + (hashed % np.uint64(WORD_WIDTH)).astype(np.int64)
-    x[:, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = np.bincount(place, minlength=len(flat) * WORD_WIDTH).reshape(len(flat), -1) / np.maximum(n, 1)[:, None]
+    x[:, :WORD_WIDTH] = np.bincount(place, minlength=len(flat) * WORD_WIDTH).reshape(len(flat), -1) / np.maximum(n, 1)[:, None]
     row = 0
     for page in pages:
         for k, b in enumerate(page):
-            x[row, _path_slots(b.path)] = 1
             raw = sum(map(len, b.parts))
             x[row, -FIGURES:] = (np.log1p(n[row]) / 4, b.linked / max(raw, 1), b.text[-1] in ".!?:;", k / len(page), np.log1p(len(page)) / 4, "©" in b.text)
             row += 1
-    return x
+    return of, paths, x
+
+
+def dense(pages: list[list[Block]]) -> np.ndarray:
+    """All inputs, a row a block: for the training pages."""
+    of, paths, x = vectors(pages)
+    return np.concatenate([paths[of], x], axis=1)
 
 
 def padded(lengths: list[int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,6 +238,21 @@ class Labeller:
             keep |= {"x": x, "xb": xb, "turn": turn, "cols": cols, "kf": kf, "kb": kb, "hf": hf, "hb": hb}
         return hf @ p["wo"][:HIDDEN] + hb @ p["wo"][HIDDEN:] + x @ p["wd"] + p["bo"]
 
+    def prepared(self, pages: list[list[Block]]) -> np.ndarray:
+        """What the layers make of each block's inputs: both directions' gates and the direct term. Each path is multiplied once."""
+        p = self.p
+        w = np.concatenate([p["fwx"], p["bwx"], p["wd"][:, None]], axis=1)
+        of, paths, x = vectors(pages)
+        return (paths @ w[:PATH_WIDTH])[of] + x @ w[PATH_WIDTH:]
+
+    def answers(self, ready: np.ndarray, mask: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """logits from the padded rows of ``prepared``."""
+        p, turn, cols = self.p, N.reversal(lengths, len(ready)), np.arange(ready.shape[1])[None, :]
+        wide = 4 * HIDDEN
+        hf = N.lstm(ready[:, :, :wide] + p["fb"], p["fwh"], mask)
+        hb = N.lstm(ready[:, :, wide : 2 * wide][turn, cols] + p["bb"], p["bwh"], mask)[turn, cols]
+        return hf @ p["wo"][:HIDDEN] + hb @ p["wo"][HIDDEN:] + ready[:, :, -1] + p["bo"]
+
     def gradients(self, dlogit: np.ndarray, k: dict) -> dict[str, np.ndarray]:
         p, g = self.p, {}
         g["wo"] = np.concatenate([np.einsum("tb,tbh->h", dlogit, k["hf"]), np.einsum("tb,tbh->h", dlogit, k["hb"])])
@@ -235,8 +272,7 @@ class Labeller:
             if group and (i is None or len(pages[i]) * (len(group) + 1) > most):
                 own = [pages[j] for j in group]
                 if any(own):
-                    x, mask, lengths = padded([len(b) for b in own], vectors(own))
-                    yes = self.logits(x, mask, lengths) > 0
+                    yes = self.answers(*padded([len(b) for b in own], self.prepared(own))) > 0
                     for c, j in enumerate(group):
                         out[j] = yes[: len(pages[j]), c].tolist()
                 group = []
@@ -247,9 +283,8 @@ class Labeller:
 
 def meaning(block: Block) -> bool:
     """Teacher of the sample: within article or main, and in nothing whose name says that it is other matter."""
-    names = [n for own in block.path for n in own]
-    tags = {own[0] for own in block.path}
-    return bool(tags & {"article", "main"}) and not (tags & BOILER_TAGS) and not any(n[1:] in BOILER_WORDS for n in names if n[0] == ".")
+    names = block.path[0]
+    return not names.isdisjoint({"article", "main"}) and names.isdisjoint(BOILER_TAGS) and not any(n[1:] in BOILER_WORDS for n in names if n[0] == ".")
 
 
 def generated(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], list[bool]]:
@@ -264,7 +299,7 @@ def generated(rng: np.random.Generator, words: list[str]) -> tuple[list[Block],
         out.append((tuple(path), text, main, linked))
 
     def other(root: list, links: bool) -> None:
-        box = (pick(["nav", "header", "footer", "aside", "form"]),) if flip(0.5) else (pick(["div", "section", "ul", "p"]), *sorted({"." + pick(boiler) for _ in range(int(rng.integers(1, 3)))}))
+        box = (pick(["nav", "header", "footer", "aside", "form", "select"]),) if flip(0.4) else ("div", "." + pick(["comments", "comment", "respond"])) if flip(0.15) else (pick(["div", "section", "ul", "p"]), *sorted({"." + pick(boiler) for _ in range(int(rng.integers(1, 3)))}))
         for _ in range(int(rng.integers(1, 7))):
             if links:
                 add([*root, box, ("ul",), ("li",), ("a",)], sentence(1, 4), False, True)
@@ -275,7 +310,7 @@ def generated(rng: np.random.Generator, words: list[str]) -> tuple[list[Block],
 
     root: list[tuple[str, ...]] = [("html",), ("body",)]
     if flip(0.4):
-        root.append(("div", *sorted({"." + pick(["wrapper", "page", "container", "site", "layout"])})))
+        root += [("div", *sorted({"." + pick(["wrapper", "page", "container", "site", "layout", "x" + str(int(rng.integers(500)))])}))] * int(rng.integers(1, 4))
     for _ in range(int(rng.integers(1, 4))):
         other(root, flip(0.6))
     holder = pick([[("article",)], [("article",)], [("main",)], [("main",), ("article",)], [("div", "." + pick(["content", "main", "article", "post", "entry", "body", "story", "text"]))], [("div", ".main"), ("article", ".post")], [("section", ".content")], []])
@@ -288,14 +323,17 @@ def generated(rng: np.random.Generator, words: list[str]) -> tuple[list[Block],
         if flip(0.2):
             path.append((pick(["b", "i", "em", "strong", "span"]),))
         add(path, sentence(1, 90) + pick([".", ".", ".", "", "!", " |"]), True)
-        if flip(0.06):
+        if flip(0.1):
             other(inside, flip(0.3))
-    if flip(0.15):
+    if flip(0.35):
         other(inside, flip(0.5))
     for _ in range(int(rng.integers(1, 4))):
         other(root, flip(0.4))
     found, labels = [], []
-    for path, text, main, linked in out:
+    for names, text, main, linked in out:
+        path = ROOT
+        for own in names:
+            path = opened(path, own)
         b = Block(path)
         b.text, b.parts, b.linked = ("© " if not main and flip(0.2) else "") + text, [text], len(text) if linked else 0
         found.append(b)
@@ -306,9 +344,9 @@ def generated(rng: np.random.Generator, words: list[str]) -> tuple[list[Block],
 def trained(sample: list[str], generated_pages: int = GENERATED_PAGES, epochs: int = 5, seed: int = 5) -> Labeller:
     rng = np.random.default_rng(seed)
     real = [b for b in map(blocks, sample) if b]
-    words = [w for page in real[:20] for b in page for w in b.text.split()][:5000] or ["lorem", "ipsum", "dolor", "sit", "amet"]
+    words = list(islice((w for page in real for b in page for w in b.text.split()), SAMPLE_WORDS)) or ["lorem", "ipsum", "dolor", "sit", "amet"]
     pages = [(b, [meaning(x) for x in b]) for b in real] + [generated(rng, words) for _ in range(generated_pages)]
-    pages = [(vectors([b]), labels) for b, labels in pages]
+    pages = [(dense([b]), labels) for b, labels in pages]
     model = Labeller(rng)
     adam = N.Adam(model.p, 0.01)
     for epoch in range(epochs):
@@ -330,10 +368,12 @@ def extracted(pages: DataFrame, *, html_col: str = "html", text_col: str = "text
     """All columns but the html, and the main text."""
     spark = pages.sparkSession
     S.arrow_batches(spark, rows=500)
-    sample = [r[0] or "" for r in pages.select(html_col).where(F.col(html_col).isNotNull()).orderBy(F.xxhash64(html_col), html_col).limit(SAMPLE_PAGES).collect()]
+    page = pages.select(F.col(html_col).alias("h"), F.octet_length(html_col).alias("n"), F.xxhash64(html_col).alias("k")).where(F.col("n") <= PAGE_BYTES).orderBy("k", "h").limit(SAMPLE_PAGES)
+    upto = F.sum("n").over(Window.orderBy("k", "h").rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows
+    sample = [r[0] for r in page.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("h").collect()]
     model = spark.sparkContext.broadcast(trained(sample).p)
-    rest = [c for c in pages.columns if c != html_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col), f"`{text_col}` string"])
+    rest = [c for c in pages.columns if c not in (html_col, text_col)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in rest), f"`{text_col}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(np.random.default_rng(0))
