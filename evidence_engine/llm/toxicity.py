@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network over characters and words with attention pooling.
 
 Bytes of a word run through one bidirectional GRU and are pooled by attention; that vector, a hashed word
-embedding and the word's log-odds (from the training sample, by hash) are the word. Overlapping windows of
-words run through a second bidirectional GRU with attention pooling to a logit. All windows of the whole text
+embedding are the word; one coordinate of the embedding begins at the word's log-odds in the sample. Windows of
+words, each half over the one before, run through a second bidirectional GRU with attention pooling to a logit. All windows of the whole text
 are scored; the text's logit is the largest, calibrated by a logistic curve on the sample. Everything is
 trained here in numpy: first the characters on words whose log-odds are clear, then all layers on the window
 of each text that scores highest.
@@ -11,7 +11,8 @@ Inputs are the text alone. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` a
 cut into pieces of ``LONGEST`` bytes, so that none of a text is left out.
 
 Defined cases: null text is empty; a text without words is one empty window and gets a score; without usable
-labels all scores are 0.5, with labels of one class that class's smoothed rate; equal texts score alike.
+labels all scores are 0.5, with labels of one class that class's smoothed rate; equal texts score alike; a
+column of the documents that is named as the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import nets as N
@@ -29,10 +30,12 @@ from . import shared as S
 
 #: Labelled rows, those of the least hash of their id, that the network is trained on at most.
 SAMPLE_ROWS = 8000
-WINDOW, STRIDE, LONGEST = 32, 24, 24
-CHAR_IN, CHAR_HIDDEN, WORD_HIDDEN, EMBED, BUCKETS, ODDS = 8, 10, 8, 8, 1 << 14, 1 << 18
+#: Bytes of such a row's text at most, and of all of them together.
+ROW_BYTES, SAMPLE_BYTES = 1 << 20, 64 << 20
+WINDOW, STRIDE, LONGEST = 32, 16, 24
+CHAR_IN, CHAR_HIDDEN, WORD_HIDDEN, EMBED, BUCKETS = 8, 10, 8, 8, 1 << 16
 CHAR_OUT = 2 * CHAR_HIDDEN
-INPUTS = CHAR_OUT + EMBED + 1
+INPUTS = CHAR_OUT + EMBED
 #: Bytes of text that are scored together.
 SLICE = 6 << 20
 
@@ -97,8 +100,7 @@ class Network:
             self.p |= {name + k: v for k, v in N.init(rng, inputs, hidden, 3).items()}
         small = lambda n: (rng.standard_normal(n) * 0.3).astype(N.F4)
         self.p |= {"ca": small(CHAR_OUT), "cw": small(CHAR_OUT), "cbias": np.zeros(1, N.F4), "wa": small(2 * WORD_HIDDEN), "xa": np.zeros(INPUTS, N.F4), "wo": small(2 * WORD_HIDDEN), "xo": np.zeros(INPUTS, N.F4), "bias": np.zeros(1, N.F4)}
-        self.p["xa"][-1] = self.p["xo"][-1] = 1
-        self.odds = np.zeros(ODDS, N.F4)
+        self.p["xa"][CHAR_OUT] = self.p["xo"][CHAR_OUT] = 1
         self.slope, self.shift = 1.0, 0.0
 
     # Characters of distinct words.
@@ -143,8 +145,7 @@ class Network:
         for a in range(0, len(order), most):
             at = order[a : a + most]
             x[at, :CHAR_OUT] = self.chars(w.bytes[at], w.length[at])
-        x[:, CHAR_OUT:-1] = self.p["we"][(w.hash % np.uint64(BUCKETS)).astype(np.int64)]
-        x[:, -1] = self.odds[(w.hash % np.uint64(ODDS)).astype(np.int64)]
+        x[:, CHAR_OUT:] = self.p["we"][(w.hash % np.uint64(BUCKETS)).astype(np.int64)]
         return x
 
     # Windows of words.
@@ -235,7 +236,8 @@ def constant(ones: float, rows: int) -> Network:
     return model
 
 
-def trained(texts: list[str], y: np.ndarray, epochs: int = 5, seed: int = 3) -> Network:
+def trained(texts: list[str], y: np.ndarray, epochs: int = 5, seed: int = 3, begin_at_odds: float = 1.0) -> Network:
+    """begin_at_odds 0: the embedding begins without what the labels say of single words."""
     y = np.asarray(y, float)
     if not len(y) or y.sum() in (0, len(y)):
         return constant(float(y.sum()), len(y))
@@ -248,11 +250,12 @@ def trained(texts: list[str], y: np.ndarray, epochs: int = 5, seed: int = 3) ->
     odds = np.log((w.with_label + 0.5) / (y.sum() + 1)) - np.log((w.without + 0.5) / (len(y) - y.sum() + 1))
     texts_with = w.with_label + w.without
     enough = texts_with >= 4
-    slot = (w.hash % np.uint64(ODDS)).astype(np.int64)
-    best = np.zeros(ODDS)
+    slot = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
+    best = np.zeros(BUCKETS)
     np.add.at(best, slot, texts_with)  # a slot that several words share goes by the common ones
     share = enough & (texts_with > 0.5 * best[slot])
-    model.odds[slot[share]] = np.clip(odds[share] / 4, -1, 1.5)
+    model.p["we"][:, 0] = 0
+    model.p["we"][slot[share], 0] = np.clip(odds[share] / 4, -1, 1.5) * begin_at_odds
     _learn_characters(model, w, np.flatnonzero(enough), odds, rng)
     _learn_windows(model, data, off, y, epochs, rng)
     z = model.logits(data, off).astype(float)
@@ -322,15 +325,14 @@ def _step(model: Network, adam: N.Adam, own: list) -> None:
     kc: dict = {}
     x[:, :CHAR_OUT] = model.chars(codes, lengths, kc)
     bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    x[:, CHAR_OUT:-1] = model.p["we"][bucket]
-    x[:, -1] = model.odds[(hashes % np.uint64(ODDS)).astype(np.int64)]
+    x[:, CHAR_OUT:] = model.p["we"][bucket]
     kw: dict = {}
     z = model.windows(x, place, np.cumsum(n) - n, n, kw)
     g: dict = {}
     dx = model.windows_back(((N.sigmoid(z) - target) / len(own)).astype(N.F4), kw, g)
     model.chars_back(dx[:, :CHAR_OUT], kc, g)
     g["we"] = np.zeros_like(model.p["we"])
-    np.add.at(g["we"], bucket, dx[:, CHAR_OUT:-1])
+    np.add.at(g["we"], bucket, dx[:, CHAR_OUT:])
     adam.step(g)
 
 
@@ -348,15 +350,18 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Network:
-    sample = quality.labelled_sample(docs, labels, label, rows).orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
+    sample = quality.labelled_sample(docs, labels, label, rows).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("n") <= ROW_BYTES)
+    sample = sample.orderBy(F.xxhash64("id"), "id").limit(rows)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows
+    sample = sample.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("text", "y").toPandas()
     return trained(sample["text"].fillna("").tolist(), sample["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: Network, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The documents' columns without the text, and the score of the whole text."""
     S.arrow_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col), f"`{score_col}` double"])
+    rest = [c for c in docs.columns if c not in (text_col, score_col)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest), f"`{score_col}` double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
