@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidence_engine.llm import jaccard, mixing, quality, tokens, winnow
-from evidence_engine.llm.shared import settled
+from evidence_engine.llm.shared import discard_since, made, settled
 
 STAGES = [
     ("quality", quality.stage),
@@ -24,7 +24,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns. A stage's own scratch and its input go as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made()
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_since(spark, since, docs)
     return docs

@@ -85,7 +85,7 @@ def _part(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns and STATS, under PREFIX, of the whole texts."""
-    S.arrow_batches(df.sparkSession)
+    S.arrow_batches(df.sparkSession, mb=4)
     schema = T.StructType([*df.schema.fields, *(T.StructField(PREFIX + s, T.DoubleType()) for s in STATS)])
     at = df.columns.index(text_col)
     names = [*df.columns, *(PREFIX + s for s in STATS)]

@@ -138,7 +138,7 @@ def vocabulary(path: str | None = None) -> str:
 def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, options: dict | None = None) -> None:
     """Writes (doc_id, n_tokens, tokens) in ascending doc_id order."""
     spark = docs.sparkSession
-    S.arrow_batches(spark)
+    S.arrow_batches(spark, mb=8)
     model = spark.sparkContext.broadcast(vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,7 +54,7 @@ def test_toxicity_learns_words_and_stems(spark):
     rows = corpus(400)
     docs, labels = frames(spark, rows)
     model = toxicity.fitted(docs, labels)
-    got = toxicity.scored(docs.withColumn("row", F.lit("clash")), model).withColumn("held", quality.S.crc_mod(F.col("doc_id"), 4) == 2).collect()
+    got = toxicity.scored(docs.withColumn("score", F.lit("clash")), model).withColumn("held", quality.S.crc_mod(F.col("doc_id"), 4) == 2).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     want = {i: t for i, _, t, _ in rows}
     held = [(r.score >= 0.3) == want[r.doc_id] for r in got if r.held and r.doc_id in want]
@@ -71,7 +71,6 @@ def test_toxicity_gradients(monkeypatch):
     rng = np.random.default_rng(0)
     m = toxicity.Network(rng)
     m.p = {k: v.astype(float) for k, v in m.p.items()}
-    m.odds = rng.standard_normal(toxicity.ODDS)
     raw = [b"the idiot said hello to abc", "déjà vu of words".encode(), b"xy"]
     w = toxicity.Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
     _, begin, length = toxicity.windows(w.first)
@@ -80,8 +79,7 @@ def test_toxicity_gradients(monkeypatch):
     def forward(kc=None, kw=None):
         x = np.zeros((len(w.hash), toxicity.INPUTS))
         x[:, : toxicity.CHAR_OUT] = m.chars(w.bytes, w.length, kc)
-        x[:, toxicity.CHAR_OUT : -1] = m.p["we"][(w.hash % np.uint64(toxicity.BUCKETS)).astype(int)]
-        x[:, -1] = m.odds[(w.hash % np.uint64(toxicity.ODDS)).astype(int)]
+        x[:, toxicity.CHAR_OUT :] = m.p["we"][(w.hash % np.uint64(toxicity.BUCKETS)).astype(int)]
         return m.windows(x, w.place, begin, length, kw)
 
     loss = lambda: float((np.log1p(np.exp(z := forward())) - y * z).sum())
@@ -113,7 +111,8 @@ def test_main_text(spark, sf):
 
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     more = pages.limit(1).select(F.lit(-1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("html")).unionByName(pages.limit(1).select(F.lit(-2).cast("long").alias("page_id"), "url", F.lit("<nav><a href=x>Menu</a></nav>").alias("html")))
-    got = {r.page_id: r.text for r in html.extracted(pages.unionByName(more).withColumn("path", F.lit("clash"))).collect()}
+    got = {r.page_id: r.text for r in html.extracted(pages.unionByName(more).withColumn("text", F.lit("clash"))).collect()}
+    assert html.extracted(pages.limit(0)).isEmpty()
     assert got[-1] == "" and got[-2] == ""
 
     def truth(h):
@@ -134,6 +133,46 @@ def test_main_text_of_other_layouts():
     assert np.mean(hits) > 0.96
 
 
+def test_main_text_of_hard_pages(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(50).collect()]
+    model = html.trained(pages)
+    body = "<h1>Head of it</h1><p>First paragraph of the text, of some length.</p><p>Second one, of some length too.</p>"
+    want = ["Head of it", "First paragraph of the text, of some length.", "Second one, of some length too."]
+
+    def text(page):
+        found = html.blocks(page)
+        return [b.text for b, yes in zip(found, model.label([found])[0]) if yes]
+
+    nav, foot = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>", "<footer>© 2020 someone</footer>"
+    for out, within in ((5, 11), (8, 11), (30, 11), (0, 0), (40, 40)):
+        assert text(f"<body>{nav}{'<div>' * out}<article>{'<div>' * within}{body}{'</div>' * within}</article>{'</div>' * out}{foot}") == want
+    assert text(f"<body>{nav}<article>{body}<div class=comments><p>I do not agree at all.</p><div><div><p>Nor do I, said another.</p></div></div></div></article>{foot}") == want
+    deep = f"<body>{nav}<article>{body}<section class='comments'>{'<div>' * 30}<p>A deep reply.</p>{'</div>' * 30}</section></article>{foot}"
+    assert text(deep) == want
+    assert text(f"<body>{nav}<article>{body}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds here.</p><select><option>pick</select></article>{foot}") == [*want, "So x=1 holds here."]
+    assert text(f"<body>{nav}<main>{body}</main>{foot}") == want
+    assert [b.text for b in html.blocks("İİİİ<script>if (a</b) x</SCRIPT>after<style>p</style> it")] == ["İİİİafter it"]
+    many = html.blocks("<article>" + "<p>word after word</p>" * 100_000)
+    assert len(many) == 100_000 and np.mean(model.label([many])[0]) > 0.99
+    long = "<div class=" + "z" * 100_000 + "><p>x"
+    assert html.blocks(long)[0].text == "x"
+    out = model.label([[], html.blocks(body)])
+    assert out[0] == [] and len(out[1]) == 3
+
+
+def test_toxic_passages_across_window_borders():
+    rng = np.random.default_rng(4)
+    texts, y = zip(*((t, bad) for _, t, bad, _ in corpus(400)))
+    model = toxicity.trained(list(texts), np.array(y))
+    for at in range(0, 70, 3):
+        w = list(rng.choice(["the", "anly", "oned", "ering"], 80))
+        w[at : at + 2] = ["idiotly", "scum"]
+        raw = " ".join(w).encode()
+        assert model.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] >= 0.3
+    row, begin, length = toxicity.windows(np.array([0, 100]))
+    assert begin.tolist() == [0, 16, 32, 48, 64, 80] and (begin + length).max() == 100  # each window begins in the middle of the one before
+
+
 def test_mtree_is_exact(spark):
     rng = np.random.default_rng(2)
     v = [[float(x) for x in rng.standard_normal(6)] for _ in range(150)]

@@ -65,51 +65,119 @@ def test_winnowing_without_items_or_documents(spark, docs):
     assert winnow.decontaminate(df.limit(0), none)[0].isEmpty()
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
-def test_jaccard_components(spark, k, percent):
-    rng = np.random.default_rng(k)
-    words = [f"v{i}" for i in range(60)]
+def brute_components(rows, k, percent):
+    """(sets by row, smallest id that links reach by id) of (id, text) rows; rows of one id pool."""
+    sets, parent = [], {i: i for i, _ in rows if i is not None}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", az(t))
+        sets.append({tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, _), x in zip(rows, sets):
+        for (b, _), y in zip(rows, sets):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    return sets, {i: root(i) for i in parent}
+
+
+def edited(rng, words, families, copies, edits, longest=70):
     rows = []
-    for g in range(12):
-        base = list(rng.choice(words, int(rng.integers(1, 70))))
-        for copy in range(int(rng.integers(1, 6))):
+    for _ in range(families):
+        base = list(rng.choice(words, int(rng.integers(1, longest))))
+        for _ in range(int(rng.integers(1, copies))):
             own = list(base)
-            for _ in range(int(rng.integers(0, 5))):
+            for _ in range(int(rng.integers(0, edits))):
                 own[int(rng.integers(len(own)))] = "x" + str(rng.integers(1000))
             rows.append((len(rows) + 1, " ".join(own)))
-    rows += [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A  b"), (None, "a b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: (r.n, r.comp) for r in jaccard.near_classes(df, k=k, percent=percent)[0].collect()}
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", az(t))
-        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-    comp = {i: i for i, _ in rows if i is not None}
-    changed = True
-    while changed:
-        changed = False
-        for a in comp:
-            for b in comp:
-                x, y = sets[a], sets[b]
-                if x and y and 100 * len(x & y) >= percent * len(x | y) and comp[a] != comp[b]:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-                    changed = True
-    assert got[None] == (len(sets[None]), None)
-    assert {i: v for i, v in got.items() if i is not None} == {i: (len(sets[i]), comp[i]) for i in comp}
+    return rows
+
+
+@pytest.mark.parametrize("k,percent,part_bytes", [(3, 90, jaccard.PART_BYTES), (5, 80, jaccard.PART_BYTES), (2, 50, jaccard.PART_BYTES), (3, 80, 900)])
+def test_jaccard_components(spark, k, percent, part_bytes):
+    rng = np.random.default_rng(k)
+    rows = edited(rng, [f"v{i}" for i in range(60)], 12, 6 if part_bytes > 900 else 14, 5)
+    long = " ".join(rng.choice([f"l{i}" for i in range(9000)], 30_000))
+    rows += [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A  b"), (None, "a b"), (905, long), (906, long + " more"), (905, rows[0][1]), (907, rows[1][1]), (907, rows[1][1]), (908, "other words of this very id"), (908, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("id", "th", "cls", "n", "comp", "fam")})
+    got = Counter((r.id, r.n, r.comp) for r in jaccard.near_classes(df, k=k, percent=percent, part_bytes=part_bytes)[0].collect())
+    sets, comp = brute_components(rows, k, percent)
+    assert got == Counter((i, len(x), comp.get(i)) for (i, _), x in zip(rows, sets))
     assert jaccard.near_classes(df.limit(0))[0].isEmpty()
 
 
+def test_jaccard_families_of_unrelated_sets_stay_small(spark):
+    """20,000 short texts that share a passage and some common words with each other: none has a partner, and none gets one."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(rng.choice([f"p{i}" for i in range(50)], 12))
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 400, int(rng.integers(10, 40)))] + ([passage] if i % 3 == 0 else []))) for i in range(20_000)]
+    rows += [(30_000 + i, rows[i * 700][1] + " more") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, links = jaccard.near_classes(df, k=2, percent=80)
+    assert links.count() <= 20 and all(r.id - 30_000 == r.comp // 700 for r in got.where("id <> comp").collect())
+    want = {i for i, t in rows[20_000:] if (lambda a, b: 100 * len(a & b) >= 80 * len(a | b))(*({tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split(), t.split()[:-1])))}
+    assert {r.id for r in got.where("id <> comp").collect()} == want
+
+
+def test_jaccard_stage_keeps_one_of_each_group(spark):
+    rng = np.random.default_rng(9)
+    rows = edited(rng, [f"v{i}" for i in range(60)], 8, 6, 4)
+    rows += [(700, None), (701, " "), (None, "x y z"), (None, "x y z"), (702, "only here these five words"), (702, "only here these five words"), (1, "text of another kind under a used id"), (703, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(7), "th": F.lit("x")})
+    got = Counter((r.doc_id, r.text) for r in jaccard.stage(spark, df, "").collect())
+    own = [(j, t) for j, (i, t) in enumerate(rows)]  # each row for itself, the rows of null id and without words apart
+    sets, comp = brute_components([(j, t if rows[j][0] is not None else None) for j, t in own], 5, 80)
+    want = Counter()
+    for root in set(comp.values()):
+        group = [j for j in comp if comp[j] == root]
+        want[min((rows[j][0], rows[j][1]) for j in group) if sets[root] else rows[root]] += 1
+    assert {i for i, _ in got} == {i for i, _ in want} and sum(got.values()) == sum(want.values())
+    assert got[(None, "x y z")] == 2 and got[(702, "only here these five words")] == 1 and got[(1, "text of another kind under a used id")] == 1
+    assert jaccard.stage(spark, df.limit(0), "").isEmpty()
+
+
+def test_a_family_gives_fewer_links_than_it_has_sets():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.int64).astype(np.uint64)
+    sets = []
+    for _ in range(400):
+        own = base.copy()
+        at = rng.choice(120, int(rng.integers(0, 16)), replace=False)
+        own[at] = rng.integers(0, 1 << 63, len(at), dtype=np.int64).astype(np.uint64)
+        sets.append(np.unique(own))
+    every = np.ones(400, bool)
+    links = jaccard.linked(sets, np.arange(400), every, every, 80)
+    parent = list(range(400))
+    for join in (lambda: links, lambda: [(i, j) for i in range(400) for j in range(i) if jaccard.may_link(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80)]):
+        pairs, parent = join(), list(range(400))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+        roots = [root(i) for i in range(400)]
+        want = roots if pairs is links else want
+    assert roots == want and len(links) < 400
+
+
 def test_count_vector_tree_loses_no_pair():
     rng = np.random.default_rng(0)
-    vec = rng.integers(0, 6, (400, jaccard.GROUPS)).astype(np.uint32)
+    vec = rng.integers(0, 6, (400, jaccard.GROUPS)).astype(np.int32)
     vec[200:] = vec[:200]
     vec[200:, :3] += 1
-    n, comp = vec.sum(axis=1).astype(np.int64), np.arange(400)
-    found = set()
-    for q, p in jaccard.CountRTree(vec, n, comp).search(vec, n, comp, 80):
-        found |= set(zip(q.tolist(), p.tolist()))
-    want = {(i, j) for i in range(400) for j in range(400) if i != j and 180 * np.minimum(vec[i], vec[j]).sum() >= 80 * (n[i] + n[j])}
-    assert want <= found
+    n = vec.sum(axis=1).astype(np.int64)
+    tree = jaccard.CountRTree(vec, n)
+    for i in range(400):
+        found = set(tree.order[tree.near(vec[i], int(n[i]), 80, np.ones(400, bool))].tolist())
+        assert {j for j in range(400) if 180 * np.minimum(vec[i], vec[j]).sum() >= 80 * (n[i] + n[j])} <= found
 
 
 def test_token_files_round_trip(spark, docs, tmp_path):
@@ -176,7 +244,8 @@ def fill(sizes, weights, most=3):
 def test_mixing_targets_and_takes(spark, docs):
     df, _ = docs
     size = lambda t: len(re.findall(mixing.SIZE, t or ""))
-    placed, spans, slots = mixing.mixed(df.withColumn("size", F.lit("clash")).drop("size"), block_words=8, bucket_rows=7, shard_words=500)
+    clash = df.withColumns({c: F.lit("clash") for c in ("size", "source_size", "target", "skey", "start")})
+    placed, spans, slots, counts = mixing.mixed(clash, block_words=8, bucket_rows=7, shard_words=500)
     rows = placed.collect()
     assert len(rows) == df.count()
     by = {}
@@ -188,12 +257,40 @@ def test_mixing_targets_and_takes(spark, docs):
     assert all(abs(target[k] - v) < 1e-6 * max(v, 1) for k, v in zip(names, want))
     taken = mixing.takes(spans, slots).cache()
     assert taken.agg(F.max("times")).first()[0] <= 3
+    shards = counts.agg(F.max("shard")).first()[0] + 1
     per = {r.skey: r.t for r in taken.groupBy("skey").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("t")).collect()}
     for r in rows:
-        assert abs(per.get(r.skey, 0) - r.target) <= 16
+        assert abs(per.get(r.skey, 0) - r.target) <= 8 * (2 + shards)
     assert slots.groupBy("skey", "slot").count().where("count > 1").isEmpty()
     covered = spans.groupBy("skey").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()
     assert {r.skey: r.n for r in covered} == {r.skey: r.source_size for r in rows if r.source_size}
+    # The words that slots take from each document, one by one.
+    word = {}
+    for r in rows:
+        for w in range(r.start, r.start + r.size):
+            word[r.skey, w] = (r.skey, r.start)
+    times = Counter()
+    for s in slots.collect():
+        for w in range(8 * s.block, 8 * s.block + 8):
+            if (s.skey, w) in word:
+                times[word[s.skey, w]] += 1
+    got = {(r.skey, r.start): r.t for r in taken.groupBy("skey", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("t")).collect()}
+    assert got == dict(times)
+
+
+def test_mixing_draws_decide(spark, docs):
+    df, _ = docs
+    seen = []
+    for seed in (0, 0, 1):
+        _, spans, slots, counts = mixing.mixed(df, block_words=8, shard_words=500, seed=seed)
+        drawn = {(r.shard, r.skey): r.slots for r in counts.collect()}
+        filled = Counter((r.shard, r.skey) for r in slots.collect())
+        assert all(filled[k] <= n for k, n in drawn.items()) and sum(drawn.values()) - sum(filled.values()) <= 2 * len(drawn)
+        seen.append((drawn, sorted(map(tuple, mixing.takes(spans, slots).collect()))))
+    assert seen[0] == seen[1] and seen[0][0] != seen[2][0] and seen[0][1] != seen[2][1]
+    rng = np.random.default_rng(0)
+    draws = np.array([mixing.drawn(np.array([2.5, 0.25, 7.0, 0.75]), rng) for _ in range(4000)])
+    assert np.abs(draws.mean(axis=0) - [2.5, 0.25, 7, 0.75]).max() < 0.05 and draws[:, 2].max() == 7 and mixing.drawn(np.zeros(2), rng).tolist() == [0, 0]
 
 
 def test_mixing_stage_takes_what_the_plan_takes(spark, docs):
@@ -201,7 +298,7 @@ def test_mixing_stage_takes_what_the_plan_takes(spark, docs):
     out = mixing.stage(spark, df, "")
     assert out.columns == df.columns
     words = sum(len(re.findall(mixing.SIZE, r.text)) for r in out.collect())
-    _, spans, slots = mixing.mixed(df)
+    _, spans, slots, _ = mixing.mixed(df)
     assert words == mixing.takes(spans, slots).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times"))).first()[0]
     assert mixing.stage(spark, df.limit(0), "").isEmpty()
 
