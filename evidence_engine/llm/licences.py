@@ -1,8 +1,9 @@
 """Licence scan: whole texts are brought to a canonical form, and its digest is looked up.
 
-The canonical form lower-cases A-Z, drops lines that begin with a copyright notice or are "all rights
-reserved", takes every run of other characters than a-z, 0-9 and those beyond ASCII as one space, and writes
-equivalent spellings one way. DataFrame functions only; the digest, not the text, meets the licences.
+The canonical form lower-cases A-Z, drops copyright notices (lines where (c), ©, a year or a holder follows
+"copyright", and "all rights reserved" lines), takes every run of code points but letters, marks and digits as one
+space, and writes equivalent spellings one way. A line that begins with "copyright" and goes on as licence bodies do
+is no notice, so it does not matter where lines end. DataFrame functions only; the digest, not the text, meets the licences.
 
 The licences are broadcast up to ``BROADCAST_ROWS`` rows of two short strings; beyond that the join is
 shuffled and Spark splits hot digests.
@@ -35,11 +36,8 @@ EQUIVALENT = [
     ("https", "http"),
 ]
 
-_NOTICE = r"(^|\n)[ \t\r*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-_WORDLESS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-#: More of the SPDX list, and forms of the same words.
-MORE_EQUIVALENT = [
+#: More of the same list, and forms of the same words.
+EQUIVALENT += [
     ("analysed", "analyzed"), ("artefacts", "artifacts"), ("authorise", "authorize"), ("authorising", "authorizing"), ("calibre", "caliber"), ("capitalisations", "capitalizations"),
     ("categorise", "categorize"), ("emphasised", "emphasized"), ("favourite", "favorite"), ("favours", "favors"), ("fulfils", "fulfills"), ("fulfilment", "fulfillment"),
     ("labour", "labor"), ("licencing", "licensing"), ("maximise", "maximize"), ("modelled", "modeled"), ("offence", "offense"), ("organise", "organize"),
@@ -49,8 +47,12 @@ MORE_EQUIVALENT = [
 
 #: After "copyright": words of a licence body, where a notice has (c), ©, a year or a holder. Wrapped body lines begin so.
 _BODY = "notices?|holders?|owners?|laws?|licen[cs]\\w*|statements?|and|or|nor|in|is|are|to|of|as|at|by|on|for|with|that|this|which|the|treaty|treaties|acts?|interests?|disclaimers?|protection|permission|status|infringement|rights?|restrictions?|material|ownership|may|must|shall|will|can|does|law|legend|grant|year|claims?|information|term|under|from|if|it|its|however"
-_FULL_NOTICE = rf"(^|\n)[\s*#/;\p{{Z}}-]*((\(c\)|©)[\s\p{{Z}}]*(copyright|[0-9]{{4}})[^\n]*|©[^\n]*|copyright[\s\p{{Z}}]*(\(c\)|©|[0-9]{{4}})[^\n]*|copyright[ \t]+(?!({_BODY})\b)[^\s][^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|$))"
-_FULL_WORDLESS = r"[^\p{L}\p{M}\p{N}]+"
+_LEAD = r"(^|\n)([ \t\r\n*#/;\p{Z}-]*)"
+#: Patterns in the order of use, and what stands for a match, as text between its first two groups and its third and fourth.
+_BODY_LINE = rf"{_LEAD}copyright([ \t]+)({_BODY})\b"
+_NOTICE = rf"{_LEAD}((\(c\)|©)[ \t\p{{Z}}]*(copyright|[0-9]{{4}})[^\n]*|©[^\n]*|copyright[ \t\p{{Z}}]*(\(c\)|©|[0-9]{{4}})[^\n]*|copyright[ \t]+[^ \t\r\n\x01][^\n]*)"
+_RESERVED = rf"{_LEAD}all rights reserved[^\p{{L}}\p{{N}}\n]*(\n|\z)"
+_WORDLESS = r"[^\p{L}\p{M}\p{N}]+"
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -116,7 +118,7 @@ TITLES = {
 _END = "END OF TERMS AND CONDITIONS"
 
 
-def known_whole() -> list[tuple[str, str]]:
+def known_texts() -> list[tuple[str, str]]:
     """KNOWN, the full texts in licence_texts (also without what follows their terms), and both under their titles."""
     texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
     texts += [(name, text[: text.index(_END) + len(_END)]) for name, text in texts if _END in text]
@@ -124,40 +126,33 @@ def known_whole() -> list[tuple[str, str]]:
     return [*KNOWN, *texts, *((name, f"{title}\n\n{text}") for name, text in bare for title in TITLES.get(name, []))]
 
 
-def _canonical(text: Column, notice: str, wordless: str, equivalent: list[tuple[str, str]]) -> Column:
-    low = S.lower_az(F.coalesce(text.cast("string"), F.lit("")))
-    bare = F.regexp_replace(low, notice, "\n")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, wordless, "  "), F.lit(" "))
-    same = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), equivalent, spaced)
-    return F.regexp_replace(same, " +", " ")
-
-
 def canonical(text: Column) -> Column:
     """Words of the canonical form, one space before, between and after them; one space if there are none."""
-    return _canonical(text, _NOTICE, _WORDLESS, EQUIVALENT)
-
-
-def canonical_whole(text: Column) -> Column:
-    """canonical, where every code point but letters, marks and digits separates words, and only a copyright line that names (c), ©, a year or a holder is a notice."""
-    return _canonical(text, _FULL_NOTICE, _FULL_WORDLESS, EQUIVALENT + MORE_EQUIVALENT)
+    low = S.lower_az(F.coalesce(text.cast("string"), F.lit("")))
+    marked = F.regexp_replace(low, _BODY_LINE, "$1$2copyright\x01$3$4")
+    bare = F.regexp_replace(F.regexp_replace(marked, _NOTICE, "\n"), _RESERVED, "\n")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, _WORDLESS, "  "), F.lit(" "))
+    same = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUIVALENT, spaced)
+    return F.regexp_replace(same, " +", " ")
 
 
-def digest(text: Column, form=canonical) -> Column:
-    return F.sha2(form(text).cast("binary"), 256)
+def digest(text: Column) -> Column:
+    return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known))
+def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in known or known_texts()))
     return spark.range(1).select(F.inline(rows))
 
 
-def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", form=canonical) -> DataFrame:
+def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, canonical_sha256, license_id or null), a row a document."""
-    words = form(F.col("text")) != " "
-    known = licences.where(words & F.col("license_id").isNotNull()).groupBy(digest(F.col("text"), form).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    words = canonical(F.col("text")) != " "
+    known = licences.where(words & F.col("license_id").isNotNull()).groupBy(digest(F.col("text")).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    known = S.settled(known, "licences")
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col), digest(F.col(text_col), form).alias("canonical_sha256"))
+    rows = docs.select(F.col(id_col), digest(F.col(text_col)).alias("canonical_sha256"))
     return rows.join(known, "canonical_sha256", "left").select(id_col, "canonical_sha256", "license_id")
 
 
@@ -165,14 +160,11 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark))
 
 
-def op7_whole(spark, sf_dir: str) -> DataFrame:
-    """op7 against the whole list of texts, in the whole canonical form; OP7_SQL has KNOWN and the narrower form."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_licences(spark, known_whole()), form=canonical_whole)
-
-
 def _sql(text: str) -> str:
     e = f"translate(coalesce({text}, ''), '{S.UPPER_AZ}', '{S.LOWER_AZ}')"
-    e = f"regexp_replace({e}, '{_NOTICE}', chr(10), 'g')"
+    e = f"regexp_replace({e}, '{_BODY_LINE}', '\\1\\2copyright' || chr(1) || '\\3\\4', 'g')"
+    for pattern in (_NOTICE, _RESERVED):
+        e = f"regexp_replace({e}, '{pattern}', chr(10), 'g')"
     e = f"' ' || regexp_replace({e}, '{_WORDLESS}', '  ', 'g') || ' '"
     for a, b in EQUIVALENT:
         e = f"replace({e}, ' {a} ', ' {b} ')"
@@ -184,7 +176,7 @@ def _quoted(text: str) -> str:
 
 
 OP7_SQL = f"""
-WITH l(license_id, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
+WITH l(license_id, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in known_texts())}),
 k AS (SELECT {_sql("text")} AS d, min(license_id) AS license_id FROM l GROUP BY 1),
 c AS (SELECT doc_id, {_sql("text")} AS d FROM documents)
 SELECT doc_id, c.d AS canonical_sha256, license_id FROM c LEFT JOIN k ON c.d = k.d

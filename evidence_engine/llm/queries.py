@@ -11,7 +11,6 @@ QUERIES = {
     "op5_token_ids": tokens.op5,
     "op10_block_mixing": mixing.op10,
     "op7_license_digest": licences.op7,
-    "op7_license_digest_whole": licences.op7_whole,
     "op6_mtree": mtree.op6,
     "op9_block_lstm": html.op9,
     "op1_bigru": toxicity.op1,

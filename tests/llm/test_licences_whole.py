@@ -12,7 +12,7 @@ def found(spark, tmp_path_factory):
     def run(texts):
         d = str(tmp_path_factory.mktemp("licences"))
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-        return [r.license_id for r in licences.op7_whole(spark, d).orderBy("doc_id").collect()]
+        return [r.license_id for r in licences.op7(spark, d).orderBy("doc_id").collect()]
 
     return run
 
@@ -38,3 +38,26 @@ def test_punctuation_wrapping_and_spelling(found):
     reflowed = ["\n".join(textwrap.wrap(terms, w)) for w in range(40, 90, 3)]
     texts = [curly, *wrapped, at_line_start, *(n + "\n" + mit for n in noticed), *reflowed, mit.replace("sublicense", "sub-license"), mit + "\n• more"]
     assert found(texts) == ["MIT", *["BSD-3-Clause"] * 4, *["MIT"] * 5, *["Apache-2.0"] * 17, "MIT", None]
+
+
+def test_lines_may_end_anywhere(found):
+    import textwrap
+
+    known = [(n, t) for n, t in dict(licences.KNOWN).items() if n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Zlib")]
+    texts, want = [], []
+    for name, text in known:
+        for width in range(40, 121):
+            texts.append("\n".join(textwrap.wrap(" ".join(text.split()), width)))
+            want.append(name)
+    assert found(texts) == want
+
+
+def test_sql_has_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    mit = dict(licences.KNOWN)["MIT"]
+    texts = [mit, "Copyright (c) 2020 X\nAll rights reserved.\n\n" + mit, "copyright\u00a0notice and\n copyright 1999 Y\n© Z\nthe\ncopyright holders", "Ünï — “x” ١٢ 漢字", None, "", "all rights reserved", "  Copyright Jane\nreleased under the mit licence", "a\ncopyright laws apply\nlicences\u2028programme"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(licences.OP7_SQL).fetchall()) == sorted(map(tuple, licences.op7(spark, str(tmp_path)).collect()))
