@@ -460,7 +460,7 @@ def _large_links(texts: DataFrame, k: int, percent: int, part_bytes: int) -> Dat
     cols = ["fam", "one", "two", "side", "cls", "comp"]
     met = asks.select(cols).union(answers.select(cols)).join(texts.select("cls", "text"), "cls").select(*cols, "text")
     size = (rows.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES
-    more = met.repartition(_tasks(spark, size), "fam", "one", "two").sortWithinPartitions("fam", "one", "two").mapInArrow(_family_links(k, percent), "a bigint, b bigint")
+    more = met.repartition(_tasks(spark, size), "fam", "one", "two").sortWithinPartitions("fam", "one", "two").mapInArrow(S.trimmed(_family_links(k, percent)), "a bigint, b bigint")
     return links.union(S.settled(more, "jaccard-more"))
 
 
@@ -475,7 +475,7 @@ def set_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     S.arrow_batches(spark, mb=4)
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"), text.alias("text"))
-    sigs = S.settled(source.mapInArrow(_digests(k), "id bigint, th bigint, bytes bigint, n bigint, d1 bigint, d2 bigint, common array<int>"), "jaccard-digests")
+    sigs = S.settled(source.mapInArrow(S.trimmed(_digests(k)), "id bigint, th bigint, bytes bigint, n bigint, d1 bigint, d2 bigint, common array<int>"), "jaccard-digests")
     stands = sigs.where("id is not null and n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "th", "bytes")).alias("f"))
     # Numbers are given as the table is written and read from it ever after.
     classes = S.settled(stands.select("n", "d1", "d2", "f.*", F.monotonically_increasing_id().alias("cls")), "jaccard-classes")
@@ -487,8 +487,8 @@ def set_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     buckets = int(-(-(sigs.agg(F.sum("bytes")).first()[0] or 1) // RANK_BYTES))
     named = source.where("id is not null").select("th", "text")
-    lists = named.mapInArrow(_listed(k, percent, buckets, spark.sparkContext.broadcast(bits.tobytes())), _LISTED)
-    ranked = lists.repartition(_tasks(spark, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_ranked, _RANKED)
+    lists = named.mapInArrow(S.trimmed(_listed(k, percent, buckets, spark.sparkContext.broadcast(bits.tobytes()))), _LISTED)
+    ranked = lists.repartition(_tasks(spark, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(S.trimmed(_ranked), _RANKED)
     local = ranked.repartition(_tasks(spark, buckets), "th").sortWithinPartitions("th").mapInArrow(_local_hubs, "at bigint, th bigint, hub bigint")
     star = local.repartition("at").sortWithinPartitions("at", "th").mapInArrow(_run_hubs, "hub bigint, th bigint").distinct()
     star = S.settled(star, "jaccard-star")
@@ -505,7 +505,7 @@ def set_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     small = source.drop("bytes").hint("merge").join(members.join(large, "fam", "left_anti"), ["id", "th"])
     small = small.select("fam", zero.alias("one"), zero.alias("two"), F.lit(2).alias("side"), "cls", F.col("cls").alias("comp"), "text").mapInArrow(_once_a_batch, _TEXTS)
     tasks = (members.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES
-    small = small.repartition(_tasks(spark, tasks), "fam").sortWithinPartitions("fam").mapInArrow(_family_links(k, percent), "a bigint, b bigint")
+    small = small.repartition(_tasks(spark, tasks), "fam").sortWithinPartitions("fam").mapInArrow(S.trimmed(_family_links(k, percent)), "a bigint, b bigint")
     links = S.settled(small, "jaccard-links")
     if not large.isEmpty():
         texts = source.drop("bytes").hint("merge").join(members.join(large, "fam"), ["id", "th"]).select("fam", zero.alias("one"), zero.alias("two"), F.lit(2).alias("side"), "cls", F.col("bytes").alias("comp"), "text")

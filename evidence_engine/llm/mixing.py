@@ -217,4 +217,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(F.xxhash64(*docs.columns).alias("row_hash"), F.hash(*docs.columns).alias("row_check"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
     joined = keyed.dropDuplicates(row).join(per_row, row).select(*names, "__spans").withColumnsRenamed(dict(zip(names, docs.columns)))
     at = docs.columns.index("text")
-    return joined.mapInArrow(_cut(at, docs.columns.index("n_chars") if "n_chars" in docs.columns else None, len(docs.columns)), docs.schema)
+    return joined.mapInArrow(S.trimmed(_cut(at, docs.columns.index("n_chars") if "n_chars" in docs.columns else None, len(docs.columns))), docs.schema)

@@ -95,7 +95,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             x = statistics(*S.flat(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(STATS)))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(S.trimmed(run), schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]

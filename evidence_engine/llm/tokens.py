@@ -56,6 +56,19 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT[[0x2C, 0x2E]] = True
 
 
+#: Bytes that begin what WHOLE finds: "<", U+001C to U+001F, and the first bytes of its code points beyond ASCII.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[0x3C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def suspects(data: np.ndarray, off: np.ndarray) -> list[int]:
+    """Rows in which WHOLE may find something."""
+    at = np.flatnonzero(_SUSPECT[data])
+    first, second = data[at], data[np.minimum(at + 1, len(data) - 1)] if len(data) else data
+    may = (first < 0x20) | ((first == 0x3C) & (second == 0x7C)) | ((first == 0xC2) & ((second == 0x85) | (second == 0xA0))) | ((first == 0xE1) & (second == 0x9A)) | ((first == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((first == 0xE3) & (second == 0x80))
+    return np.unique(np.searchsorted(off, at[may], side="right") - 1).tolist()
+
+
 def piece_starts(data: np.ndarray, off: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Where pieces begin: a word with the one U+0020 before it, else a run of spaces but its last, and that one.
 
@@ -145,14 +158,17 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = Non
         encode = encoder(model.value)
         for batch in batches:
             text = batch.column(1)
-            whole = np.array([WHOLE.search(t or "") is not None for t in text.to_pylist()], bool)
-            for a, b, part, off in S.slices(*S.flat(text), SLICE):
+            data, off = S.flat(text)
+            whole = np.zeros(len(text), bool)
+            for i in suspects(data, off):
+                whole[i] = WHOLE.search(text[i].as_py()) is not None
+            for a, b, part, off in S.slices(data, off, SLICE):
                 ids, counts = encode(part, off, whole[a:b], end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), S.lists(pa.array(ids), counts)], names=["doc_id", "n_tokens", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ranged.mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>").write.options(**(WRITER | (options or {}))).parquet(path)
+    ranged.mapInArrow(S.trimmed(run), "doc_id bigint, n_tokens bigint, tokens array<int>").write.options(**(WRITER | (options or {}))).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

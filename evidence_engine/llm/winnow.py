@@ -164,7 +164,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     slots = np.array([r[0] for r in items.select(F.col("hash").bitwiseAND(BITMAP_BITS - 1).cast("int").alias("slot")).distinct().toLocalIterator()], np.int64)
     bits = np.zeros(BITMAP_BITS // 8, np.uint8)
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    read = S.settled(source.mapInArrow(_reader(lengths, window, spark.sparkContext.broadcast(bits.tobytes())), f"id {kind}, rid bigint, n_words bigint, fps array<struct<{_FP}>>"), "winnow-docs")
+    read = S.settled(source.mapInArrow(S.trimmed(_reader(lengths, window, spark.sparkContext.broadcast(bits.tobytes()))), f"id {kind}, rid bigint, n_words bigint, fps array<struct<{_FP}>>"), "winnow-docs")
     small = items.drop("pos").distinct()
     small = F.broadcast(small) if items.count() <= BROADCAST_ROWS else small
     pairs = read.where(F.size("fps") > 0).select("id", "rid", F.inline("fps")).join(small, ["length", "hash", "body"])

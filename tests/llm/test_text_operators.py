@@ -223,6 +223,9 @@ def test_piece_ids_are_the_tokenizers(spark):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     raw = [x.encode() for x in texts]
     off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    assert {i for i, x in enumerate(texts) if tokens.WHOLE.search(x)} <= set(tokens.suspects(np.frombuffer(b"".join(raw), np.uint8), off))
+    for point in ("\x1c", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000", "<|endoftext|>"):
+        assert tokens.suspects(np.frombuffer(("a" + point).encode(), np.uint8), np.array([0, 1 + len(point.encode())])) == [0]
     ids, counts = encode(np.frombuffer(b"".join(raw), np.uint8), off, np.array([tokens.WHOLE.search(x) is not None for x in texts]), 7)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids + [7] for x in texts]
 
