@@ -160,8 +160,9 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = Non
             text = batch.column(1)
             data, off = S.flat(text)
             whole = np.zeros(len(text), bool)
-            for i in suspects(data, off):
-                whole[i] = WHOLE.search(text[i].as_py()) is not None
+            for a, _, part, of in S.slices(data, off):
+                for i in suspects(part, of):
+                    whole[a + i] = WHOLE.search(text[a + i].as_py()) is not None
             for a, b, part, off in S.slices(data, off, SLICE):
                 ids, counts = encode(part, off, whole[a:b], end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), S.lists(pa.array(ids), counts)], names=["doc_id", "n_tokens", "tokens"])
