@@ -152,14 +152,8 @@ def parse_address(s, d):
     return L(s, d).withColumn("sido", F.replace("sido", F.lit(" "), F.lit("_"))).select("doc_id", K.address(raw).alias("a")).select("doc_id", "a.*")
 
 
-@query(f"SELECT doc_id, {NORM('text')} AS normalized FROM documents WHERE lang = 'en'")
-def normalize_text(s, d):
-    return T(s, d, "documents").where("lang = 'en'").select("doc_id", K.normalize(c("text")).alias("normalized"))
-
-
 @query(f"SELECT doc_id, {NORM('text')} AS normalized FROM documents")
-def normalize_text_whole(s, d):
-    """normalize_text over the documents of all languages."""
+def normalize_text(s, d):
     return T(s, d, "documents").select("doc_id", K.normalize(c("text")).alias("normalized"))
 
 
@@ -366,14 +360,8 @@ def retrieval_fallback(s, d):
     return retrieve.gated(_ranked(s, d), 40.0)
 
 
-@query(_SCORES + "SELECT qid, string_agg('[' || doc || '] ' || substr(text, 1, 20), chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc = doc_id WHERE rank <= 3 GROUP BY qid")
-def context_block(s, d):
-    return retrieve.context_blocks(_ranked(s, d), T(s, d, "documents").withColumn("text", F.substring("text", 1, 20)), "doc_id", "text")
-
-
 @query(_SCORES + "SELECT qid, string_agg('[' || doc || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc = doc_id WHERE rank <= 3 GROUP BY qid")
-def context_block_whole(s, d):
-    """context_block with the whole texts."""
+def context_block(s, d):
     return retrieve.context_blocks(_ranked(s, d), T(s, d, "documents"), "doc_id", "text")
 
 
@@ -423,12 +411,6 @@ def failure_buckets(s, d):
     return evaluate.schema_buckets(evaluate.failure_flags(P(s, d)))
 
 
-@query(_BUCKETS_SQL)
-def failure_buckets_whole(s, d):
-    """The same eleven buckets."""
-    return evaluate.schema_buckets(evaluate.failure_flags(P(s, d)))
-
-
 _FAMILY = f"""CASE WHEN expected_router_type = '' OR expected_router_type = query_type THEN ''
   WHEN expected_router_type = 'RECOMMEND_COMPARATIVE' AND query_type = 'RECOMMEND_STRUCTURED' THEN CASE WHEN {HAS("question", C.SUBJECTIVE)} THEN 'subjective_quality_structured_instead_of_comparative' WHEN contains(question, '비교') AND {HAS("question", C.BAND_ORDER)} THEN 'area_band_comparative_structured_instead_of_comparative' ELSE 'comparative_expected_but_structured_actual' END
   WHEN expected_router_type = 'RECOMMEND_STRUCTURED' AND query_type = 'RECOMMEND_COMPARATIVE' THEN CASE WHEN contains(question, '비교') AND {HAS("question", C.BAND_ORDER)} THEN 'area_band_structured_but_comparative_actual' ELSE 'structured_expected_but_comparative_actual' END
@@ -524,24 +506,12 @@ def completeness_gate(s, d):
     return gates.completeness(P(s, d), 1_000_000).select("actual_rows", "distinct_rows", "empty_answers", "missing_rows", "verdict")
 
 
-@query("""WITH src AS (SELECT p_partkey AS source_row_index, p_name || CAST(p_partkey % 40 AS STRING) AS question FROM part WHERE p_partkey <= 150),
-  pr AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 170 END AS i, p_name || CAST(p_partkey % 40 AS STRING) AS question, p_partkey AS written FROM part WHERE p_partkey <= 400),
-  u AS (SELECT question, min(source_row_index) AS f FROM src GROUP BY question HAVING count(*) = 1), fl AS (SELECT coalesce(i, f) AS source_row_index, written FROM pr LEFT JOIN u USING (question))
-  SELECT source_row_index, max(written) AS written FROM fl WHERE source_row_index IN (SELECT source_row_index FROM src) GROUP BY 1""")
-def sanitize_outputs(s, d):
-    part = T(s, d, "part")
-    q = F.concat("p_name", (c("p_partkey") % 40).cast("string")).alias("question")
-    src = part.where("p_partkey <= 150").select(c("p_partkey").alias("source_row_index"), q)
-    pred = part.where("p_partkey <= 400").select(F.when(c("p_partkey") % 3 != 0, c("p_partkey") % 170).alias("source_row_index"), q, c("p_partkey").alias("written"))
-    return gates.sanitized(pred, src).select("source_row_index", "written")
-
-
 @query("""WITH src AS (SELECT p_partkey AS source_row_index, p_name || CAST(p_partkey % 40 AS STRING) AS question FROM part),
   pr AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN -p_partkey WHEN p_partkey % 5 = 2 THEN p_partkey - 1 ELSE p_partkey END AS i, p_name || CAST(p_partkey % 40 AS STRING) AS question, p_partkey AS written FROM part),
   u AS (SELECT question, min(source_row_index) AS f FROM src GROUP BY question HAVING count(*) = 1), fl AS (SELECT coalesce(i, f) AS source_row_index, written FROM pr LEFT JOIN u USING (question))
   SELECT source_row_index, max(written) AS written FROM fl WHERE source_row_index IN (SELECT source_row_index FROM src) GROUP BY 1""")
-def sanitize_outputs_whole(s, d):
-    """sanitize_outputs over all parts: every third index missing, every seventh-and-one stale, every fifth-and-two its neighbour's."""
+def sanitize_outputs(s, d):
+    """All parts: every third index missing, every seventh-and-one stale, every fifth-and-two its neighbour's."""
     key = c("p_partkey")
     rows = T(s, d, "part").select(key, F.concat("p_name", (key % 40).cast("string")).alias("question"))
     index = F.when(key % 3 == 0, None).when(key % 7 == 1, -key).when(key % 5 == 2, key - 1).otherwise(key)
@@ -573,14 +543,14 @@ def run_verdict(s, d):
 # Context and generation
 
 
-_DOCS = "docs AS (SELECT 'D' || CAST(doc_id AS STRING) AS doc, substr(text, 1, 50) AS content FROM documents WHERE doc_id < 15)"
+_DOCS = "docs AS (SELECT 'D' || CAST(doc_id AS STRING) AS doc, text AS content FROM documents)"
 _CITED = f"""{PRED}, {_DOCS}, k AS (SELECT source_row_index, list_filter(list_transform(string_split(cited_doc_ids, '|'), lambda x: trim(x)), lambda x: x <> '')[:2] AS ids FROM pred WHERE role = 'user'),
 f AS (SELECT source_row_index, p AS pos, ids[p] AS doc, content FROM k, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS p) JOIN docs ON docs.doc = ids[p])"""
 
 
 def _cited(s, d):
     rows = P(s, d).where("role = 'user'")
-    docs = T(s, d, "documents").where("doc_id < 15").select(F.concat(F.lit("D"), c("doc_id").cast("string")).alias("doc"), F.substring("text", 1, 50).alias("content"))
+    docs = T(s, d, "documents").select(F.concat(F.lit("D"), c("doc_id").cast("string")).alias("doc"), c("text").alias("content"))
     return rows, context.cited_documents(rows, docs, key="source_row_index", cited="cited_doc_ids", doc="doc")
 
 
@@ -589,36 +559,13 @@ def context_docs(s, d):
     return _cited(s, d)[1].select("source_row_index", "n_docs", F.coalesce(F.array_join(c("docs.doc"), ","), F.lit("")).alias("docs"))
 
 
-@query(_CITED + """ SELECT pred.source_row_index, concat_ws(chr(10), 'q=' || query_type || ';m=' || match_status || ';b=x', g.l) AS input FROM pred LEFT JOIN (SELECT source_row_index, string_agg('d=' || doc || ';s=' || CASE WHEN length(trim(content)) <= 12 THEN trim(content) ELSE rtrim(substr(trim(content), 1, 11)) || '…' END, chr(10) ORDER BY pos) AS l FROM f GROUP BY 1) g USING (source_row_index) WHERE role = 'user'""")
+@query()
 def contextual_input(s, d):
+    """Over all documents and whole texts; tests hold it against brute force."""
     rows, found = _cited(s, d)
     return context.contextual(rows.withColumn("sft_bucket", F.lit("x")), found, key="source_row_index", content="content").select("source_row_index", "input")
 
 
-_ALL_DOCS = "docs AS (SELECT 'D' || CAST(doc_id AS STRING) AS doc, text AS content FROM documents)"
-_ALL_CITED = f"""{PRED}, {_ALL_DOCS}, k AS (SELECT source_row_index, list_filter(list_transform(string_split(cited_doc_ids, '|'), lambda x: trim(x)), lambda x: x <> '')[:2] AS ids FROM pred WHERE role = 'user'),
-f AS (SELECT source_row_index, p AS pos, ids[p] AS doc, content FROM k, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS p) JOIN docs ON docs.doc = ids[p])"""
-
-
-def _all_cited(s, d):
-    rows = P(s, d).where("role = 'user'")
-    docs = T(s, d, "documents").select(F.concat(F.lit("D"), c("doc_id").cast("string")).alias("doc"), c("text").alias("content"))
-    return rows, context.cited_documents(rows, docs, key="source_row_index", cited="cited_doc_ids", doc="doc")
-
-
-@query(_ALL_CITED + " SELECT k.source_row_index, CAST(count(doc) AS INTEGER) AS n_docs, coalesce(string_agg(doc, ',' ORDER BY pos), '') AS docs FROM k LEFT JOIN f USING (source_row_index) GROUP BY 1")
-def context_docs_whole(s, d):
-    """context_docs over all documents."""
-    return _all_cited(s, d)[1].select("source_row_index", "n_docs", F.coalesce(F.array_join(c("docs.doc"), ","), F.lit("")).alias("docs"))
-
-
-@query()
-def contextual_input_whole(s, d):
-    """contextual_input over all documents and whole texts."""
-    rows, found = _all_cited(s, d)
-    return context.contextual(rows.withColumn("sft_bucket", F.lit("x")), found, key="source_row_index", content="content").select("source_row_index", "input")
-
-
 _SUBJ = "CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '(' || format('{:,.2f}', area) || '㎡)' ELSE name END"
 _QA = [("location", "' 위치 알려줘'", "subject || '은 ' || sido || ' ' || sigungu || ' ' || dong || '에 있습니다.'"), ("location", "'는 어느 지역에 있어'", "subject || '은 ' || sigungu || '에 있습니다.'"), ("price", "' 분양가 알려줘'", "subject || ' 공급액은 ' || format('{:,}', CAST(price AS BIGINT)) || '만원입니다.'"), ("fact", "' 세대수 알려줘'", "subject || '은 ' || format('{:,}', households) || '세대입니다.'"), ("fact", "' 전용면적 알려줘'", "subject || ' 전용면적은 ' || format('{:,.2f}', area) || '㎡입니다.'"), ("fact", "' 면적대 알려줘'", "subject || '은 ' || band || '입니다.'"), ("fact", "' 입주연도 알려줘'", "subject || '은 ' || year || '년 입주입니다.'"), ("transport", "' 지하철 거리 알려줘'", "subject || '에서 역까지 약 ' || format('{:,}', CAST(distance AS BIGINT)) || 'm입니다.'")]
 

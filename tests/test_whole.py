@@ -29,31 +29,31 @@ def cited(spark, d, texts):
         yield r, [(x, ids[x]) for x in asked if x in ids]
 
 
-def test_context_docs_whole(spark, docs):
+def test_context_docs(spark, docs):
     want = sorted((r.source_row_index, len(f), ",".join(x for x, _ in f)) for r, f in cited(spark, *docs))
     assert any("D19" in w[2] for w in want)
-    assert sorted(map(tuple, registry.QUERIES["context_docs_whole"](spark, docs[0]).collect())) == want
+    assert sorted(map(tuple, registry.QUERIES["context_docs"](spark, docs[0]).collect())) == want
 
 
-def test_contextual_input_whole(spark, docs):
+def test_contextual_input(spark, docs):
     def line(x, t):
         t = (t or "").strip()
         t = "" if t in WORDS else t
         return f"d={x};s=" + (t if len(t) <= 12 else t[:11].rstrip() + "…")
 
     want = sorted((r.source_row_index, "\n".join([f"q={r.query_type};m={r.match_status};b=x"] + [line(x, t) for x, t in f])) for r, f in cited(spark, *docs))
-    assert sorted(map(tuple, registry.QUERIES["contextual_input_whole"](spark, docs[0]).collect())) == want
+    assert sorted(map(tuple, registry.QUERIES["contextual_input"](spark, docs[0]).collect())) == want
 
 
-def test_context_block_whole(spark, docs):
+def test_context_block(spark, docs):
     d, texts = docs
-    got = {r.qid: r.context for r in registry.QUERIES["context_block_whole"](spark, d).collect()}
+    got = {r.qid: r.context for r in registry.QUERIES["context_block"](spark, d).collect()}
     ranked = registry.QUERIES["retrieve_topk"](spark, d).orderBy("rank").collect()
     want = {q: "\n".join(f"[{r.doc}] {texts[r.doc] or ''}" for r in ranked if r.qid == q) for q in {r.qid for r in ranked}}
     assert got == want and got[0].startswith(f"[19] {texts[19]}")
 
 
-def test_sanitize_outputs_whole(spark, tmp_path):
+def test_sanitize_outputs(spark, tmp_path):
     n = 1000
     names = {k: f"part {k % 200 if k <= 600 else k}" for k in range(1, n + 1)}
     spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
@@ -64,17 +64,17 @@ def test_sanitize_outputs_whole(spark, tmp_path):
         i = unique.get(question[k]) if k % 3 == 0 else -k if k % 7 == 1 else k - 1 if k % 5 == 2 else k
         if i in names:
             want[i] = k
-    got = [tuple(r) for r in registry.QUERIES["sanitize_outputs_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.QUERIES["sanitize_outputs"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.items()) and max(want) > 400
 
 
-def test_normalize_text_whole(spark, docs):
+def test_normalize_text(spark, docs):
     d, texts = docs
 
     def plain(t):
         return None if t is None else " ".join(re.sub(r"[^0-9a-z가-힣\s]", " ", t.lower()).split())
 
-    got = {r.doc_id: r.normalized for r in registry.QUERIES["normalize_text_whole"](spark, d).collect()}
+    got = {r.doc_id: r.normalized for r in registry.QUERIES["normalize_text"](spark, d).collect()}
     assert got == {k: plain(t) for k, t in texts.items()} and got[21] == "gro e 한국어 b9 a b"
 
 
@@ -83,9 +83,9 @@ def test_edge_questions_cut_none_that_are_made(spark, sf):
     assert got == {"region": 50, "condition": 25, "comparison": 25, "multi_condition": 25, "vague": 25, "colloquial": 25}
 
 
-def test_failure_buckets_whole(spark, sf):
+def test_failure_buckets(spark, sf):
     flags = evaluate.failure_flags(views.predictions(spark, sf)).collect()
     want = {"legacy_schema": sum(r.is_legacy_schema for r in flags)}
     for f in ("unsafe_recommendation", "router_mismatch", "match_status_mismatch", "disclosure_miss", "area_band_unknown_candidate"):
         want |= {f: sum(bool(r[f]) for r in flags), f"{f}_current_schema": sum(bool(r[f]) and not r.is_legacy_schema for r in flags)}
-    assert {r.bucket: r.rows for r in registry.QUERIES["failure_buckets_whole"](spark, sf).collect()} == want and len(want) == 11
+    assert {r.bucket: r.rows for r in registry.QUERIES["failure_buckets"](spark, sf).collect()} == want and len(want) == 11
