@@ -32,8 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces that a worker remembers at most (about 200 bytes each; beyond that the older half goes), and characters of such a piece.
 REMEMBERED, LONGEST = 1_000_000, 40
-#: Bytes of text that are encoded together.
-SLICE = 6 << 20
+#: Bytes of text that are encoded together: arrays of a slice stay small beside the remembered pieces.
+SLICE = 1 << 20
 
 WRITER = {
     "compression": "zstd",
