@@ -114,3 +114,48 @@ LOOKUP_FIELDS = (
     (("생활 인프라", "상권", "생활"), ("생활인프라_요약",)), (("통근", "통학"), ("통근통학_요약",)), (("정책", "규제", "투기과열지구", "분양가 상한제"), ("정책특이사항_설명",)),
     (("건설사",), ("건설사_요약",)), (("공원",), ("공원_비교요약", "공원_접근지표")),
 )
+
+# The nineteen question templates in order, (category, answer key, what follows the subject).
+QA_TEMPLATES = (
+    ("fact", "fact_area", " 전용면적은 얼마야"),
+    ("fact", "supply_area", " 공급면적은 얼마야"),
+    ("fact", "households", " 세대수는 몇 세대야"),
+    ("fact", "structure", " 구조는 어떻게 돼"),
+    ("fact", "area_band", " 면적대는 뭐야"),
+    ("location", "location", " 위치가 어디야"),
+    ("location", "location_detail", " 주소 알려줘"),
+    ("transport", "station", " 근처 지하철역은 어디야"),
+    ("transport", "transport_summary", " 지하철 접근성 어때"),
+    ("transport", "distance", " 가까운 역까지 거리는 얼마야"),
+    ("price", "price", " 분양가는 얼마야"),
+    ("price", "price_per_pyeong", " 평당 가격은"),
+    ("price", "price_summary", " 가격 수준은 어떤 편이야"),
+    ("lifestyle", "lifestyle", " 생활 인프라는 어떤 편이야"),
+    ("lifestyle", "medical", " 병원 접근성은 어때"),
+    ("lifestyle", "commute", " 통근 통학 여건은 어때"),
+    ("lifestyle", "builder", " 건설사 수준은 어때"),
+    ("policy", "policy", " 규제지역이야"),
+    ("fact", "description", " 단지 설명해줘"),
+)
+# Contract columns of questions about a listing, and the least number of questions of a release.
+QA_LOOKUP = ("apartment_fact_lookup", "EXACT_MATCH")
+QA_LEAST_ROWS = 50_000
+# Records that do not come from listings, in order. {cutoff} is the data's date, {region} the commonest district.
+QA_FIXED_COLUMNS = ("question", "answer", "name", "doc_id", "category", "answer_type", "expected_match_status", "must_include", "must_not_include")
+QA_META_ANSWER = "데이터 기준일: {cutoff}\n답변 가능 범위: 아파트 기본정보, 가격, 교통, 정책, 공원/병원 기반 비교\n예시 질문: 송파구에서 10억 이하 아파트 추천해줘 / 지하철 접근성 좋은 아파트 3개 비교해줘 / 헬리오시티 세대수 알려줘"
+QA_NO_MATCH_ANSWER = "현재 데이터 기준({cutoff})으로 해당 조건에 맞는 아파트를 찾지 못했습니다.\n조건을 완화하거나 지역/예산 범위를 다시 지정해 주세요."
+QA_FIXED = (
+    ("이 데이터 언제 기준이야", QA_META_ANSWER, "DATA_SCOPE", "META_001", "scope_meta", "meta_answer", "KNOWN", "{cutoff}", ""),
+    ("어떤 질문을 하면 잘 답해줘", QA_META_ANSWER, "DATA_SCOPE", "META_002", "scope_meta", "meta_answer", "KNOWN", "예시 질문", ""),
+    ("서울에서 1억 이하이면서 지하철 100m 이내 아파트 추천해줘", QA_NO_MATCH_ANSWER, "NO_MATCH", "NO_MATCH_001", "recommend_no_match", "no_match_response", "NO_MATCH", "찾지 못했습니다", "APT_"),
+    ("송파구에서 2억 이하 대단지 신축 아파트 추천해줘", QA_NO_MATCH_ANSWER, "NO_MATCH", "NO_MATCH_002", "recommend_no_match", "no_match_response", "NO_MATCH", "조건을 완화", "APT_"),
+    ("{region}에서 공원 가까운 아파트 비교해줘", "비교 기준: 공원_비교요약\n현재 데이터 기준으로 공원 관련 지표가 있는 후보들을 비교할 수 있습니다.", "COMPARATIVE", "COMP_001", "comparative_supported", "comparison_recommendation", "EXACT_MATCH", "비교 기준", ""),
+    ("{region}에서 병원 접근성 좋은 아파트 비교해줘", "비교 기준: 병원_비교요약\n현재 데이터 기준으로 병원 접근 지표가 있는 후보들을 비교할 수 있습니다.", "COMPARATIVE", "COMP_002", "comparative_supported", "comparison_recommendation", "EXACT_MATCH", "비교 기준", ""),
+    ("{region}에서 아이 키우기 좋은 아파트 추천해줘", "현재 MVP에서는 공원, 병원, 지하철처럼 데이터로 직접 판정 가능한 조건만 비교 추천할 수 있습니다.\n예시 질문: 공원 가까운 아파트 비교해줘 / 병원 접근성 좋은 곳 비교해줘", "COMPARATIVE", "COMP_003", "comparative_unsupported", "unsupported_comparative_response", "UNKNOWN", "데이터로 직접 판정 가능한 조건", ""),
+)
+QA_TOP_REGION = "서울"
+
+# The special notes' default, and the lines by which an answer states its limits.
+NOTES_NONE = "규제 특이사항 없음"
+FOOTER_MARKS = ("데이터 기준:", "답변 가능 범위:")
+FOOTER_DEFAULTS = ("제공된 문서 기준", "제공된 문서 문맥 범위")

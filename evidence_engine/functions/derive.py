@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import contracts as C
-from .clean import clean_numeric, format_number, is_missing, metric, nullify, py_round, to_bool
+from .clean import clean_numeric, format_number, is_missing, metric, nullify, number, py_round, text, to_bool
 
 
 def area_band(c: Column) -> Column:
@@ -61,6 +61,33 @@ def policy_text(*flags: Column) -> Column:
     return F.when(n == 0, C.POLICY_NONE).when(n == 1, F.concat(F.get(labels, 0), F.lit(" 단지입니다."))).otherwise(many)
 
 
+def special_notes(*flags: Column) -> Column:
+    """Labels of the flags that hold, in order; the default sentence where none does. Unknown flags say nothing."""
+    return F.coalesce(F.nullif(F.concat_ws("; ", *(F.when(to_bool(f), label) for f, label in zip(flags, C.POLICY_LABELS))), F.lit("")), F.lit(C.NOTES_NONE))
+
+
+def metres(kilometres: Column) -> Column:
+    """Kilometres as metres, one decimal, half to even; null and text that is no number stay null."""
+    return py_round(number(kilometres) * 1000.0, 1)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Share as text with two decimals; null where the whole is zero or null."""
+    share = F.try_divide(part.cast("double"), whole.cast("double")) * 100
+    return F.when(share.isNotNull(), F.format_string("%.2f", share))
+
+
+def disclosed_answer(answer: Column, must_disclose: Column, data_date: Column, scope: Column) -> Column:
+    """The answer, with the two lines on date and scope below it where they are asked for and not both there.
+
+    A null or blank answer that must disclose becomes the two lines alone; others stay as they are.
+    """
+    said = text(answer)
+    footer = F.concat_ws("\n", *(F.concat(F.lit(f"{mark} "), F.coalesce(nullify(c), F.lit(default))) for mark, c, default in zip(C.FOOTER_MARKS, (data_date, scope), C.FOOTER_DEFAULTS)))
+    done = reduce(Column.__and__, (said.contains(mark) for mark in C.FOOTER_MARKS))
+    return F.when((text(must_disclose) != "Y") | done, answer).when(said == "", footer).otherwise(F.concat(said, F.lit("\n"), footer))
+
+
 def subway_score(distance: Column, lines: Column, transfer: Column, accept_korean_yes: bool = False) -> Column:
     bonus = F.when(to_bool(transfer, ("예",) if accept_korean_yes else ()), 75.0).otherwise(0.0)
     return F.when(distance.isNotNull(), py_round(F.greatest(F.lit(0.0), 1000.0 - distance) + F.coalesce(lines.cast("double"), F.lit(0.0)) * 50.0 + bonus, 1))

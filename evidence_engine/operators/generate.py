@@ -7,38 +7,113 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import format_number, metric
+from ..functions import contracts as C
+from ..functions.clean import format_number, metric, nullify, number, strip
 from .relational import keep_one
 
 
-def subject(df: DataFrame, name: str, area: str) -> Column:
-    """The name; where several rows share it, with the area in brackets."""
-    shared = F.count("*").over(Window.partitionBy(name)) > 1
-    return F.when(shared & F.col(area).isNotNull(), F.concat(F.col(name), F.lit("("), metric(F.col(area), "㎡"), F.lit(")"))).otherwise(F.col(name))
+def subjects(df: DataFrame, name: str = "name") -> DataFrame:
+    """Adds ``subject``: the name; where several rows share it, with the areas and the unit type that are known.
+
+    Counts are aggregated before they meet the rows, so that a name of very many rows is an ordinary skewed join.
+    """
+    shared = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.count("*").alias("__rows")).where("__rows > 1")
+    part = lambda label, c: F.concat(F.lit(f"{label} "), c)
+    known = (part("전용", metric(_number(df, "area"), "㎡")), part("공급", metric(_number(df, "supply_area"), "㎡")), part("타입", _text(df, "unit_type")))
+    joined = df.withColumn("__long", F.concat_ws(" ", nullify(F.col(name)), *known)).join(shared, F.col(name) == F.col("__name"), "left")
+    return joined.withColumn("subject", F.when(F.col("__rows").isNotNull(), F.col("__long")).otherwise(nullify(F.col(name)))).drop("__long", "__name", "__rows")
+
+
+def _text(df: DataFrame, column: str) -> Column:
+    return nullify(F.col(column)) if column in df.columns else F.lit(None).cast("string")
 
 
-def templates() -> dict[str, tuple[str, str, Column]]:
-    """key: (category, question pattern, answer). A null answer gives no row."""
-    c = F.col
-    place = F.concat_ws(" ", "sido", "sigungu", "dong")
+def _number(df: DataFrame, column: str) -> Column:
+    return number(F.col(column)) if column in df.columns else F.lit(None).cast("double")
+
+
+def qa_answers(df: DataFrame) -> dict[str, Column]:
+    """Answer by key; null where its column is missing or blank."""
+    t, n = (lambda x: _text(df, x)), (lambda x, digits=0: format_number(_number(df, x), digits))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    name, place = t("name"), F.nullif(F.concat_ws(" ", t("sido"), t("sigungu"), t("dong")), F.lit(""))
+    station = t("station")
     return {
-        "location": ("location", "%s 위치 알려줘", F.when(place != "", F.concat(c("subject"), F.lit("은 "), place, F.lit("에 있습니다.")))),
-        "district": ("location", "%s는 어느 지역에 있어", F.concat(c("subject"), F.lit("은 "), c("sigungu"), F.lit("에 있습니다."))),
-        "price": ("price", "%s 분양가 알려줘", F.concat(c("subject"), F.lit(" 공급액은 "), format_number(c("price")), F.lit("만원입니다."))),
-        "households": ("fact", "%s 세대수 알려줘", F.concat(c("subject"), F.lit("은 "), format_number(c("households")), F.lit("세대입니다."))),
-        "area": ("fact", "%s 전용면적 알려줘", F.concat(c("subject"), F.lit(" 전용면적은 "), metric(c("area"), "㎡"), F.lit("입니다."))),
-        "band": ("fact", "%s 면적대 알려줘", F.concat(c("subject"), F.lit("은 "), c("band"), F.lit("입니다."))),
-        "year": ("fact", "%s 입주연도 알려줘", F.concat(c("subject"), F.lit("은 "), c("year").cast("string"), F.lit("년 입주입니다."))),
-        "subway": ("transport", "%s 지하철 거리 알려줘", F.concat(c("subject"), F.lit("에서 역까지 약 "), format_number(c("distance")), F.lit("m입니다."))),
-    }
+        "fact_area": say(name, "의 전용면적은 ", n("area", 2), "㎡입니다."),
+        "supply_area": say(name, "의 공급면적은 ", n("supply_area", 2), "㎡입니다."),
+        "households": say(name, "은 총 ", n("households"), "세대 규모입니다."),
+        "structure": say(name, "의 구조 요약은 ", t("structure")),
+        "area_band": say(name, "은 ", t("band"), " 면적대로 분류됩니다."),
+        "location": say(name, "은 ", place, "에 위치합니다."),
+        "location_detail": say(name, "의 주소는 ", t("address"), "입니다."),
+        "station": F.coalesce(say("가장 가까운 역은 ", station, "이며 약 ", n("distance"), "m 거리입니다."), say("가장 가까운 역은 ", station, "입니다.")),
+        "transport_summary": F.coalesce(t("transport_compare"), t("line_summary")),
+        "distance": say("가장 가까운 역까지 거리는 약 ", n("distance"), "m입니다."),
+        "price": say(name, "의 공급액은 ", n("price"), "만원입니다."),
+        "price_per_pyeong": say("평당 공급액은 ", n("price_per_pyeong", 2), "만원입니다."),
+        **{key: t(key) for key in ("price_summary", "lifestyle", "medical", "commute", "builder", "policy", "description")},
+    }
 
 
 def qa_rows(listing: DataFrame) -> DataFrame:
-    """(question, answer, name, doc_id, category): all templates of a row in one pass, null answers left out, first of each question."""
-    df = listing.withColumn("subject", subject(listing, "name", "area"))
-    made = [F.struct(F.lit(i).alias("ord"), F.format_string(pattern, F.col("subject")).alias("question"), answer.alias("answer"), F.lit(category).alias("category")) for i, (category, pattern, answer) in enumerate(templates().values())]
-    rows = df.select("name", "doc_id", F.inline(F.array(*made))).where("answer is not null and trim(answer) <> '' and trim(question) <> ''")
-    return keep_one(rows, ["question"], ["doc_id", "ord"]).drop("ord")
+    """Contract rows of the nineteen templates in one pass over the listing; null answers and rows without name or id are left out.
+
+    Columns that the listing lacks count as null. ``ord`` is the template's place. Questions are not yet unique.
+    """
+    df = subjects(listing).where(nullify(F.col("name")).isNotNull() & nullify(F.col("doc_id")).isNotNull())
+    answers = qa_answers(df)
+    made = [F.struct(F.lit(i).alias("ord"), F.concat(F.col("subject"), F.lit(asked)).alias("question"), answers[key].alias("answer"), F.lit(category).alias("category")) for i, (category, key, asked) in enumerate(C.QA_TEMPLATES)]
+    rows = df.select(nullify(F.col("name")).alias("name"), nullify(F.col("doc_id")).alias("doc_id"), F.inline(F.array(*made)))
+    kind, status = C.QA_LOOKUP
+    return rows.where(F.col("answer").isNotNull()).withColumns({"answer_type": F.lit(kind), "expected_match_status": F.lit(status), "must_include": F.col("name"), "must_not_include": F.lit("")})
+
+
+def knowledge_rows(knowledge: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Two questions for each term with a definition; ids are numbered by ``order`` over all rows, those left out included."""
+    term, definition, caution = (nullify(F.col(x)) for x in ("term", "definition", "caution"))
+    fields = F.coalesce(nullify(F.col("related_dataset_fields")), F.lit("없음"))
+    answer = F.concat(F.lit("일반 설명: "), definition, F.lit("\n우리 데이터에서 대응 가능한 필드: "), fields, F.coalesce(F.concat(F.lit("\n주의사항: "), caution), F.lit("")))
+    asked = F.array(F.struct(F.concat(term, F.lit("이 뭐야")).alias("question"), F.lit("일반 설명").alias("must_include"), F.lit(0).alias("__q")), F.struct(F.concat(term, F.lit(" 설명해줘")).alias("question"), term.alias("must_include"), F.lit(1).alias("__q")))
+    rows = knowledge.where(term.isNotNull() & definition.isNotNull()).select(F.col(order).alias("__at"), answer.alias("answer"), F.inline(asked))
+    return rows.select(
+        F.lit("GENERAL_KNOWLEDGE").alias("name"), F.format_string("KNOW_%03d", F.col("__at") + 1).alias("doc_id"), (F.col("__at") * 2 + F.col("__q")).cast("int").alias("ord"), "question", "answer", F.lit("knowledge_term").alias("category"),
+        F.lit("knowledge_answer").alias("answer_type"), F.lit("KNOWN").alias("expected_match_status"), "must_include", F.lit("").alias("must_not_include"),
+    )
+
+
+def fixed_rows(listing: DataFrame) -> DataFrame:
+    """Scope, no-match and comparison records, filled with the data's date (that of the smallest id) and its commonest district (ties: the smaller).
+
+    Without any listing the comparison records are absent. Both values are aggregates of one row.
+    """
+    cutoff, region = _text(listing, "cutoff"), _text(listing, "sigungu")
+    when = listing.agg(F.min_by(cutoff, F.when(cutoff.isNotNull(), F.col("doc_id"))).alias("__cutoff"), F.count("*").alias("__rows"))
+    top = listing.where(region.isNotNull()).groupBy(region.alias("__r")).agg(F.count("*").alias("__n")).agg(F.min_by("__r", F.struct(-F.col("__n"), F.col("__r"))).alias("__region"))
+    facts = when.join(top)
+    rows = [F.struct(F.lit(i).alias("ord"), *(F.lit(v).alias(k) for k, v in zip(C.QA_FIXED_COLUMNS, r))) for i, r in enumerate(C.QA_FIXED)]
+    fill = lambda x: F.replace(F.replace(F.col(x), F.lit("{cutoff}"), F.coalesce("__cutoff", F.lit(C.NO_CUTOFF))), F.lit("{region}"), F.coalesce("__region", F.lit(C.QA_TOP_REGION)))
+    made = facts.select("__cutoff", "__region", "__rows", F.inline(F.array(*rows))).where((F.col("__rows") > 0) | (F.col("name") != "COMPARATIVE"))
+    return made.withColumns({x: fill(x) for x in ("question", "answer", "must_include")}).drop("__cutoff", "__region", "__rows")
+
+
+def qa_dataset(listing: DataFrame, knowledge: DataFrame, order: str = "ordinal") -> DataFrame:
+    """All contract rows, the first of each question: listings by id and template, then terms, then the fixed records.
+
+    ``answer_type`` and ``expected_answer_type`` are alike. Empty inputs leave only the fixed records that need none.
+    """
+    pools = (qa_rows(listing), knowledge_rows(knowledge, order), fixed_rows(listing))
+    rows = reduce(DataFrame.unionByName, (p.withColumn("pool", F.lit(i)) for i, p in enumerate(pools)))
+    whole = reduce(Column.__and__, (strip(F.col(x)) != "" for x in ("question", "answer", "name")))
+    first = keep_one(rows.where(whole), ["question"], ["pool", "doc_id", "ord"])
+    return first.withColumn("expected_answer_type", F.col("answer_type")).drop("pool", "ord")
+
+
+def require_rows(df: DataFrame, least: int = C.QA_LEAST_ROWS) -> DataFrame:
+    """The frame itself; ValueError where it has fewer rows. Counts no further than that many."""
+    found = df.limit(least).count()
+    if found < least:
+        raise ValueError(f"too few questions: {found} of at least {least}")
+    return df
 
 
 def sampled(df: DataFrame, n: int, id_col: str = "question", salt: str = "sample::42") -> DataFrame:

@@ -226,6 +226,35 @@ def policy_summary(s, d):
     return L(s, d).select("doc_id", D.policy_text(*flags).alias("policy"))
 
 
+_IS = lambda x: f"lower({x}) IN ('1', '적용')"
+
+
+@query(LIST + f" SELECT doc_id, coalesce(nullif(concat_ws('; ', CASE WHEN {_IS('flag_text')} THEN '분양 당시 투기과열지구' END, CASE WHEN lines = 1 THEN '현재 투기과열지구' END, CASE WHEN ordinal % 5 = 1 THEN '분양 당시 분양가상한제 적용' END), ''), '규제 특이사항 없음') AS notes FROM listing")
+def special_notes(s, d):
+    return L(s, d).select("doc_id", D.special_notes(c("flag_text"), c("lines"), F.when(c("ordinal") % 5 < 2, c("ordinal") % 5)).alias("notes"))
+
+
+@query(LIST + " SELECT doc_id, round_even(distance / 8 * 1000, 1) AS metres FROM listing")
+def km_to_m(s, d):
+    return L(s, d).select("doc_id", D.metres(c("distance") / 8).alias("metres"))
+
+
+@query("SELECT lang, format('{:.2f}', CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM documents) * 100) AS percent FROM documents GROUP BY lang")
+def report_percent(s, d):
+    docs = T(s, d, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(F.broadcast(docs.agg(F.count("*").alias("of")))).select("lang", D.percent(c("n"), c("of")).alias("percent"))
+
+
+_FOOT = "'데이터 기준: ' || CASE WHEN conv_id % 3 = 0 THEN '제공된 문서 기준' ELSE '2023-09-05' END || chr(10) || '답변 가능 범위: ' || CASE WHEN conv_id % 4 = 0 THEN '제공된 문서 문맥 범위' ELSE '가격' END"
+
+
+@query(f"WITH p AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN '' WHEN conv_id % 7 = 1 THEN 'x 데이터 기준: 1 답변 가능 범위: 2' WHEN conv_id % 7 = 2 THEN 'x 데이터 기준: 1' ELSE 'said ' || CAST(turn AS VARCHAR) END AS answer FROM conversations) SELECT conv_id, turn, CASE WHEN turn % 2 = 1 OR conv_id % 7 = 1 THEN answer WHEN answer = '' THEN {_FOOT} ELSE answer || chr(10) || {_FOOT} END AS answer FROM p")
+def disclosure_footer(s, d):
+    said = F.expr("CASE WHEN conv_id % 7 = 0 THEN '' WHEN conv_id % 7 = 1 THEN 'x 데이터 기준: 1 답변 가능 범위: 2' WHEN conv_id % 7 = 2 THEN 'x 데이터 기준: 1' ELSE 'said ' || CAST(turn AS STRING) END")
+    date, scope = F.when(c("conv_id") % 3 != 0, "2023-09-05"), F.when(c("conv_id") % 4 != 0, "가격").otherwise("nan")
+    return T(s, d, "conversations").select("conv_id", "turn", D.disclosed_answer(said, F.when(c("turn") % 2 == 0, " Y ").otherwise("N"), date, scope).alias("answer"))
+
+
 @query(LIST + """ SELECT doc_id, name || '은 ' || sido || ' ' || sigungu || ' ' || dong || '에 위치한 아파트 단지입니다. 총 ' || format('{:,}', households) || '세대 규모, 전용면적은 ' || format('{:,.2f}', area) || '㎡입니다.'
   || CASE WHEN station IS NULL AND distance IS NULL THEN '' ELSE ' ' || concat_ws(', ', '가장 가까운 지하철역은 ' || station, '약 ' || format('{:,}', CAST(distance AS BIGINT)) || 'm 거리') || '입니다.' END
   || ' 공급가는 ' || format('{:,}', CAST(price AS BIGINT)) || '만원 수준, ' || band || ' ' || '기타' AS description FROM listing""")
@@ -566,13 +595,32 @@ def contextual_input(s, d):
     return context.contextual(rows.withColumn("sft_bucket", F.lit("x")), found, key="source_row_index", content="content").select("source_row_index", "input")
 
 
-_SUBJ = "CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '(' || format('{:,.2f}', area) || '㎡)' ELSE name END"
-_QA = [("location", "' 위치 알려줘'", "subject || '은 ' || sido || ' ' || sigungu || ' ' || dong || '에 있습니다.'"), ("location", "'는 어느 지역에 있어'", "subject || '은 ' || sigungu || '에 있습니다.'"), ("price", "' 분양가 알려줘'", "subject || ' 공급액은 ' || format('{:,}', CAST(price AS BIGINT)) || '만원입니다.'"), ("fact", "' 세대수 알려줘'", "subject || '은 ' || format('{:,}', households) || '세대입니다.'"), ("fact", "' 전용면적 알려줘'", "subject || ' 전용면적은 ' || format('{:,.2f}', area) || '㎡입니다.'"), ("fact", "' 면적대 알려줘'", "subject || '은 ' || band || '입니다.'"), ("fact", "' 입주연도 알려줘'", "subject || '은 ' || year || '년 입주입니다.'"), ("transport", "' 지하철 거리 알려줘'", "subject || '에서 역까지 약 ' || format('{:,}', CAST(distance AS BIGINT)) || 'm입니다.'")]
-
-
-@query(LIST + f", s AS (SELECT *, {_SUBJ} AS subject FROM listing), a AS (" + " UNION ALL ".join(f"SELECT {i} AS ord, doc_id, '{k}' AS category, subject || {q} AS question, {an} AS answer FROM s" for i, (k, q, an) in enumerate(_QA)) + ") SELECT question, answer, doc_id, category FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY doc_id, ord) AS n FROM a WHERE answer IS NOT NULL) WHERE n = 1")
+_NULL = lambda x: f"CASE WHEN trim({x}) NOT IN ('', 'nan', 'None', 'NULL', 'null') THEN trim({x}) END"
+_N0, _N2 = lambda x: f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))", lambda x: f"format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+_SUBJ = f"CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN concat_ws(' ', name, '전용 ' || {_N2('area')} || '㎡', '공급 ' || {_N2('supply_area')} || '㎡', '타입 ' || unit_type) ELSE name END"
+_SAID = {
+    "fact_area": f"name || '의 전용면적은 ' || {_N2('area')} || '㎡입니다.'", "supply_area": f"name || '의 공급면적은 ' || {_N2('supply_area')} || '㎡입니다.'",
+    "households": f"name || '은 총 ' || {_N0('households')} || '세대 규모입니다.'", "structure": f"name || '의 구조 요약은 ' || {_NULL('structure')}", "area_band": "name || '은 ' || band || ' 면적대로 분류됩니다.'",
+    "location": "name || '은 ' || sido || ' ' || sigungu || ' ' || dong || '에 위치합니다.'", "location_detail": f"name || '의 주소는 ' || {_NULL('address')} || '입니다.'",
+    "station": f"CASE WHEN distance IS NULL THEN '가장 가까운 역은 ' || station || '입니다.' ELSE '가장 가까운 역은 ' || station || '이며 약 ' || {_N0('distance')} || 'm 거리입니다.' END",
+    "transport_summary": "coalesce(transport_compare, line_summary)", "distance": f"'가장 가까운 역까지 거리는 약 ' || {_N0('distance')} || 'm입니다.'",
+    "price": f"name || '의 공급액은 ' || {_N0('price')} || '만원입니다.'", "price_per_pyeong": f"'평당 공급액은 ' || {_N2('price_per_pyeong')} || '만원입니다.'",
+    **{k: _NULL(k) for k in ("price_summary", "lifestyle", "medical", "commute", "builder", "policy", "description")},
+}
+_LIT = lambda x: "'" + x.replace("'", "''") + "'"
+_ROWS = lambda rows: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else _LIT(v) for v in r) + ")" for r in rows)
+_QA_SQL = (
+    f"WITH {V.QA_LISTING}, s AS (SELECT *, {_SUBJ} AS subject FROM qa_listing), facts AS (SELECT (SELECT cutoff FROM listing WHERE cutoff IS NOT NULL ORDER BY doc_id LIMIT 1) AS cutoff, (SELECT sigungu FROM listing GROUP BY 1 ORDER BY count(*) DESC, sigungu LIMIT 1) AS region), a AS ("
+    + " UNION ALL ".join(f"SELECT 0 AS pool, {i} AS ord, subject || '{q}' AS question, {_SAID[k]} AS answer, name, doc_id, '{kind}' AS category, 'apartment_fact_lookup' AS answer_type, 'EXACT_MATCH' AS expected_match_status, name AS must_include, '' AS must_not_include FROM s" for i, (kind, k, q) in enumerate(C.QA_TEMPLATES))
+    + f" UNION ALL SELECT 1, i * 2 + n, term || CASE n WHEN 0 THEN '이 뭐야' ELSE ' 설명해줘' END, '일반 설명: ' || definition || chr(10) || '우리 데이터에서 대응 가능한 필드: ' || fields || chr(10) || '주의사항: ' || caution, 'GENERAL_KNOWLEDGE', 'KNOW_' || lpad(CAST(i + 1 AS VARCHAR), 3, '0'), 'knowledge_term', 'knowledge_answer', 'KNOWN', CASE n WHEN 0 THEN '일반 설명' ELSE term END, '' FROM (VALUES {_ROWS((i, *t) for i, t in enumerate(V.TERMS))}) AS k(i, term, definition, fields, caution), (VALUES (0), (1)) AS two(n)"
+    + f" UNION ALL SELECT 2, i, replace(q, '{{region}}', region), replace(an, '{{cutoff}}', cutoff), nm, id, cat, kind, st, replace(inc, '{{cutoff}}', cutoff), exc FROM (VALUES {_ROWS((i, *r) for i, r in enumerate(C.QA_FIXED))}) AS f(i, q, an, nm, id, cat, kind, st, inc, exc), facts)"
+    + " SELECT question, answer, name, doc_id, category, answer_type, answer_type AS expected_answer_type, expected_match_status, must_include, must_not_include FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY pool, doc_id, ord) AS n FROM a WHERE answer IS NOT NULL) WHERE n = 1"
+)
+
+
+@query(_QA_SQL)
 def qa_templates(s, d):
-    return generate.qa_rows(L(s, d)).select("question", "answer", "doc_id", "category")
+    return generate.qa_dataset(V.qa_listing(s, d), V.knowledge(s))
 
 
 @query()

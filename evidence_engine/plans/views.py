@@ -83,7 +83,25 @@ TERMS = [
 ]
 
 
+# What the question templates need beyond the listing; nulls, blanks and words for missing values among them.
+_QA_EXTRA = [
+    "area + 7.5 AS supply_area", "CASE WHEN ordinal % 3 = 0 THEN NULL ELSE 'T' || CAST(ordinal % 5 AS STRING) END AS unit_type",
+    "CASE WHEN ordinal % 6 = 0 THEN 'nan' ELSE '방 ' || CAST(ordinal % 4 + 1 AS STRING) || '개 구조입니다.' END AS structure",
+    "CASE WHEN ordinal % 8 = 0 THEN ' ' ELSE sido || ' ' || sigungu || ' ' || dong || ' ' || CAST(ordinal AS STRING) END AS address",
+    "CASE WHEN ordinal % 5 < 2 THEN station || ' 이용 가능' END AS transport_compare", "CASE WHEN ordinal % 7 <> 0 THEN CAST(lines AS STRING) || '호선' END AS line_summary",
+    "CASE WHEN ordinal % 12 <> 0 THEN price / 4 END AS price_per_pyeong", "CASE WHEN ordinal % 10 <> 3 THEN band || ' 가격 수준' ELSE 'None' END AS price_summary",
+    "CASE WHEN park IS NOT NULL THEN '공원 ' || CAST(CAST(park AS INT) AS STRING) || '개' END AS lifestyle", "'병원 ' || CAST(CAST(hospital AS INT) AS STRING) || '개' AS medical",
+    "CASE WHEN ordinal % 4 = 1 THEN NULL ELSE sigungu || ' 통근' END AS commute", "CASE WHEN ordinal % 9 = 2 THEN 'null' ELSE ' ' || dong || ' 시공 ' END AS builder",
+    "CASE WHEN ordinal % 3 = 1 THEN '' ELSE '정책 ' || flag_text END AS policy", "name || ' 단지' AS description",
+]
+QA_LISTING = f"{LISTING}, qa_listing AS (SELECT *, {', '.join(_QA_EXTRA)} FROM listing)"
+
+
+def qa_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(spark, sf_dir).selectExpr("*", *_QA_EXTRA)
+
+
 def knowledge(spark: SparkSession, cutoff: str = "2023-09-05") -> DataFrame:
-    """The six fixed records, stamped with the data's cutoff."""
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("term", "definition", "related_dataset_fields", "caution"), t))) for t in TERMS))
+    """The six fixed records in order, stamped with the data's cutoff."""
+    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), *(F.lit(v).alias(n) for n, v in zip(("term", "definition", "related_dataset_fields", "caution"), t))) for i, t in enumerate(TERMS)))
     return spark.range(1).select(F.inline(rows)).withColumns({"source_type": F.lit("general_knowledge"), "data_cutoff": F.lit(cutoff), "answer_template": F.lit("일반 설명: {definition}\n우리 데이터에서 대응 가능한 필드: {related_dataset_fields}")})
