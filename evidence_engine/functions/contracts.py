@@ -159,3 +159,53 @@ QA_TOP_REGION = "서울"
 NOTES_NONE = "규제 특이사항 없음"
 FOOTER_MARKS = ("데이터 기준:", "답변 가능 범위:")
 FOOTER_DEFAULTS = ("제공된 문서 기준", "제공된 문서 문맥 범위")
+
+# How many questions of each type are wanted; the types in this order.
+EDGE_QUOTAS = {"condition": 250, "comparison": 250, "multi_condition": 250, "region": 900, "vague": 175, "colloquial": 175}
+# Questions over the commonest values of a column, in order. Each block: type, columns with how many values of each,
+# then questions: pattern, rows that answer it, column they are ranked by, whether the greatest goes first, expected field, route,
+# status where there are such rows, status where there are none, whether the latter must disclose their limits.
+# Where none answers, nothing may be recommended, except for questions of general retrieval.
+EDGE_BLOCKS = (
+    ("condition", (("sigungu", 12),), (
+        ("%s에서 지하철 300m 이내 아파트 추천해줘", "distance <= 300", "distance", False, "거리_m", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+        ("%s에서 지하철 500m 이내 아파트 추천해줘", "distance <= 500", "distance", False, "거리_m", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+        ("%s에서 지하철 700m 이내 아파트 추천해줘", "distance <= 700", "distance", False, "거리_m", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+        ("%s에서 지하철 1000m 이내 아파트 추천해줘", "distance <= 1000", "distance", False, "거리_m", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+        ("%s에서 가격 괜찮은 아파트 추천해줘", "contains(price_summary, '합리적')", "price_per_pyeong", False, "가격요약", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+    )),
+    ("condition", (("dong", 12),), (
+        ("%s에서 병원 접근 좋은 아파트 추천해줘", "hospital IS NOT NULL", "hospital", True, "병원_접근지표", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "UNKNOWN", "N"),
+    )),
+    ("comparison", (("sigungu", 15),), (
+        ("%s에서 공원 가까운 아파트 비교해줘", "park IS NOT NULL", "park", True, "공원_비교요약", "RECOMMEND_COMPARATIVE", "EXACT_MATCH", "UNKNOWN", "N"),
+        ("%s에서 병원 접근성 좋은 아파트 비교해줘", "hospital IS NOT NULL", "hospital", True, "병원_비교요약", "RECOMMEND_COMPARATIVE", "EXACT_MATCH", "UNKNOWN", "N"),
+        ("%s에서 지하철 접근성 좋은 아파트 비교해줘", "subway IS NOT NULL", "subway", True, "교통_비교요약", "RECOMMEND_COMPARATIVE", "EXACT_MATCH", "UNKNOWN", "N"),
+    )),
+    ("multi_condition", (("sigungu", 14), ("band", 5)), (
+        ("%s에서 %s이면서 역 가까운 아파트 추천해줘", "distance <= 700", "distance", False, "거리_m", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),
+        ("%s에서 %s이면서 공원과 병원 접근성 좋은 아파트 추천해줘", "hospital IS NOT NULL AND park IS NOT NULL", "hospital", True, "병원_접근지표", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "UNKNOWN", "Y"),
+    )),
+    ("region", (("sido", 10),), (("%s에서 추천 가능한 아파트 알려줘", "true", "households", True, "시도", "RECOMMEND_STRUCTURED", "EXACT_MATCH", "NO_MATCH", "N"),)),
+    ("region", (("sigungu", 20),), (("%s 아파트 뭐 있어", "true", "households", True, "description", "GENERAL_RETRIEVAL_QA", "UNKNOWN", "UNKNOWN", "N"),)),
+    ("region", (("dong", 20),), (("%s 대표 단지 특징 설명해줘", "true", "households", True, "description", "GENERAL_RETRIEVAL_QA", "UNKNOWN", "UNKNOWN", "N"),)),
+    ("vague", (("sigungu", 12),), (("%s에서 괜찮은 아파트 추천해줘", "false", "households", True, "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "UNKNOWN", "Y"),)),
+)
+# Questions over no place: type, before (0) or after (9) the blocks of the type, question, field, route, status, must disclose. None may be recommended.
+EDGE_FIXED = (
+    ("condition", 9, "서울에서 1억 이하이면서 지하철 100m 이내 아파트 추천해줘", "거리_m", "RECOMMEND_STRUCTURED", "NO_MATCH", "N"),
+    ("condition", 9, "송파구에서 2억 이하 대단지 신축 아파트 추천해줘", "거리_m", "RECOMMEND_STRUCTURED", "NO_MATCH", "N"),
+    ("comparison", 9, "아이 키우기 좋은 아파트 추천해줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("comparison", 9, "살기 좋은 아파트 비교해줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("comparison", 9, "미래 가치 높은 아파트 추천해줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("vague", 0, "괜찮은 아파트 추천해줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("vague", 0, "살기 좋은 단지 뭐 있어", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("vague", 0, "무난한 아파트 골라줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("vague", 0, "실거주 괜찮은 곳 추천해줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("vague", 0, "추천할 만한 단지 알려줘", "지원 범위", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("colloquial", 0, "지하철 가까운곳 추천좀", "질문 해석", "RECOMMEND_STRUCTURED", "UNKNOWN", "Y"),
+    ("colloquial", 0, "병원 가까운 데 있음?", "질문 해석", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("colloquial", 0, "공원 많은 데 보여줘", "질문 해석", "RECOMMEND_COMPARATIVE", "UNKNOWN", "Y"),
+    ("colloquial", 0, "송파구 괜춘한 단지 뭐있어", "질문 해석", "RECOMMEND_STRUCTURED", "UNKNOWN", "Y"),
+    ("colloquial", 0, "강동구 아파트 추천좀", "질문 해석", "RECOMMEND_STRUCTURED", "UNKNOWN", "Y"),
+)

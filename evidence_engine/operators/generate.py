@@ -120,36 +120,48 @@ def sampled(df: DataFrame, n: int, id_col: str = "question", salt: str = "sample
     return df.orderBy(F.sha2(F.concat_ws("||", F.lit(salt), id_col), 256), id_col).limit(n)
 
 
-#: (type, question pattern over a region, router type, must_not_recommend, must_disclose_limit); in this order.
-EDGE = (
-    ("region", "%s에서 지하철 500m 이내 아파트 추천해줘", "RECOMMEND_STRUCTURED", "N", "Y"),
-    ("region", "%s 대표 아파트 특징 설명해줘", "GENERAL_RETRIEVAL_QA", "N", "N"),
-    ("condition", "%s에서 10억 이하 아파트 추천해줘", "RECOMMEND_STRUCTURED", "N", "Y"),
-    ("comparison", "%s 병원 비교해줘", "RECOMMEND_COMPARATIVE", "N", "Y"),
-    ("multi_condition", "%s에서 10억 이하 지하철 500m 이내 아파트 추천해줘", "RECOMMEND_STRUCTURED", "N", "Y"),
-    ("vague", "%s 살기 좋은 곳 추천해줘", "RECOMMEND_COMPARATIVE", "Y", "Y"),
-    ("colloquial", "%s 가성비 아파트 ㄱㄱ", "RECOMMEND_STRUCTURED", "Y", "Y"),
-)
-
-
-def edge_questions(listing: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """(type, question, expected_doc, expected_match_status, …): what the data answers, the first of each question, quotas by type.
-
-    A question belongs to the first generator that makes it, also where that one's quota leaves it out.
-    """
-    near, cheap = (F.col("distance") <= 500), (F.col("price") <= 100000)
-    best = lambda ok: F.min(F.when(ok, F.struct(F.coalesce("distance", F.lit(1e18)).alias("d"), F.col("doc_id").alias("i"))))["i"]
-    regions = listing.groupBy("sigungu").agg(best(near).alias("near"), best(cheap).alias("cheap"), best(near & cheap).alias("both"), F.max(F.struct("hospital", F.lit("").alias("n"), F.col("doc_id").alias("i")))["i"].alias("hospital"))
-    doc = {0: F.col("near"), 2: F.col("cheap"), 3: F.col("hospital"), 4: F.col("both")}
+def commonest(df: DataFrame, column: str, n: int) -> DataFrame:
+    """(column, rank from 0): the n most frequent values, ties to the smaller; nulls are no value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias(column)).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), column).limit(n)
+    return counts.withColumn(f"__{column}", F.row_number().over(Window.orderBy(F.desc("__n"), column)) - 1).drop("__n")
+
+
+def _asked(listing: DataFrame, block: int, kind: str, levels: tuple, specs: tuple) -> DataFrame:
+    """One block's questions: the commonest values of its levels, each spec's rows settled in one aggregate by those levels."""
+    names = [n for n, _ in levels]
+    tops = crossed(*(commonest(listing, n, most) for n, most in levels))
+    held = []
+    for i, (_, where, by, greatest, *_rest) in enumerate(specs):
+        ok, value = F.coalesce(F.expr(where), F.lit(False)), F.col(by).cast("double")
+        place = F.struct(value.isNull(), -value if greatest else value, F.col("doc_id"))
+        held += [F.min_by(nullify(F.col("doc_id")), F.when(ok, place)).alias(f"__doc{i}"), F.count_if(ok).alias(f"__rows{i}")]
+    found = tops.join(listing.groupBy(*(F.col(n).cast("string").alias(n) for n in names)).agg(*held), names, "left")
     made = []
-    for i, (kind, pattern, router, no, tell) in enumerate(EDGE):
-        d = doc.get(i, F.lit(None).cast("string"))
-        status = F.lit("UNKNOWN") if no == "Y" else F.lit("N/A") if router == "GENERAL_RETRIEVAL_QA" else F.when(d.isNotNull(), "EXACT_MATCH").otherwise("NO_MATCH")
-        made.append(F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("type"), F.format_string(pattern, F.col("sigungu")).alias("question"), F.coalesce(d, F.lit("")).alias("expected_doc"), F.lit(router).alias("expected_router_type"), status.alias("expected_match_status"), F.lit(no).alias("must_not_recommend"), F.lit(tell).alias("must_disclose_limit")))
-    first = keep_one(regions.where("sigungu is not null").select(F.inline(F.array(*made))), ["question"], ["ord"])
+    for i, (pattern, _, _, _, field, router, hit, miss, tell) in enumerate(specs):
+        none = F.coalesce(F.col(f"__rows{i}"), F.lit(0)) == 0
+        made.append(F.struct(
+            F.array(F.lit(1 + block), *(F.col(f"__{n}") for n in names), F.lit(i)).alias("ord"), F.lit(kind).alias("type"), F.format_string(pattern, *map(F.col, names)).alias("question"),
+            F.coalesce(f"__doc{i}", F.lit("")).alias("expected_doc"), F.lit(field).alias("expected_field"), F.lit(router).alias("expected_router_type"), F.when(none, miss).otherwise(hit).alias("expected_match_status"),
+            F.when(none & F.lit(router != "GENERAL_RETRIEVAL_QA"), "Y").otherwise("N").alias("must_not_recommend"), F.when(none, tell).otherwise("N").alias("must_disclose_limit"),
+        ))
+    return found.select(F.inline(F.array(*made)))
+
+
+def edge_questions(listing: DataFrame, quotas: dict[str, int] = C.EDGE_QUOTAS) -> DataFrame:
+    """(type, question, expected_doc, expected_field, …): what the data answers about its commonest places, the first of each question, quotas by type.
+
+    A question belongs to the first type that makes it, also where that one's quota leaves it out. Ties go to the smaller
+    id or value. An empty listing leaves the questions over no place.
+    """
+    blocks = [_asked(listing, i, *block) for i, block in enumerate(C.EDGE_BLOCKS)]
+    names = ("type", "question", "expected_field", "expected_router_type", "expected_match_status", "must_disclose_limit")
+    fixed = [F.struct(F.array(F.lit(99 if at else 0), F.lit(i)).alias("ord"), *(F.lit(v).alias(n) for n, v in zip(names, (kind, *rest))), F.lit("").alias("expected_doc"), F.lit("Y").alias("must_not_recommend")) for i, (kind, at, *rest) in enumerate(C.EDGE_FIXED)]
+    rows = reduce(DataFrame.unionByName, blocks + [listing.sparkSession.range(1).select(F.inline(F.array(*fixed)))])
+    by_type = F.create_map(*(x for i, k in enumerate(C.EDGE_QUOTAS) for x in (F.lit(k), F.lit(i))))[F.col("type")]
+    first = keep_one(rows.withColumns({"question": strip(F.col("question")), "__type": by_type}).where("question <> ''"), ["question"], ["__type", "ord"])
     limit = F.coalesce(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])[F.col("type")], F.lit(0))
-    turn = F.row_number().over(Window.partitionBy("type").orderBy("ord", "question"))
-    return first.withColumn("__n", turn).where(F.col("__n") <= limit).drop("__n", "ord")
+    turn = F.row_number().over(Window.partitionBy("type").orderBy("ord"))
+    return first.withColumn("__n", turn).where(F.col("__n") <= limit).drop("__n", "__type", "ord")
 
 
 def literal_records(spark, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:

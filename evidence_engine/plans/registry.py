@@ -623,6 +623,26 @@ def qa_templates(s, d):
     return generate.qa_dataset(V.qa_listing(s, d), V.knowledge(s))
 
 
-@query()
+def _edge_block(block, kind, levels, specs):
+    tops = ", ".join(f"(SELECT {n}, row_number() OVER (ORDER BY count(*) DESC, {n}) - 1 AS r_{n} FROM listing GROUP BY 1 ORDER BY 2 LIMIT {most}) AS t_{n}" for n, most in levels)
+    names = [n for n, _ in levels]
+    for i, (pattern, where, by, greatest, field, router, hit, miss, tell) in enumerate(specs):
+        asked = "printf('" + pattern + "', " + ", ".join(f"t_{n}.{n}" for n in names) + ")"
+        held = f"FROM qa_listing AS q WHERE {' AND '.join(f'q.{n} = t_{n}.{n}' for n in names)} AND {where}"
+        none = f"(SELECT count(*) {held}) = 0"
+        refuse = "'N'" if router == "GENERAL_RETRIEVAL_QA" else f"CASE WHEN {none} THEN 'Y' ELSE 'N' END"
+        best = f"coalesce((SELECT arg_min(doc_id, ({by} IS NULL, coalesce({'-' if greatest else ''}{by}, 0), doc_id)) {held}), '')"
+        yield f"SELECT {list(C.EDGE_QUOTAS).index(kind)} AS kind, [{1 + block}, {', '.join(f'r_{n}' for n in names)}, {i}] AS ord, '{kind}' AS type, {asked} AS question, {best} AS expected_doc, '{field}' AS expected_field, '{router}' AS expected_router_type, CASE WHEN {none} THEN '{miss}' ELSE '{hit}' END AS expected_match_status, {refuse} AS must_not_recommend, CASE WHEN {none} THEN '{tell}' ELSE 'N' END AS must_disclose_limit FROM {tops}"
+
+
+_EDGE_SQL = (
+    f"WITH {V.QA_LISTING}, a AS (" + " UNION ALL ".join(x for i, block in enumerate(C.EDGE_BLOCKS) for x in _edge_block(i, *block))
+    + "".join(f" UNION ALL SELECT {list(C.EDGE_QUOTAS).index(kind)}, [{99 if at else 0}, {i}], '{kind}', '{q}', '', '{field}', '{router}', '{status}', 'Y', '{tell}'" for i, (kind, at, q, field, router, status, tell) in enumerate(C.EDGE_FIXED))
+    + "), f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY kind, ord) AS n FROM a), g AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ord) AS turn FROM f WHERE n = 1)"
+    + " SELECT type, question, expected_doc, expected_field, expected_router_type, expected_match_status, must_not_recommend, must_disclose_limit FROM g WHERE turn <= CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.EDGE_QUOTAS.items()) + " END"
+)
+
+
+@query(_EDGE_SQL)
 def edge_questions(s, d):
-    return generate.edge_questions(L(s, d), {"condition": 250, "comparison": 250, "multi_condition": 250, "region": 900, "vague": 175, "colloquial": 175})
+    return generate.edge_questions(V.qa_listing(s, d))

@@ -89,7 +89,7 @@ _QA_EXTRA = [
     "CASE WHEN ordinal % 6 = 0 THEN 'nan' ELSE '방 ' || CAST(ordinal % 4 + 1 AS STRING) || '개 구조입니다.' END AS structure",
     "CASE WHEN ordinal % 8 = 0 THEN ' ' ELSE sido || ' ' || sigungu || ' ' || dong || ' ' || CAST(ordinal AS STRING) END AS address",
     "CASE WHEN ordinal % 5 < 2 THEN station || ' 이용 가능' END AS transport_compare", "CASE WHEN ordinal % 7 <> 0 THEN CAST(lines AS STRING) || '호선' END AS line_summary",
-    "CASE WHEN ordinal % 12 <> 0 THEN price / 4 END AS price_per_pyeong", "CASE WHEN ordinal % 10 <> 3 THEN band || ' 가격 수준' ELSE 'None' END AS price_summary",
+    "CASE WHEN ordinal % 12 <> 0 THEN price / 4 END AS price_per_pyeong", "CASE WHEN ordinal % 10 = 3 THEN 'None' WHEN ordinal % 10 < 3 THEN '평당 공급가가 비교적 합리적인 편입니다.' ELSE band || ' 가격 수준' END AS price_summary", "1500 - distance AS subway",
     "CASE WHEN park IS NOT NULL THEN '공원 ' || CAST(CAST(park AS INT) AS STRING) || '개' END AS lifestyle", "'병원 ' || CAST(CAST(hospital AS INT) AS STRING) || '개' AS medical",
     "CASE WHEN ordinal % 4 = 1 THEN NULL ELSE sigungu || ' 통근' END AS commute", "CASE WHEN ordinal % 9 = 2 THEN 'null' ELSE ' ' || dong || ' 시공 ' END AS builder",
     "CASE WHEN ordinal % 3 = 1 THEN '' ELSE '정책 ' || flag_text END AS policy", "name || ' 단지' AS description",

@@ -62,3 +62,31 @@ def test_least_size(spark):
     assert generate.require_rows(spark.range(3), 3).count() == 3
     with pytest.raises(ValueError):
         generate.require_rows(spark.range(2), 3)
+
+
+EDGE = "doc_id string, sido string, sigungu string, dong string, band string, distance double, price_summary string, price_per_pyeong double, hospital double, park double, subway double, households bigint"
+
+
+def test_edge_outcomes(spark):
+    rows = [
+        ("A2", "서울", "송파구", "잠실동", "소형", 650.0, None, None, None, 3.0, None, 10),
+        ("A1", "서울", "송파구", "잠실동", "중형", 650.0, "합리적인 편", None, None, None, None, 10),
+        ("A3", "서울", "송파구", None, "소형", None, "합리적인 편", 9.0, 2.0, None, 5.0, None),
+        (None, None, None, None, None, 1.0, None, None, None, None, None, None),
+    ]
+    got = made(generate.edge_questions(spark.createDataFrame(rows, EDGE)))
+    pick = lambda q: (got[q].expected_doc, got[q].expected_match_status, got[q].must_not_recommend, got[q].must_disclose_limit)
+    assert pick("송파구에서 지하철 500m 이내 아파트 추천해줘") == ("", "NO_MATCH", "Y", "N")
+    assert pick("송파구에서 지하철 700m 이내 아파트 추천해줘") == ("A1", "EXACT_MATCH", "N", "N")
+    assert pick("송파구에서 가격 괜찮은 아파트 추천해줘") == ("A3", "EXACT_MATCH", "N", "N")
+    assert pick("잠실동에서 병원 접근 좋은 아파트 추천해줘") == ("", "UNKNOWN", "Y", "N")
+    assert pick("송파구에서 중형이면서 공원과 병원 접근성 좋은 아파트 추천해줘") == ("", "UNKNOWN", "Y", "Y")
+    assert pick("송파구 아파트 뭐 있어") == ("A1", "UNKNOWN", "N", "N")
+    assert pick("송파구에서 괜찮은 아파트 추천해줘") == ("", "UNKNOWN", "Y", "Y")
+
+
+def test_edge_quota_and_empty(spark):
+    empty = spark.createDataFrame([], EDGE)
+    assert generate.edge_questions(empty).count() == 15
+    few = generate.edge_questions(empty, {"vague": 2, "colloquial": 0}).collect()
+    assert [r.question for r in sorted(few, key=lambda r: r.question)] == ["괜찮은 아파트 추천해줘", "살기 좋은 단지 뭐 있어"]
