@@ -209,3 +209,27 @@ EDGE_FIXED = (
     ("colloquial", 0, "송파구 괜춘한 단지 뭐있어", "질문 해석", "RECOMMEND_STRUCTURED", "UNKNOWN", "Y"),
     ("colloquial", 0, "강동구 아파트 추천좀", "질문 해석", "RECOMMEND_STRUCTURED", "UNKNOWN", "Y"),
 )
+# Questions that fill a type up to its quota, in order. Each: type, columns with how many of their commonest values and
+# what stands for a column without values, pattern, lists of words (all combinations, the last list running fastest), field, route,
+# whether nothing may be recommended and limits must be disclosed. No document is expected, the status is UNKNOWN.
+EDGE_REGION, EDGE_DONG, EDGE_BAND = ("sigungu", 30, "서울"), ("dong", 30, "지역"), ("band", 6, "중형")
+EDGE_RETRIEVAL = (
+    "아파트 뭐 있어", "대표 단지 특징 설명해줘", "아파트 특징 요약해줘", "단지 분위기 정리해줘", "대표 아파트 알려줘", "주요 단지 알려줘", "단지 특징 알려줘", "지역 대표 단지 정리해줘",
+    "지역 아파트 요약해줘", "아파트 분위기 알려줘", "주요 아파트 특징 설명해줘", "대표 단지 요약해줘", "아파트 정보 정리해줘", "대표 아파트 특징 설명해줘", "지역 단지 정보 알려줘",
+)
+EDGE_AREAS = (("주변", "라인", "권역", "쪽"), ("아파트 알려줘", "단지 뭐 있어", "추천해줘", "후보 보여줘"))
+EDGE_SNIPPETS = ("추천좀", "뭐 있어", "찾아줘", "보여줘", "어디임", "괜춘함?", "있냐", "ㄱㄱ", "궁금", "봐줘")
+EDGE_THEMES = ("지하철 가까운곳", "병원 가까운곳", "공원 많은곳", "가성비 단지", "생활 편한곳", "규제 적은곳", "대단지 아파트")
+EDGE_FILL = (
+    ("condition", (EDGE_REGION, EDGE_BAND), "%s에서 %s %s", (("아파트 추천해줘", "조건 맞는 단지 찾아줘", "추천 가능한 곳 보여줘", "후보 알려줘"),), "면적대", "RECOMMEND_STRUCTURED", "Y"),
+    ("comparison", (EDGE_REGION,), "%s에서 %s 기준 아파트 %s", (("공원", "병원", "지하철"), ("비교해줘", "비교 추천해줘", "좋은 순으로 보여줘", "후보 비교해줘")), "비교 기준", "RECOMMEND_COMPARATIVE", "Y"),
+    ("multi_condition", (EDGE_REGION, EDGE_BAND), "%s에서 %s이면서 %s %s", (("역 가까운", "공원 접근 좋은", "병원 접근 좋은", "가격 괜찮은"), ("아파트 추천해줘", "단지 찾아줘", "후보 보여줘", "비교해줘")), "복합 조건", "RECOMMEND_STRUCTURED", "Y"),
+    ("region", (EDGE_REGION,), "%s %s", (EDGE_RETRIEVAL,), "description", "GENERAL_RETRIEVAL_QA", "N"),
+    ("region", (EDGE_DONG,), "%s %s", (EDGE_RETRIEVAL,), "description", "GENERAL_RETRIEVAL_QA", "N"),
+    ("region", (EDGE_REGION,), "%s %s %s", EDGE_AREAS, "시군구", "RECOMMEND_STRUCTURED", "Y"),
+    ("region", (EDGE_DONG,), "%s %s %s", EDGE_AREAS, "동", "RECOMMEND_STRUCTURED", "Y"),
+    ("vague", (EDGE_REGION,), "%s에서 %s %s %s", (("괜찮은", "무난한", "살기 좋은", "추천할 만한", "편한", "실거주 좋은"), ("아파트", "단지", "곳", "후보"), ("추천해줘", "찾아줘", "골라줘", "보여줘")), "지원 범위", "RECOMMEND_COMPARATIVE", "Y"),
+    ("colloquial", (), "%s %s", (EDGE_THEMES, EDGE_SNIPPETS), "질문 해석", "RECOMMEND_STRUCTURED", "Y"),
+    ("colloquial", (EDGE_REGION,), "%s %s %s", (EDGE_THEMES, EDGE_SNIPPETS), "질문 해석", "RECOMMEND_STRUCTURED", "Y"),
+    ("colloquial", (EDGE_DONG,), "%s %s %s", (("아파트", "단지", "추천", "후보"), EDGE_SNIPPETS), "질문 해석", "RECOMMEND_STRUCTURED", "Y"),
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,13 +148,28 @@ def _asked(listing: DataFrame, block: int, kind: str, levels: tuple, specs: tupl
     return found.select(F.inline(F.array(*made)))
 
 
+def _filled(listing: DataFrame, block: int, kind: str, levels: tuple, pattern: str, words: tuple, field: str, router: str, refuse: str) -> DataFrame:
+    """One block of fill questions: the commonest values of its levels by all combinations of its words."""
+    one = listing.sparkSession.range(1).select()
+    tops = one
+    for n, most, otherwise in levels:
+        ranked = one.join(commonest(listing, n, most), F.lit(True), "left")
+        tops = crossed(tops, ranked.select(F.coalesce(n, F.lit(otherwise)).alias(n), F.coalesce(f"__{n}", F.lit(0)).alias(f"__{n}")))
+    names = [n for n, *_ in levels]
+    made = F.array(*(F.struct(F.lit(i).alias("__i"), F.format_string(pattern, *map(F.col, names), *map(F.lit, said)).alias("question")) for i, said in enumerate(product(*words))))
+    rest = {"type": kind, "expected_doc": "", "expected_field": field, "expected_router_type": router, "expected_match_status": "UNKNOWN", "must_not_recommend": refuse, "must_disclose_limit": refuse}
+    rows = tops.select(*(f"__{n}" for n in names), F.inline(made))
+    return rows.select(F.array(F.lit(100 + block), *(F.col(f"__{n}") for n in names), F.col("__i")).alias("ord"), "question", *(F.lit(v).alias(k) for k, v in rest.items()))
+
+
 def edge_questions(listing: DataFrame, quotas: dict[str, int] = C.EDGE_QUOTAS) -> DataFrame:
-    """(type, question, expected_doc, expected_field, …): what the data answers about its commonest places, the first of each question, quotas by type.
+    """(type, question, expected_doc, expected_field, …): what the data answers about its commonest places, the first of each question, filled up to the quotas of the types.
 
     A question belongs to the first type that makes it, also where that one's quota leaves it out. Ties go to the smaller
-    id or value. An empty listing leaves the questions over no place.
+    id or value. An empty listing leaves the questions over no place and the fill with its stand-ins. All but the
+    aggregates by place is of a size that the fixed lists bound.
     """
-    blocks = [_asked(listing, i, *block) for i, block in enumerate(C.EDGE_BLOCKS)]
+    blocks = [_filled(listing, i, *block) for i, block in enumerate(C.EDGE_FILL)] + [_asked(listing, i, *block) for i, block in enumerate(C.EDGE_BLOCKS)]
     names = ("type", "question", "expected_field", "expected_router_type", "expected_match_status", "must_disclose_limit")
     fixed = [F.struct(F.array(F.lit(99 if at else 0), F.lit(i)).alias("ord"), *(F.lit(v).alias(n) for n, v in zip(names, (kind, *rest))), F.lit("").alias("expected_doc"), F.lit("Y").alias("must_not_recommend")) for i, (kind, at, *rest) in enumerate(C.EDGE_FIXED)]
     rows = reduce(DataFrame.unionByName, blocks + [listing.sparkSession.range(1).select(F.inline(F.array(*fixed)))])

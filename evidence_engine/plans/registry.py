@@ -635,8 +635,16 @@ def _edge_block(block, kind, levels, specs):
         yield f"SELECT {list(C.EDGE_QUOTAS).index(kind)} AS kind, [{1 + block}, {', '.join(f'r_{n}' for n in names)}, {i}] AS ord, '{kind}' AS type, {asked} AS question, {best} AS expected_doc, '{field}' AS expected_field, '{router}' AS expected_router_type, CASE WHEN {none} THEN '{miss}' ELSE '{hit}' END AS expected_match_status, {refuse} AS must_not_recommend, CASE WHEN {none} THEN '{tell}' ELSE 'N' END AS must_disclose_limit FROM {tops}"
 
 
+def _edge_fill(block, kind, levels, pattern, words, field, router, refuse):
+    tops = [f"(SELECT {n}, row_number() OVER (ORDER BY count(*) DESC, {n}) - 1 AS r_{n} FROM listing GROUP BY 1 ORDER BY 2 LIMIT {most}) AS t_{n}" for n, most, _ in levels]
+    tops += [f"(VALUES {_ROWS(enumerate(w))}) AS w{i}(i{i}, w{i})" for i, w in enumerate(words)]
+    asked = ", ".join([f"t_{n}.{n}" for n, *_ in levels] + [f"w{i}.w{i}" for i in range(len(words))])
+    order = ", ".join([f"r_{n}" for n, *_ in levels] + [f"i{i}" for i in range(len(words))])
+    return f"SELECT {list(C.EDGE_QUOTAS).index(kind)}, [{100 + block}, {order}], '{kind}', printf('{pattern}', {asked}), '', '{field}', '{router}', 'UNKNOWN', '{refuse}', '{refuse}' FROM {', '.join(tops)}"
+
+
 _EDGE_SQL = (
-    f"WITH {V.QA_LISTING}, a AS (" + " UNION ALL ".join(x for i, block in enumerate(C.EDGE_BLOCKS) for x in _edge_block(i, *block))
+    f"WITH {V.QA_LISTING}, a AS (" + " UNION ALL ".join([x for i, block in enumerate(C.EDGE_BLOCKS) for x in _edge_block(i, *block)] + [_edge_fill(i, *block) for i, block in enumerate(C.EDGE_FILL)])
     + "".join(f" UNION ALL SELECT {list(C.EDGE_QUOTAS).index(kind)}, [{99 if at else 0}, {i}], '{kind}', '{q}', '', '{field}', '{router}', '{status}', 'Y', '{tell}'" for i, (kind, at, q, field, router, status, tell) in enumerate(C.EDGE_FIXED))
     + "), f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY kind, ord) AS n FROM a), g AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ord) AS turn FROM f WHERE n = 1)"
     + " SELECT type, question, expected_doc, expected_field, expected_router_type, expected_match_status, must_not_recommend, must_disclose_limit FROM g WHERE turn <= CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.EDGE_QUOTAS.items()) + " END"

@@ -87,6 +87,8 @@ def test_edge_outcomes(spark):
 
 def test_edge_quota_and_empty(spark):
     empty = spark.createDataFrame([], EDGE)
-    assert generate.edge_questions(empty).count() == 15
+    got = {r.type: r["count"] for r in generate.edge_questions(empty).groupBy("type").count().collect()}
+    # Fixed questions and fill over the stand-ins; of 183 colloquial ones the quota keeps 175.
+    assert got == {"condition": 2 + 4, "comparison": 3 + 12, "multi_condition": 16, "region": 15 + 15 + 16 + 16, "vague": 5 + 96, "colloquial": 175}
     few = generate.edge_questions(empty, {"vague": 2, "colloquial": 0}).collect()
     assert [r.question for r in sorted(few, key=lambda r: r.question)] == ["괜찮은 아파트 추천해줘", "살기 좋은 단지 뭐 있어"]
