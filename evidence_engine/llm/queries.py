@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, html, jaccard, licences, mixing, mtree, quality, tokens, toxicity, winnow
+from . import ctw, html, infill, jaccard, licences, mixing, mtree, quality, tokens, toxicity, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_block_lstm": html.op9,
     "op1_bigru": toxicity.op1,
     "op3_context_tree": ctw.op3,
+    "op13_infill_split": infill.op13,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_jaccard_rtree": jaccard.OP8_SQL,
     "op7_license_digest": licences.OP7_SQL,
     "op6_mtree": mtree.OP6_SQL,
+    "op13_infill_split": infill.OP13_SQL,
 }
