@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, html, infill, jaccard, licences, mixing, mtree, quality, runs, tokens, toxicity, winnow
+from . import ctw, html, infill, jaccard, licences, mixing, mtree, quality, repeats, runs, tokens, toxicity, winnow
 
 QUERIES = {
     "op4_winnowing": winnow.op4,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_block_lstm": html.op9,
     "op1_bigru": toxicity.op1,
     "op3_context_tree": ctw.op3,
+    "op11_induced_suffixes": repeats.op11,
     "op12_tandem_runs": runs.op12,
     "op13_infill_split": infill.op13,
 }
