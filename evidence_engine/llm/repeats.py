@@ -251,10 +251,10 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, hot: int =
     return both.mapInArrow(S.trimmed(_removed(length)), "name binary, n_bytes bigint, n_removed bigint, spans array<struct<lo int, hi int>>, kept binary")
 
 
-def deduplicated(docs: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str, text: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept) of each row."""
     named = docs.select(F.col(key).alias("key"), _name(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("name"))
-    return named.join(repeated_spans(docs, text, length), "name").drop("name")
+    return named.join(repeated_spans(docs, text, length, hot), "name").drop("name")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

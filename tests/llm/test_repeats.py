@@ -73,10 +73,9 @@ def rows():
 
 
 @pytest.mark.parametrize("hot", [repeats.HOT, 3])
-def test_against_brute_force(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(repeats.repeated_spans, "__defaults__", (repeats.LENGTH, hot))
+def test_against_brute_force(spark, rows, hot):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"name": F.lit("x"), "spans": F.lit(1), "seg": F.lit(2), "key": F.lit(3)}).repartition(3)
-    got = repeats.deduplicated(df, "doc_id", "text").collect()
+    got = repeats.deduplicated(df, "doc_id", "text", hot=hot).collect()
     assert Counter((r.key, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == Counter(brute(rows, 200))
     assert any(r.n_removed for r in got)
 
