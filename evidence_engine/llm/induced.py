@@ -33,32 +33,37 @@ class BucketQueue:
         self.first = np.concatenate(([0], np.cumsum(counts)))
         self.filled = self.first[:-1].copy()
         size = max(1, int(self.first[-1]))
-        self.place = np.memmap(os.path.join(folder, f"{name}-place"), np.int32, "w+", shape=size)
-        self.lcp = np.memmap(os.path.join(folder, f"{name}-lcp"), np.uint8, "w+", shape=size)
-
-    def push(self, symbol: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> None:
-        """Symbols ascend; tuples of one symbol come in their order."""
-        new = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-        count = np.diff(np.append(new, len(symbol)))
-        slot = np.arange(len(symbol)) + np.repeat(self.filled[symbol[new]] - new, count)
+        self.place = np.asarray(np.memmap(os.path.join(folder, f"{name}-place"), np.int32, "w+", shape=size))
+        self.lcp = np.asarray(np.memmap(os.path.join(folder, f"{name}-lcp"), np.uint8, "w+", shape=size))
+
+    def push(self, symbol: np.ndarray, new: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> None:
+        """Symbols ascend; tuples of one symbol come in their order. new: where a symbol is met first."""
+        count = np.empty(len(new), np.int64)
+        count[:-1], count[-1] = new[1:] - new[:-1], len(symbol) - new[-1]
+        which = symbol[new]
+        slot = np.arange(len(symbol)) + np.repeat(self.filled[which] - new, count)
         self.place[slot], self.lcp[slot] = place, lcp
-        self.filled[symbol[new]] += count
+        self.filled[which] += count
 
     def pop(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.first[low], self.first[high]
-        return np.asarray(self.place[a:b]), np.asarray(self.lcp[a:b])
+        return self.place[a:b], self.lcp[a:b]
 
 
 def range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least of values[low..high] for each pair, by a table of minima over powers of two."""
+    """Least of values[low..high] for each pair; of many values by a table of minima over powers of two."""
     if not len(low):
-        return np.zeros(0, values.dtype)
+        return values[:0]
+    if len(values) <= 512:
+        ends = np.empty(2 * len(low), np.int64)
+        ends[::2], ends[1::2] = low, high + 1
+        return np.minimum.reduceat(np.append(values, values[-1]), ends)[::2]
     level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
     out, table = np.empty(len(low), values.dtype), values
     for k in range(int(level.max()) + 1):
         if k:
             table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
-        some = np.flatnonzero(level == k)
+        some = (level == k).nonzero()[0]
         out[some] = np.minimum(table[low[some]], table[high[some] - (1 << k) + 1])
     return out
 
@@ -82,59 +87,70 @@ def _backwards(lcp: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(min(1, len(lcp)), np.uint8), lcp[:0:-1]))
 
 
-def _joined(symbol: np.ndarray, kind: np.ndarray, place: np.ndarray, lcp: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both kinds of suffixes in the order of symbol and kind, common prefixes set where kinds meet."""
-    by = np.argsort(symbol, kind="stable")
-    symbol, kind, place, lcp = symbol[by], kind[by], place[by], lcp[by]
-    meet = np.flatnonzero((symbol[1:] == symbol[:-1]) & (kind[1:] != kind[:-1])) + 1
-    lcp[meet] = np.minimum(run[place[meet - 1]], run[place[meet]])
+def _joined(symbol: np.ndarray, first_kind: int, place: np.ndarray, lcp: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of two kinds, the first ``first_kind`` and the rest, in the order of symbol and kind; common prefixes set where symbols change and kinds meet."""
+    by = symbol.argsort(kind="stable")
+    symbol, kind, place, lcp = symbol[by], by >= first_kind, place[by], lcp[by]
+    same = symbol[1:] == symbol[:-1]
     lcp[0] = 0
-    lcp[1:][symbol[1:] != symbol[:-1]] = 0
-    return symbol, place, lcp
+    lcp[1:][~same] = 0
+    meet = (same & (kind[1:] != kind[:-1])).nonzero()[0]
+    lcp[meet + 1] = np.minimum(run[place[meet]], run[place[meet + 1]])
+    return place, lcp
 
 
 def _induce(symbol: np.ndarray, wanted: np.ndarray, base: np.ndarray, base_lcp: np.ndarray, run: np.ndarray, sigma: int, folder: str, name: str) -> BucketQueue:
     """The wanted suffixes in ascending order of ``symbol``, from the sorted others; all of them are in the queue at its end."""
-    at = np.flatnonzero(wanted)
+    at = wanted.nonzero()[0]
     queue = BucketQueue(np.bincount(symbol[at], minlength=sigma), folder, name)
+    first, filled = queue.first, queue.filled
     base_first = np.concatenate(([0], np.cumsum(np.bincount(symbol[base], minlength=sigma))))
-    both = queue.first + base_first
+    both = first + base_first
     reach = np.full(sigma + 1, sigma, np.int64)  # least symbol that has a follower of at least that symbol
-    np.minimum.at(reach, symbol[at + 1], symbol[at])
+    np.minimum.at(reach, symbol[at + 1], symbol[at].astype(np.int64))
     reach = np.minimum.accumulate(reach[::-1])[::-1]
+    sends = np.full(len(symbol), -1, np.int32)  # the symbol of the suffix that each one sends, if it sends one
+    sends[at + 1] = symbol[at]
+    del at
     low = 0
     while low < sigma:
         own = reach[low] == low
         high = low + 1 if own else max(low + 1, min(int(reach[low]), int(np.searchsorted(both, both[low] + BATCH, side="right")) - 1))
         if own:
-            begin, end = int(queue.first[low]), int(queue.filled[low])
+            begin, end = int(first[low]), int(filled[low])
             while begin < end:
-                wave, before = np.asarray(queue.place[begin:end]), np.asarray(queue.lcp[begin:end])
-                k = np.flatnonzero((wave > 0) & wanted[wave - 1] & (symbol[wave - 1] == low))
+                wave, before = queue.place[begin:end], queue.lcp[begin:end]
+                k = (sends[wave] == low).nonzero()[0]
                 if len(k):
-                    least = np.minimum(range_minima(before, k[:-1] + 1, k[1:]), CAP - 1) + 1
-                    head = min(int(run[wave[-1]]), int(run[wave[k[0]] - 1]))
-                    queue.push(np.full(len(k), low), wave[k] - 1, np.concatenate((np.array([head], np.uint8), least.astype(np.uint8))))
-                begin, end = end, int(queue.filled[low])
-        place, lcp = queue.pop(low, high)
+                    least = np.empty(len(k), np.uint8)
+                    least[0] = min(int(run[wave[-1]]), int(run[wave[k[0]] - 1]))
+                    least[1:] = np.minimum(range_minima(before, k[:-1] + 1, k[1:]), CAP - 1) + 1
+                    queue.push(np.full(len(k), low), np.zeros(1, np.int64), wave[k] - 1, least)
+                begin, end = end, int(filled[low])
+        every, least = queue.pop(low, high)
         a, b = base_first[low], base_first[high]
-        if len(place) or b > a:
-            others = base[a:b]
-            every = np.concatenate((place, others))
-            kind = np.zeros(len(every), bool)
-            kind[len(place) :] = True
-            _, every, least = _joined(symbol[every], kind, every, np.concatenate((lcp, base_lcp[a:b])), run)
-            k = np.flatnonzero((every > 0) & wanted[every - 1])
-            if own:
-                k = k[symbol[every[k] - 1] != low]
-            if len(k):
-                to = symbol[every[k] - 1]
-                by = np.argsort(to, kind="stable")
-                to, k = to[by], k[by]
-                again = np.flatnonzero(to[1:] == to[:-1]) + 1
-                share = np.where(queue.filled[to] > queue.first[to], 1, 0).astype(np.uint8)  # a batch begins with a new symbol: one symbol in common with the tuple before
-                share[again] = np.minimum(range_minima(least, k[again - 1] + 1, k[again]), CAP - 1) + 1
-                queue.push(to, every[k] - 1, share)
+        if b > a:
+            if len(every):
+                mine = len(every)
+                every = np.concatenate((every, base[a:b]))
+                every, least = _joined(symbol[every], mine, every, np.concatenate((least, base_lcp[a:b])), run)
+            else:
+                every, least = base[a:b], base_lcp[a:b]
+        to = sends[every]
+        k = (to >= (high if own else 0)).nonzero()[0]
+        if len(k):
+            to = to[k]
+            by = to.argsort(kind="stable")
+            to, k = to[by], k[by]
+            differs = np.empty(len(to), bool)
+            differs[0] = True
+            np.not_equal(to[1:], to[:-1], out=differs[1:])
+            new, again = differs.nonzero()[0], (~differs).nonzero()[0]
+            share = np.empty(len(to), np.uint8)
+            met = to[new]
+            share[new] = filled[met] > first[met]  # a batch begins with a new symbol: one symbol in common with the tuple before
+            share[again] = np.minimum(range_minima(least, k[again - 1] + 1, k[again]), CAP - 1) + 1
+            queue.push(to, new, every[k] - 1, share)
         low = high
     return queue
 
@@ -201,13 +217,10 @@ def suffix_array(text: np.ndarray, sigma: int, folder: str, level: int = 0) -> t
     base_lcp = np.minimum(lcp, CAP).astype(np.uint8)
     del order, fresh, skip, before, after
     up = _induce(text, ~smaller, base.astype(np.int32), base_lcp, run, sigma, folder, f"{level}-up")
-    larger, larger_lcp = np.asarray(up.place[: up.first[-1]]), np.asarray(up.lcp[: up.first[-1]])
+    larger, larger_lcp = up.place[: up.first[-1]], up.lcp[: up.first[-1]]
     wanted = smaller.copy()
     wanted[-1] = False  # the end stands before all others and is sent by none
     down = _induce(sigma - 1 - text, wanted, larger[::-1], _backwards(larger_lcp), run, sigma, folder, f"{level}-down")
-    less, less_lcp = np.asarray(down.place[: down.first[-1]])[::-1], _backwards(np.asarray(down.lcp[: down.first[-1]]))
+    less, less_lcp = down.place[: down.first[-1]][::-1], _backwards(down.lcp[: down.first[-1]])
     every = np.concatenate((larger, np.array([n - 1], np.int32), less))
-    kind = np.zeros(n, bool)
-    kind[len(larger) :] = True
-    _, place, lcp = _joined(text[every], kind, every, np.concatenate((larger_lcp, np.zeros(1, np.uint8), less_lcp)), run)
-    return place, lcp
+    return _joined(text[every], len(larger), every, np.concatenate((larger_lcp, np.zeros(1, np.uint8), less_lcp)), run)

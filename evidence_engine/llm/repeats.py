@@ -10,8 +10,10 @@ row with one anchor make a segment, a piece of text of at most 2 length - GRAM b
 2. segments whose anchor stands nowhere else are done: none of their windows is a repeat;
 3. segments are counted by content, partially before the shuffle: in one that stands more than once every
    window is a repeat;
-4. of anchors with segments of different content, one copy of each goes to a shard by its anchor. A task joins a
-   shard's segments by ends that differ from one another and sorts the suffixes by external induced sorting
+4. of anchors with segments of different content, one copy of each is cut out. A window that reaches over its
+   anchor on one side by half of what it has besides shares that longer string (a side) with its repeat, so
+   segments neither of whose sides stands in another one are done. The rest go to shards by their anchors. A task
+   joins a shard's segments by ends that differ from one another and sorts the suffixes by external induced sorting
    (``induced``): windows whose common prefix with a neighbour has ``length`` bytes are repeats. Queues lie in
    files of the task's own folder, which goes with the task;
 5. an anchor with more than ``HOT`` different segments (a common line in that many contexts) would fill its shard,
@@ -39,9 +41,9 @@ from . import shared as S
 from .induced import suffix_array
 
 #: Bytes of a window, and of the strings of which the least one is its anchor.
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Bytes of segments that a shard is meant to hold; a task sorts so much at a time.
-SHARD = 2 << 20
+SHARD = 3 << 20
 #: Different segments of one anchor that a shard still takes.
 HOT = 2048
 
@@ -86,22 +88,43 @@ def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
     return row, begin - off[row], count, anchor, content
 
 
-def _listed(length: int):
+def _listed(length: int, gram: int):
     """mapInArrow function: (name, text, copies) to the same with the text's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = S.flat(batch.column(1))
             for a, b, part, part_off in S.slices(data, off, 1 << 20):
-                row, start, windows, anchor, content = segments(part, part_off, length)
+                row, start, windows, anchor, content = segments(part, part_off, length, gram)
                 found = pa.StructArray.from_arrays([pa.array(S.signed(anchor)), pa.array(S.signed(content)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], fields=list(_SEGMENT_ARROW))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), S.lists(found, np.bincount(row, minlength=b - a))], names=["name", "text", "copies", "segments"])
 
     return run
 
 
-def _cut_out(length: int):
-    """mapInArrow function: (text, wanted segments) to (anchor, seg, windows, bytes)."""
+def _sides(data: np.ndarray, off: np.ndarray, windows: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> list[pa.Array]:
+    """Hashes of each segment's anchor with the half of a window's other bytes before it, and with the half after it; null where the segment has not as many."""
+    up, down = S.powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    hashed = lambda s, e: S.mix((total[e] - total[s]) * down[s])
+    place = off[:-1] + windows - 1  # the last window's first gram with the anchor's hash is the anchor
+    going = np.arange(len(place))
+    while len(going):
+        going = going[hashed(place[going], place[going] + gram) != anchor[going]]
+        place[going] += 1
+    half = (length - gram + 1) // 2
+    out = []
+    for low, high in ((place - half, place + gram), (place, place + gram + half)):
+        there = (low >= off[:-1]) & (high <= off[1:])
+        h = np.zeros(len(place), np.uint64)
+        h[there] = hashed(low[there], high[there])
+        out.append(pa.array(S.signed(h), mask=~there))
+    return out
+
+
+def _cut_out(length: int, gram: int):
+    """mapInArrow function: (text, wanted segments) to (anchor, seg, windows, left, right, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +135,10 @@ def _cut_out(length: int):
             start, windows = np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("windows")).astype(np.int64)
             at = np.repeat(off[:-1], count) + start
             text = [raw[a:b] for a, b in zip(at.tolist(), (at + windows + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("seg"), flat.field("windows"), pa.array(text, pa.binary())], names=["anchor", "seg", "windows", "bytes"])
+            part = np.frombuffer(b"".join(text), np.uint8)
+            part_off = np.concatenate(([0], np.cumsum(windows + length - 1)))
+            left, right = _sides(part, part_off, windows, np.asarray(flat.field("anchor")).view(np.uint64), length, gram)
+            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("seg"), flat.field("windows"), left, right, pa.array(text, pa.binary())], names=["anchor", "seg", "windows", "left", "right", "bytes"])
 
     return run
 
@@ -216,23 +242,28 @@ def _bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, hot: int = HOT, used: list[DataFrame] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, used: list[DataFrame] | None = None) -> DataFrame:
     """(name, n_bytes, n_removed, spans (lo, hi), kept) of each distinct text; name is its md5. ``used`` gets the written tables that the result still reads."""
     spark = docs.sparkSession
     S.arrow_batches(spark, mb=4)
     raw = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = raw.groupBy(_name(F.col("text")).alias("name")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = _bucketed(texts.mapInArrow(S.trimmed(_listed(length)), f"name binary, text string, copies bigint, segments array<struct<{_SEGMENT}>>"), "name", "repeat-texts")
+    texts = _bucketed(texts.mapInArrow(S.trimmed(_listed(length, gram)), f"name binary, text string, copies bigint, segments array<struct<{_SEGMENT}>>"), "name", "repeat-texts")
     S.discard(spark)
     listed = texts.select("name", F.inline("segments"))
-    shared = listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join below has nothing but shuffles under it and Spark can split a hot anchor.
+    shared = S.settled(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-shared")
     listed = S.settled(listed.join(shared, "anchor", "left_semi"), "repeat-segments")
     distinct = S.settled(listed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("name", "start", "windows")).alias("r")), "repeat-distinct")
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     unlike = distinct.join(kinds, "anchor").select(F.col("r.name").alias("name"), F.struct("anchor", "seg", F.col("r.start").alias("start"), F.col("r.windows").alias("windows")).alias("s"))
     wanted = unlike.groupBy("name").agg(F.collect_list("s").alias("wanted"))
     pieces = texts.select("name", "text").join(wanted, "name").select("text", "wanted")
-    pieces = S.settled(pieces.mapInArrow(S.trimmed(_cut_out(length)), "anchor bigint, seg bigint, windows int, bytes binary"), "repeat-pieces")
+    pieces = S.settled(pieces.mapInArrow(S.trimmed(_cut_out(length, gram)), "anchor bigint, seg bigint, windows int, left bigint, right bigint, bytes binary"), "repeat-pieces")
+    side = pieces.select("anchor", "seg", F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("left").alias("h")), F.struct(F.lit(1).alias("of"), F.col("right").alias("h")))).alias("s")).where("s.h is not null")
+    met = side.groupBy("anchor", "s").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "s")
+    cut = pieces
+    pieces = S.settled(pieces.select("anchor", "seg", "windows", "bytes").join(side.join(met, ["anchor", "s"], "left_semi").select("anchor", "seg").distinct(), ["anchor", "seg"], "left_semi"), "repeat-met")
     of_hot = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
     volume = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = pieces.join(of_hot, "anchor", "left_anti").repartition(max(1, -(-volume // SHARD)), "anchor")
@@ -244,17 +275,17 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, hot: int =
     once = found.join(distinct.where("n = 1").select("anchor", "seg", "r"), ["anchor", "seg"]).select("r.name", (F.col("r.start") + F.col("lo")).alias("lo"), (F.col("r.start") + F.col("hi") - 1 + length).alias("hi"))
     often = listed.join(distinct.where("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("name", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1 + length).alias("hi"))
     spans = S.settled(once.unionByName(often).groupBy("name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeat-spans")
-    S.discard(spark, listed, distinct, pieces, windows)
+    S.discard(spark, shared, listed, distinct, cut, pieces, windows)
     if used is not None:
         used += [texts, spans]
     both = texts.select("name", "text", "copies").join(spans, "name", "left")
     return both.mapInArrow(S.trimmed(_removed(length)), "name binary, n_bytes bigint, n_removed bigint, spans array<struct<lo int, hi int>>, kept binary")
 
 
-def deduplicated(docs: DataFrame, key: str, text: str, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(key, n_bytes, n_removed, spans, kept) of each row."""
+def deduplicated(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(key, n_bytes, n_removed, spans, kept) of each row. gram: bytes of an anchor, fewer than length."""
     named = docs.select(F.col(key).alias("key"), _name(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("name"))
-    return named.join(repeated_spans(docs, text, length, hot), "name").drop("name")
+    return named.join(repeated_spans(docs, text, length, gram, hot), "name").drop("name")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_against_brute_force(spark, rows, hot):
 
 def test_short_windows_and_empty_table(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = repeats.deduplicated(df, "doc_id", "text", 60).collect()
+    got = repeats.deduplicated(df, "doc_id", "text", 60, 16).collect()
     assert Counter((r.key, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == Counter(brute(rows, 60))
     assert repeats.deduplicated(df.limit(0), "doc_id", "text").isEmpty()
 
