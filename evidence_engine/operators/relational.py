@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,21 +140,3 @@ def unmatched_left(left: DataFrame, right: DataFrame, key: list[str], suffixes:
 def unique_lookup(df: DataFrame, text: str, value: str) -> DataFrame:
     """(text, value) of texts that stand in one row only."""
     return df.groupBy(text).agg(F.count("*").alias("__c"), F.min(value).alias(value)).where("__c = 1").drop("__c")
-
-
-def longest_contained(questions: DataFrame, entries: DataFrame, question: str, entry: str, key: str, out: str, most: int = 50_000) -> DataFrame:
-    """Per question the longest entry that it contains, ties to the first by text; questions without one drop out.
-
-    Up to ``most`` distinct entries go to all machines. Beyond that both sides meet on the entries' first
-    three characters at every position of a question, so that neither side is sent whole.
-    """
-    names = entries.select(F.col(entry).cast("string").alias(out)).where(F.length(out) > 0).distinct()
-    q = questions.select(key, F.col(question).alias("__q"))
-    if names.limit(most + 1).count() <= most:
-        hit = q.join(F.broadcast(names), F.col("__q").contains(F.col(out)))
-    else:
-        size = F.least(F.length(out), F.lit(3))
-        seeds = q.select(key, "__q", F.explode(F.sequence(F.lit(1), F.length("__q"))).alias("__at"))
-        grams = reduce(DataFrame.unionByName, (seeds.select(key, "__q", F.substring("__q", F.col("__at"), F.lit(n)).alias("__g")) for n in (1, 2, 3))).distinct()
-        hit = grams.join(names.withColumn("__g", F.substring(F.col(out), F.lit(1), size)), "__g").where(F.col("__q").contains(F.col(out)))
-    return hit.groupBy(key).agg(F.min(F.struct((-F.length(out)).alias("n"), F.col(out).alias("e")))["e"].alias(out))

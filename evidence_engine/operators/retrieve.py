@@ -1,50 +1,27 @@
-"""Lexical retrieval: token overlap with boosts, top k, zero-score padding and the answers built from it."""
+"""Lexical retrieval: the k best documents by token overlap with boosts, zero-score padding and the answers built from it."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contracts as C
-from ..functions.clean import format_number, text, tokens
-
-
-def postings(docs: DataFrame, doc: str, content: str) -> DataFrame:
-    return docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(content))).alias("token"))
-
+from ..functions.clean import format_number, text
+from . import impact
 
-def scores(questions: DataFrame, docs: DataFrame, *, qid: str, question: str, doc: str, content: str, boosts: dict[str, float] | None = None, most: int = 50_000) -> DataFrame:
-    """(qid, doc, score) of all pairs with a score above zero.
 
-    A join of tokens with tokens, so pairs that share nothing are never made; the counts are partial before
-    their shuffle. Boosts add where a column's value is in the question; they go by distinct values.
-    """
-    q = questions.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(question))).alias("token"))
-    overlap = q.join(postings(docs, doc, content), "token").groupBy("qid", "doc").agg(F.count("*").cast("double").alias("score"))
-    parts = [overlap]
-    usable = docs.where(F.size(tokens(F.col(content))) > 0)
-    asks = questions.where(F.size(tokens(F.col(question))) > 0).select(F.col(qid).alias("qid"), F.col(question).alias("__q"))
-    for column, weight in (boosts or {}).items():
-        values = usable.select(F.col(column).alias("value")).where(F.length("value") > 0).distinct()
-        if values.limit(most + 1).count() <= most:
-            values = F.broadcast(values)
-        hit = asks.join(values, F.col("__q").contains(F.col("value"))).select("qid", "value")
-        parts.append(hit.join(usable.select(F.col(column).alias("value"), F.col(doc).alias("doc")), "value").select("qid", "doc", F.lit(weight).alias("score")))
-    return reduce(DataFrame.unionByName, parts).groupBy("qid", "doc").agg(F.sum("score").alias("score"))
-
-
-def top_k(questions: DataFrame, docs: DataFrame, k: int = 3, *, qid: str, doc: str, **names) -> DataFrame:
-    """(qid, rank, doc, score): exactly k documents a question, filled up with the smallest ids at score 0."""
-    found = scores(questions, docs, qid=qid, doc=doc, **names)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+def top_k(questions: DataFrame, docs: DataFrame, k: int = 3, *, qid: str, doc: str, question: str, content: str, boosts: dict[str, float] | None = None) -> DataFrame:
+    """(qid, rank, doc, score): exactly k documents a question, filled up with the smallest ids at score 0. A written table."""
+    index = impact.build(docs, doc, content, boosts)
+    found = impact.search(index, questions, k, qid=qid, question=question)
     # Among the k smallest ids and a question's k best there are always k to choose from.
-    fill = docs.select(F.col(doc).alias("doc")).distinct().orderBy("doc").limit(k)
-    padded = questions.select(F.col(qid).alias("qid")).withColumn("__a", F.lit(1)).join(F.broadcast(fill.withColumn("__a", F.lit(1))), "__a").select("qid", "doc", F.lit(0.0).alias("score"))
-    both = best.unionByName(padded).groupBy("qid", "doc").agg(F.max("score").alias("score"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "doc", "score")
+    least = docs.select(F.col(doc).alias("doc")).distinct().orderBy("doc").limit(k).agg(F.collect_list("doc").alias("fill"))
+    padded = questions.select(F.col(qid).alias("qid")).join(F.broadcast(least)).select("qid", F.explode("fill").alias("doc"), F.lit(0.0).alias("score"))
+    both = found.select("qid", "doc", "score").unionByName(padded).groupBy("qid", "doc").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
+    out = index.scratch.settled(both.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "doc", "score"))
+    index.scratch.clear(out)
+    return out
 
 
 def gated(ranked: DataFrame, threshold: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions.clean import any_hint, collapse, normalize
-from .relational import longest_contained
+from .dictionary import longest_entries
 
 
 def comparative_tags(q: Column) -> Column:
@@ -107,12 +107,12 @@ def query_type() -> Column:
 def parse(questions: DataFrame, listing: DataFrame, terms: DataFrame, *, key: str = "qid", question: str = "question", term: str = "term", strict_band: bool = False) -> DataFrame:
     """One row a question: q, name, term, sido, sigungu, dong, tags, filters, the predicates and query_type.
 
-    listing has name, sido, sigungu and dong.
+    listing has name, sido, sigungu and dong. The five dictionaries go through one automaton together.
     """
     q = questions.withColumn("q", collapse(F.col(question)))
-    out = q
-    for source, entry, name in ((listing, "name", "name"), (terms, term, "term"), (listing, "sido", "sido"), (listing, "sigungu", "sigungu"), (listing, "dong", "dong")):
-        out = out.join(longest_contained(q, source, "q", entry, key, name), key, "left")
+    own = ["name", "sido", "sigungu", "dong"]
+    entries = listing.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("entry")) for k in own)))).unionByName(terms.select(F.lit("term").alias("kind"), F.col(term).cast("string").alias("entry")))
+    out = q.join(longest_entries(q, entries, key, "q", ["name", "term", *own[1:]]), key, "left")
     out = out.withColumns({"tags": comparative_tags(F.col("q")), "filters": filters(F.col("q"), strict_band)})
     return with_flags(out).withColumn("query_type", query_type())
 

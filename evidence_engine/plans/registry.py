@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as K
 from ..functions import contracts as C
 from ..functions import derive as D
-from ..operators import context, curate, evaluate, gates, generate, recommend, relational, retrieve, route
+from ..operators import context, curate, dictionary, evaluate, gates, generate, recommend, relational, retrieve, route
 from . import views as V
 
 QUERIES: dict = {}
@@ -120,7 +120,7 @@ def hash_rank_sample(s, d):
 def entity_longest_match(s, d):
     n = T(s, d, "nation")
     q = n.select("n_nationkey", F.concat("n_name", F.lit(" 아파트")).alias("q"))
-    return relational.longest_contained(q, n, "q", "n_name", "n_nationkey", "entry")
+    return dictionary.longest_entries(q, n.select(F.lit("entry").alias("kind"), c("n_name").alias("entry")), "n_nationkey", "q", ["entry"])
 
 
 @query("SELECT 'all' AS kind, 'a' AS columns UNION ALL SELECT 'declared_read', 'b' UNION ALL SELECT 'declared_written', '' UNION ALL SELECT 'read_written', 'd' UNION ALL SELECT 'declared_only', 'c' UNION ALL SELECT 'read_only', '' UNION ALL SELECT 'written_only', 'e,f'")

@@ -64,14 +64,6 @@ def test_dedup_ties_and_partition_independence(spark, sf):
     assert one.equals(eight)
 
 
-def test_longest_contained_without_broadcast(spark):
-    q = spark.createDataFrame([(1, "서울 송파구 가락동"), (2, "없음"), (3, "구")], "k int, q string")
-    e = spark.createDataFrame([("송파구",), ("송파구 가락동",), ("구",), ("",), (None,)], "e string")
-    small = relational.longest_contained(q, e, "q", "e", "k", "out").collect()
-    large = relational.longest_contained(q, e, "q", "e", "k", "out", most=0).collect()
-    assert {r.k: r.out for r in small} == {r.k: r.out for r in large} == {1: "송파구 가락동", 3: "구"}
-
-
 def test_top_k_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 1.0, 1), ("a", 2.0, 3)], "g string, s double, i int")
     assert [r.i for r in relational.top_k(df, ["g"], [F.desc("s"), "i"], 2).orderBy("rank").collect()] == [3, 1]
