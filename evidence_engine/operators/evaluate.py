@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions.clean import disclosed, normalize, text
+from .order import quantiles
 
 
 def rate(hit: Column, of: Column | None = None, empty: float = 0.0) -> Column:
@@ -158,8 +159,12 @@ def latency_stats(log: DataFrame, order: list[str], value: str, warmup: int = 2,
     rest = log.join(F.broadcast(first), order, "left_anti") if warmup else log
     drop = rest.select(*order, value).orderBy(F.desc(value), *order).limit(worst)
     kept = rest.join(F.broadcast(drop.select(*order)), order, "left_anti") if worst else rest
-    def stats(df, prefix):  # noqa: E306
-        return df.agg(F.count("*").alias(f"{prefix}_rows"), F.avg(value).alias(f"{prefix}_avg"), F.percentile(value, 0.5).alias(f"{prefix}_p50"), F.percentile(value, 0.95).alias(f"{prefix}_p95"), F.try_divide(F.lit(3600.0), F.avg(value)).alias(f"{prefix}_rows_per_hour"))
+
+    def stats(df, prefix):
+        half, most = quantiles(df, value, [0.5, 0.95])
+        one = df.agg(F.count("*").alias(f"{prefix}_rows"), F.avg(value).alias(f"{prefix}_avg"), F.try_divide(F.lit(3600.0), F.avg(value)).alias(f"{prefix}_rows_per_hour"))
+        return one.withColumns({f"{prefix}_p50": F.lit(half).cast("double"), f"{prefix}_p95": F.lit(most).cast("double")})
+
     return stats(log, "raw").join(stats(kept, "trimmed"))
 
 
@@ -180,5 +185,6 @@ def joined_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def trailing(df: DataFrame, by: list[str], order: list[str], value: str, n: int) -> DataFrame:
+    """Adds trailing_avg, the mean of the last n rows of each group."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
     return df.withColumn("trailing_avg", F.avg(value).over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as K
 from ..functions import contracts as C
 from ..functions import derive as D
-from ..operators import context, curate, dictionary, evaluate, gates, generate, recommend, relational, retrieve, route
+from ..operators import context, curate, dictionary, evaluate, gates, generate, order, recommend, relational, retrieve, route
 from . import views as V
 
 QUERIES: dict = {}
@@ -129,6 +129,25 @@ def schema_diff(s, d):
     return generate.literal_records(s, [(k, ",".join(v)) for k, v in found.items()], ["kind", "columns"])
 
 
+@query("SELECT p_partkey, printf('APT_%06d', row_number() OVER (ORDER BY p_brand, p_partkey)) AS doc_id, row_number() OVER (ORDER BY p_brand, p_partkey) AS ordinal FROM part")
+def global_ordinal(s, d):
+    """Sequential ids over the whole table."""
+    parts = order.with_ordinal(T(s, d, "part").select("p_partkey", "p_brand"), ["p_brand", "p_partkey"])
+    return parts.select("p_partkey", F.format_string("APT_%06d", c("ordinal")).alias("doc_id"), "ordinal")
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def trailing_rows(s, d):
+    """Over the last fifty of all events."""
+    e = T(s, d, "events").select("event_id", "ts", "value")
+    return order.trailing(e, ["ts", "event_id"], 50, {"mean": F.avg("value"), "most": F.max("value")}).select("event_id", r6(c("mean")).alias("mean"), "most")
+
+
+@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+def trailing_by_type(s, d):
+    return evaluate.trailing(T(s, d, "events"), ["event_type"], ["ts", "event_id"], "value", 10).select("event_type", "event_id", r6(c("trailing_avg")).alias("mean"))
+
+
 # Cleaning
 
 
@@ -190,14 +209,14 @@ def area_band(s, d):
 @query(LIST + f""", q AS (SELECT quantile_cont(price, 0.33) AS lo, quantile_cont(price, 0.67) AS hi FROM listing)
   SELECT doc_id, CASE WHEN price >= hi THEN '{C.PRICE_LABELS[1]}' WHEN price <= lo THEN '{C.PRICE_LABELS[2]}' ELSE '{C.PRICE_LABELS[3]}' END AS label FROM listing, q""")
 def quantile_label(s, d):
-    return D.with_quantiles(L(s, d), "price").select("doc_id", D.three_way(c("price"), c("q_low"), c("q_high"), C.PRICE_LABELS).alias("label"))
+    return order.with_quantiles(L(s, d), "price").select("doc_id", D.three_way(c("price"), c("q_low"), c("q_high"), C.PRICE_LABELS).alias("label"))
 
 
 @query(LIST + f""", t AS (SELECT *, coalesce(park, 0) + coalesce(hospital, 0) + coalesce(lines, 0) AS total FROM listing), q AS (SELECT quantile_cont(total, 0.33) AS lo, quantile_cont(total, 0.67) AS hi FROM t)
   SELECT doc_id, CASE WHEN total >= hi THEN '{C.INFRA_LABELS[1]}' WHEN total <= lo THEN '{C.INFRA_LABELS[2]}' ELSE '{C.INFRA_LABELS[3]}' END AS label FROM t, q""")
 def living_infra(s, d):
     t = L(s, d).withColumn("total", D.total(c("park"), c("hospital"), c("lines")))
-    return D.with_quantiles(t, "total").select("doc_id", D.three_way(c("total"), c("q_low"), c("q_high"), C.INFRA_LABELS).alias("label"))
+    return order.with_quantiles(t, "total").select("doc_id", D.three_way(c("total"), c("q_low"), c("q_high"), C.INFRA_LABELS).alias("label"))
 
 
 _MED = "CASE WHEN lines + hospital + coalesce(park, 0) = 0 THEN '{0}' WHEN coalesce(park, 0) > 0 AND hospital > 0 THEN '{1}' WHEN coalesce(park, 0) > 0 THEN '{2}' WHEN hospital > 0 THEN '{3}' ELSE '{4}' END".format(*C.MEDICAL_LABELS)
@@ -512,7 +531,40 @@ def stratified_split(s, d):
     return curate.stratified(curate.classified(_candidates(s, d)), "sft_bucket", "stable_id").select("stable_id", "sft_bucket", "split")
 
 
-@query()
+def _quota_sql(pool, bands, of=None, nearest=False):
+    part = lambda share: f"round_even({pool} * {share}, 0)" if nearest else f"floor({pool} * {share})"
+    arms = " ".join(f"WHEN {of or pool} >= {start} THEN least({'(' + pool + ') - 1' if most is None else most}, greatest({least}, {part(share)}))" for start, share, least, most in sorted(bands, reverse=True))
+    return f"CAST(CASE WHEN {pool} = 0 THEN 0 {arms} END AS BIGINT)"
+
+
+def _first_sql(source, salt, n):
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sha256('{salt}||' || stable_id), stable_id) AS turn FROM {source}) WHERE turn <= ({n}))"
+
+
+_LEAST = C.MIN_TRAIN + C.MIN_VALID
+_MIX = lambda name: f"CAST(round_even(g * {C.TARGET_MIX[name] / C.TARGET_MIX['grounded_generation']!r}, 0) AS BIGINT)"
+_SELECTION = f"""{_CAND}, inc AS (SELECT * FROM bkt WHERE reason = ''),
+gg AS (SELECT * FROM inc WHERE bucket = 'grounded_generation'),
+hg0 AS {_first_sql("gg", C.SALTS["grounded"], "SELECT " + _quota_sql("(SELECT count(*) FROM gg)", C.HOLDOUT_GROUNDED))},
+risky AS (SELECT * FROM bkt WHERE (reason = '' OR reason IN ({", ".join(f"'{r}'" for r in C.SAFETY_UNIVERSE_REASONS)})) AND stable_id NOT IN (SELECT stable_id FROM hg0) AND (no_rec = 'Y' OR must_disclose_limit = 'Y' OR bucket = 'safety_refusal')),
+hs0 AS {_first_sql("risky", C.SALTS["safety"], "SELECT " + _quota_sql("(SELECT count(*) FROM risky)", C.HOLDOUT_SAFETY, of="(SELECT count(*) FROM inc)"))},
+r0 AS (SELECT stable_id, bucket FROM inc WHERE stable_id NOT IN (SELECT stable_id FROM hg0) AND stable_id NOT IN (SELECT stable_id FROM hs0)),
+hg AS {_first_sql("(SELECT * EXCLUDE (turn) FROM hg0)", C.SALTS["release_grounded"], f"SELECT (SELECT count(*) FROM hg0) - least((SELECT count(*) FROM hg0), greatest(0, {_LEAST} - (SELECT count(*) FROM r0)))")},
+r1 AS (SELECT * FROM r0 UNION ALL SELECT stable_id, bucket FROM hg0 WHERE stable_id NOT IN (SELECT stable_id FROM hg)),
+hs AS {_first_sql("(SELECT * EXCLUDE (turn) FROM hs0)", C.SALTS["release_safety"], f"SELECT (SELECT count(*) FROM hs0) - least((SELECT count(*) FROM hs0), greatest(0, {_LEAST} - (SELECT count(*) FROM r1)))")},
+r2 AS (SELECT * FROM r1 UNION ALL SELECT stable_id, bucket FROM hs0 WHERE stable_id NOT IN (SELECT stable_id FROM hs)),
+n AS (SELECT count(*) FILTER (WHERE bucket = 'grounded_generation') AS g, count(*) FILTER (WHERE bucket = 'safety_refusal') AS sf, count(*) FILTER (WHERE bucket = 'safe_recommendation') AS rc FROM r2),
+t AS (SELECT g, sf, rc, least(sf, {_MIX("safety_refusal")}) AS s0, least(rc, {_MIX("safe_recommendation")}) AS c0 FROM n),
+u AS (SELECT *, greatest(0, {_LEAST} - g - s0 - c0) AS room FROM t), v AS (SELECT *, least(sf - s0, room) AS more FROM u),
+target AS (SELECT 'grounded_generation' AS bucket, g AS want FROM v UNION ALL SELECT 'safety_refusal', s0 + more FROM v UNION ALL SELECT 'safe_recommendation', c0 + least(rc - c0, room - more) FROM v),
+pool AS (SELECT stable_id, bucket, want FROM (SELECT r2.*, want, row_number() OVER (PARTITION BY bucket ORDER BY sha256(CASE bucket WHEN 'safety_refusal' THEN '{C.SALTS["pool_safety"]}' ELSE '{C.SALTS["pool_recommendation"]}' END || '||' || stable_id), stable_id) AS turn FROM r2 JOIN target USING (bucket)) WHERE turn <= want),
+cut AS (SELECT stable_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY sha256('valid::' || bucket || '||' || stable_id), stable_id) <= {_quota_sql("want", C.VALID, nearest=True)} AS valid FROM pool),
+more AS {_first_sql("(SELECT * FROM cut WHERE NOT valid)", C.SALTS["topup"], f"SELECT CASE WHEN count(*) FILTER (WHERE valid) < {C.MIN_VALID} AND count(*) FILTER (WHERE NOT valid) > {C.MIN_TRAIN} THEN least({C.MIN_VALID} - count(*) FILTER (WHERE valid), count(*) FILTER (WHERE NOT valid) - {C.MIN_TRAIN}) ELSE 0 END FROM cut")}
+SELECT source_dataset, source_row_index, bucket AS sft_bucket, CASE WHEN stable_id IN (SELECT stable_id FROM hs) THEN 'holdout_edge_safety' WHEN stable_id IN (SELECT stable_id FROM hg) THEN 'holdout_grounded_generation'
+  WHEN stable_id IN (SELECT stable_id FROM more) OR stable_id IN (SELECT stable_id FROM cut WHERE valid) THEN 'valid' WHEN stable_id IN (SELECT stable_id FROM cut) THEN 'train' ELSE 'excluded' END AS split FROM bkt"""
+
+
+@query(_SELECTION)
 def final_selection(s, d):
     return curate.selection(curate.classified(_candidates(s, d))).select("source_dataset", "source_row_index", "sft_bucket", "split")
 
