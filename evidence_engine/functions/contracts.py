@@ -115,6 +115,14 @@ LOOKUP_FIELDS = (
     (("건설사",), ("건설사_요약",)), (("공원",), ("공원_비교요약", "공원_접근지표")),
 )
 
+# The column that holds each field of LOOKUP_FIELDS, and the line of a fact that has no data.
+FIELD_COLUMNS = {
+    "세대수": "households", "전용면적": "area", "공급면적": "supply_area", "공급액(만원)": "price", "가격요약": "price_summary", "평당_공급액": "price_per_pyeong", "입주예정연도": "year",
+    "가장가까운역": "station", "거리_m": "distance", "가장가까운역_호선요약": "line_summary", "의료시설_요약": "medical", "병원_비교요약": "medical_compare", "병원_접근지표": "hospital",
+    "생활인프라_요약": "lifestyle", "통근통학_요약": "commute", "정책특이사항_설명": "policy", "건설사_요약": "builder", "공원_비교요약": "park_compare", "공원_접근지표": "park", "description": "description",
+}
+NO_FACT = "해당 항목 데이터가 없습니다"
+
 # The nineteen question templates in order, (category, answer key, what follows the subject).
 QA_TEMPLATES = (
     ("fact", "fact_area", " 전용면적은 얼마야"),

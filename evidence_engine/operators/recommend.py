@@ -1,7 +1,7 @@
 """Structured and comparative recommendations, facts and the other answers, for all questions at once.
 
 A listing row has: doc_id, name, sido, sigungu, dong, area, price, distance, households, year, band, park,
-hospital, subway, station, infra.
+hospital, subway, station, lifestyle and the other columns of the facts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions.clean import text
+from ..sources.scratch import Scratch
+from .order import with_ordinal
+from .route import lookup_fields
 
 SCORES = {"공원": "park", "병원": "hospital", "지하철": "subway", "학교": "school"}
 
@@ -55,41 +58,94 @@ def best_names(df: DataFrame, by: list[str], order: list[Column], k: int = 3) ->
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).drop("__n")
 
 
-def _per_question_order() -> list[Column]:
-    """The sort keys of order_for, chosen by each row's own filters."""
-    f = F.col("filters")
-    any_preference = f["prefer_park_hospital_access"] | f["prefer_near_subway"] | f["prefer_low_price"]
-    key = lambda use, c: F.when(use, F.coalesce(c, F.lit(float("inf")))).otherwise(0.0)
-    return [
-        key(f["prefer_park_hospital_access"], -F.col("park")), key(f["prefer_park_hospital_access"], -F.col("hospital")),
-        key(f["prefer_near_subway"] | ~any_preference, F.col("distance").cast("double")), key(f["prefer_low_price"] | ~any_preference, F.col("price").cast("double")),
-        key(~any_preference, -F.col("households").cast("double")), F.col("doc_id"),
-    ]
-
-
-def structured_candidates(parsed: DataFrame, listing: DataFrame, key: str = "qid") -> DataFrame:
-    """The three best names of every structured question: an equi-join on the region where one is named."""
-    f = F.col("filters")
-    asks = parsed.where(~F.col("ambiguous_scope") & ~F.col("unsupported_structured"))
-    asks = asks.select(key, "filters", *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong")))
-    meet = lambda c, v, test: v.isNull() | test(F.col(c), v)
-    limits = (
-        meet("band", f["area_band_label"], Column.__eq__) & meet("price", f["price_max_manwon"], Column.__le__) & meet("distance", f["distance_subway_max_m"], Column.__le__)
-        & meet("area", f["exclusive_area_min"], Column.__ge__) & meet("year", f["move_in_year_min"], Column.__ge__) & meet("households", f["households_min"], Column.__ge__)
-    )
-    same = {c: F.col(c) == F.col(f"ask_{c}") for c in ("sido", "sigungu", "dong")}
+#: Rows of a block of listings in the order of a preference.
+BLOCK = 4096
+#: A block's bounds, by the question's limit that they can refuse: (limit, column, is the least value what counts, test against it).
+_BOUNDS = (
+    ("price_max_manwon", "price", True, Column.__le__), ("distance_subway_max_m", "distance", True, Column.__le__), ("exclusive_area_min", "area", False, Column.__ge__),
+    ("move_in_year_min", "year", False, Column.__ge__), ("households_min", "households", False, Column.__ge__),
+)
+
+
+def _within_limits(f: Column) -> Column:
+    free = lambda v, test: v.isNull() | F.coalesce(test, F.lit(False))
+    tests = [free(f[limit], test(F.col(column), f[limit])) for limit, column, _, test in _BOUNDS]
+    return reduce(Column.__and__, tests, free(f["area_band_label"], F.col("band") == f["area_band_label"]))
+
+
+def first_names(asks: DataFrame, listing: DataFrame, level: str | None, order: list[Column], k: int = 3, block: int = BLOCK) -> DataFrame:
+    """(ask, rank, row): the first k names in one order that meet each ask, by a threshold algorithm over listings sorted once.
+
+    Listings lie in blocks of consecutive ordinals, region by region of the level that the asks name. Asks read their
+    region's blocks from the first on, ever more at a time, and stop at k names: nothing behind can come
+    before them. Blocks whose bounds refuse an ask's limits are left out. asks: ask, filters, ask_sido, ask_sigungu, ask_dong.
+    """
+    scratch = Scratch(asks.sparkSession, "first-names")
+    own = listing if level is None else listing.where(F.col(level).isNotNull())
+    ordered = with_ordinal(own, [*([] if level is None else [F.col(level)]), *order], "__at", 0).withColumn("__block", F.floor(F.col("__at") / block))
+    least = {c: (F.min(c) if small else F.max(c)).alias(f"z_{c}") for _, c, small, _ in _BOUNDS}
+    zones = scratch.settled(ordered.groupBy("__block").agg(*least.values(), F.collect_set("band").alias("z_band")))
+    if level is None:
+        last = ordered.agg(F.max("__at")).first()[0]
+        ranges = asks.withColumns({"__low": F.lit(0).cast("bigint"), "__high": F.lit(-1 if last is None else last).cast("bigint")})
+    else:
+        ranges = asks.join(ordered.groupBy(F.col(level).alias(f"ask_{level}")).agg(F.min("__at").alias("__low"), F.max("__at").alias("__high")), f"ask_{level}")
+    left = scratch.settled(ranges.where("__high >= __low").withColumn("__next", F.floor(F.col("__low") / block)).select("ask", "filters", "ask_sido", "ask_sigungu", "ask_dong", "__low", "__high", "__next"))
+    found = scratch.settled(left.limit(0).select("ask", F.lit("").alias("name"), F.lit(0).cast("bigint").alias("__at")))
+    f, width = F.col("filters"), 1
+    same = reduce(Column.__and__, (F.col(f"ask_{c}").isNull() | F.coalesce(F.col(f"ask_{c}") == F.col(c), F.lit(False)) for c in ("sido", "sigungu", "dong")))
+    while not left.isEmpty():
+        end = F.least(F.floor(F.col("__high") / block), F.col("__next") + width - 1)
+        asked = left.withColumn("__block", F.explode(F.sequence(F.col("__next"), end))).join(zones, "__block")
+        may = [f[limit].isNull() | F.coalesce(test(F.col(f"z_{c}"), f[limit]), F.lit(False)) for limit, c, _, test in _BOUNDS]
+        asked = asked.where(reduce(Column.__and__, may, f["area_band_label"].isNull() | F.array_contains("z_band", f["area_band_label"])))
+        met = asked.select("ask", "filters", "ask_sido", "ask_sigungu", "ask_dong", "__low", "__high", "__block").join(ordered, "__block")
+        met = met.where((F.col("__at") >= F.col("__low")) & (F.col("__at") <= F.col("__high")) & same & _within_limits(f))
+        named = found.unionByName(met.select("ask", "name", "__at")).groupBy("ask", "name").agg(F.min("__at").alias("__at"))
+        found = scratch.settled(named.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("__at"))).where(F.col("rank") <= k).drop("rank"))
+        full = found.groupBy("ask").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        after = left.withColumn("__next", F.col("__next") + width).where(F.col("__next") <= F.floor(F.col("__high") / block))
+        left, width = scratch.settled(after.join(full, "ask", "left_anti").select(left.columns)), width * 4
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy("__at"))
+    rows = ordered.select("__at", F.struct(*listing.columns).alias("row"))
+    out = scratch.settled(found.withColumn("rank", rank).join(rows, "__at").select("ask", "rank", "row"))
+    scratch.clear(out)
+    return out
+
+
+def _folded(asks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, ask) and the distinct asks: questions of equal filters and regions are one ask."""
+    named = asks.withColumn("ask", F.sha2(F.to_json(F.struct("filters", "kind", "ask_sido", "ask_sigungu", "ask_dong"), {"ignoreNullFields": "false"}), 256))
+    level = F.when(F.col("ask_dong").isNotNull(), "dong").when(F.col("ask_sigungu").isNotNull(), "sigungu").when(F.col("ask_sido").isNotNull(), "sido")
+    scratch = Scratch(asks.sparkSession, "asks")
+    named = scratch.settled(named.withColumn("level", level))
+    return named.select(key, "ask"), named.dropDuplicates(["ask"]).drop(key)
+
+
+def structured_candidates(parsed: DataFrame, listing: DataFrame, key: str = "qid", block: int = BLOCK) -> DataFrame:
+    """(key, rank, row) of the three best names of every structured question, each distinct set of filters searched once."""
+    asks = parsed.where(~F.col("ambiguous_scope") & ~F.col("unsupported_structured")).select(key, "filters", F.lit("").alias("kind"), *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong")))
+    of, distinct = _folded(asks, key)
+    wishes = ("prefer_low_price", "prefer_near_subway", "prefer_park_hospital_access")
+    distinct = distinct.withColumns({w: F.col("filters")[w] for w in wishes})
     parts = []
-    # By the finest level that a question names; the levels above it are filters. Questions without a region meet the whole listing.
-    for level, coarser in (("dong", ("sido", "sigungu")), ("sigungu", ("sido",)), ("sido", ())):
-        finer = [c for c in ("dong", "sigungu") if c != level and c not in coarser and level != "dong" and not (level == "sigungu" and c == "sigungu")]
-        own = asks.where(F.col(f"ask_{level}").isNotNull())
-        for c in finer:
-            own = own.where(F.col(f"ask_{c}").isNull())
-        parts.append(own.join(listing, same[level]).where(reduce(Column.__and__, (F.col(f"ask_{c}").isNull() | same[c] for c in coarser), F.lit(True))))
-    free = asks.where(F.col("ask_dong").isNull() & F.col("ask_sigungu").isNull() & F.col("ask_sido").isNull()).withColumn("__all", F.lit(1))
-    parts.append(free.join(listing.withColumn("__all", F.lit(1)), "__all").drop("__all"))
-    found = reduce(DataFrame.unionByName, (p.select(key, "filters", *listing.columns) for p in parts)).where(F.coalesce(limits, F.lit(False)))
-    return best_names(found, [key], _per_question_order())
+    for c in distinct.select("level", *wishes).distinct().collect():  # of four levels and eight orders
+        mine = distinct.where(F.col("level").eqNullSafe(c.level) & reduce(Column.__and__, (F.col(w) == c[w] for w in wishes)))
+        parts.append(first_names(mine, listing, c.level, order_for(*(c[w] for w in wishes)), block=block))
+    if not parts:
+        return of.limit(0).select(key, F.lit(1).alias("rank"), F.lit(None).cast(f"struct<{','.join(f'`{n}`:{t}' for n, t in listing.dtypes)}>").alias("row"))
+    return of.join(reduce(DataFrame.unionByName, parts), "ask").drop("ask")
+
+
+def compared(parsed: DataFrame, listing: DataFrame, score: str, key: str = "qid", block: int = BLOCK) -> DataFrame:
+    """(key, rank, row): the three best names by one score in each question's region; listings without the score take no part."""
+    nothing = F.from_json(F.lit("{}"), dict(parsed.dtypes)["filters"])
+    asks = parsed.select(key, nothing.alias("filters"), F.lit(score).alias("kind"), *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong")))
+    of, distinct = _folded(asks, key)
+    own, parts = listing.where(F.col(score).isNotNull()), []
+    for c in distinct.select("level").distinct().collect():
+        parts.append(first_names(distinct.where(F.col("level").eqNullSafe(c.level)), own, c.level, [F.desc(score), F.asc("doc_id")], block=block))
+    return None if not parts else of.join(reduce(DataFrame.unionByName, parts), "ask").drop("ask")
 
 
 def comparative(listing: DataFrame, score: str, by: list[str] | None = None, k: int = 3) -> DataFrame:
@@ -114,44 +170,54 @@ def disclosure(cutoff: Column) -> Column:
     return F.concat(F.lit("데이터 기준: "), cutoff, F.lit("\n" + C.DISCLOSURE_SCOPE))
 
 
-def answers(parsed: DataFrame, listing: DataFrame, knowledge: DataFrame, key: str = "qid") -> DataFrame:
-    """(key, query_type, answer_type, match_status, top_doc_id, cited_doc_ids, answer) of all questions but those for retrieval."""
-    cut = F.broadcast(data_cutoff(listing)) if "cutoff" in listing.columns else parsed.sparkSession.range(1).select(F.lit(C.NO_CUTOFF).alias("cutoff"))
-    p = parsed.join(cut).persist()  # every kind of answer reads it; lost blocks are computed again
-    tail = disclosure(F.col("cutoff"))
+def _facts(fields: Column, values: dict[str, Column], name: Column, cutoff: Column) -> Column:
+    """The asked fields that have a value, a line each, or the line that says that there is none."""
+    said = F.array(*(F.struct(F.lit(field).alias("f"), F.nullif(text(values[column]), F.lit("")).alias("v")) for field, column in C.FIELD_COLUMNS.items() if column in values))
+    line = lambda f: F.array_max(F.transform(F.filter(said, lambda x: (x["f"] == f) & x["v"].isNotNull()), lambda x: F.concat(x["f"], F.lit(": "), x["v"])))
+    lines = F.filter(F.transform(fields, line), lambda x: x.isNotNull())
+    return F.concat_ws("\n", F.concat(name, F.lit(" 정보입니다.")), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(C.NO_FACT), F.concat(F.lit("데이터 기준: "), cutoff))
+
+
+def answers(parsed: DataFrame, listing: DataFrame, knowledge: DataFrame, key: str = "qid", block: int = BLOCK) -> DataFrame:
+    """(key, query_type, answer_type, match_status, top_doc_id, cited_doc_ids, answer) of all questions but those for retrieval.
+
+    A written table. Of listings of one name the first by id tells the facts. knowledge is small: terms and their definitions.
+    """
+    scratch = Scratch(parsed.sparkSession, "answers")
+    cutoff = data_cutoff(listing).first()[0] if "cutoff" in listing.columns else C.NO_CUTOFF
+    p, listing = scratch.settled(parsed), scratch.settled(listing)
+    tail, cut = disclosure(F.lit(cutoff)), F.lit(cutoff)
     none = F.array().cast("array<string>")
     shape = lambda df, kind, status, answer, ids=none: df.select(key, "query_type", F.lit(kind).alias("answer_type"), F.lit(status).alias("match_status"), F.coalesce(F.get(ids, 0), F.lit("")).alias("top_doc_id"), ids.alias("cited_doc_ids"), answer.alias("answer"))
     of = lambda kind: p.where(F.col("query_type") == kind)
     unknown = lambda what: F.concat(F.lit(f"{C.FALLBACK}\n판단 보류 항목: {what}\n"), tail)
-    out = [shape(of("DATA_SCOPE_META"), "meta_answer", "KNOWN", F.concat(F.lit("데이터 기준: "), F.col("cutoff"), F.lit(f"\n{C.META_SCOPE}\n{C.META_EXAMPLES}")))]
-    k = of("REAL_ESTATE_KNOWLEDGE").join(F.broadcast(knowledge.select("term", "definition", "related_dataset_fields", "caution")), "term")
-    out.append(shape(k, "knowledge_answer", "KNOWN", F.concat_ws("\n", F.concat(F.lit("일반 설명: "), F.col("definition")), F.concat(F.lit("우리 데이터에 연결 가능한 필드: "), F.col("related_dataset_fields")), F.concat(F.lit("주의사항: "), F.nullif(F.col("caution"), F.lit(""))), F.concat(F.lit("데이터 기준: "), F.col("cutoff")))))
-    first = listing.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *(F.min_by(c, "doc_id").alias(f"v_{c}") for c in ("price", "distance", "households", "area")))
+    out = [shape(of("DATA_SCOPE_META"), "meta_answer", "KNOWN", F.concat(F.lit("데이터 기준: "), cut, F.lit(f"\n{C.META_SCOPE}\n{C.META_EXAMPLES}")))]
+    k = of("REAL_ESTATE_KNOWLEDGE").join(knowledge.select("term", "definition", "related_dataset_fields", "caution"), "term")
+    out.append(shape(k, "knowledge_answer", "KNOWN", F.concat_ws("\n", F.concat(F.lit("일반 설명: "), F.col("definition")), F.concat(F.lit("우리 데이터에 연결 가능한 필드: "), F.col("related_dataset_fields")), F.concat(F.lit("주의사항: "), F.nullif(F.col("caution"), F.lit(""))), F.concat(F.lit("데이터 기준: "), cut))))
+    told = [c for c in dict.fromkeys(C.FIELD_COLUMNS.values()) if c in listing.columns]
+    first = listing.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *(F.min_by(F.struct(c), "doc_id")[c].alias(f"v_{c}") for c in told))
     fact = of("APARTMENT_FACT_LOOKUP").join(first, "name")
-    lines = F.concat_ws("\n", F.concat(F.col("name"), F.lit(" 정보입니다.")), F.concat(F.lit("공급액(만원): "), F.col("v_price").cast("string")), F.concat(F.lit("거리_m: "), F.col("v_distance").cast("string")), F.concat(F.lit("세대수: "), F.col("v_households").cast("string")), F.concat(F.lit("전용면적: "), F.col("v_area").cast("string")), F.concat(F.lit("데이터 기준: "), F.col("cutoff")))
-    out.append(shape(fact, "apartment_fact_lookup", "EXACT_MATCH", lines, F.array("doc_id")))
+    out.append(shape(fact, "apartment_fact_lookup", "EXACT_MATCH", _facts(lookup_fields(F.col("q")), {c: F.col(f"v_{c}") for c in told}, F.col("name"), cut), F.array("doc_id")))
     s = of("RECOMMEND_STRUCTURED")
     out.append(shape(s.where("ambiguous_scope"), "unknown_response", "UNKNOWN", unknown("범위 표현")))
     out.append(shape(s.where("not ambiguous_scope and unsupported_structured"), "unknown_response", "UNKNOWN", unknown("지원하지 않는 추천 표현")))
-    bits = F.concat_ws(", ", F.concat(F.lit("역 "), F.nullif(text(F.col("station")), F.lit(""))), F.concat(F.col("distance").cast("string"), F.lit("m")), F.concat(F.lit("공급액 "), F.col("price").cast("string"), F.lit("만원")), F.concat(F.lit("전용 "), F.col("area").cast("string"), F.lit("㎡")))
-    top = structured_candidates(s, listing, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", F.concat(F.lit("- "), "name", F.lit(": "), bits).alias("line")))).alias("top"))
-    asked = s.where("not ambiguous_scope and not unsupported_structured").join(top, key, "left")
-    out.append(shape(asked.where("top is null"), "no_match_response", "NO_MATCH", F.concat(F.lit("현재 데이터 기준("), F.col("cutoff"), F.lit(")으로 해당 조건에 맞는 아파트를 찾지 못했습니다.\n조건을 완화하거나 지역, 예산, 거리 기준을 다시 지정해 주세요.\n"), tail)))
+    of_row = lambda c: F.nullif(text(F.col(f"row.{c}")), F.lit("")) if c in listing.columns else F.lit(None).cast("string")
+    bits = F.concat_ws(", ", F.concat(F.lit("역 "), of_row("station")), F.concat(of_row("distance"), F.lit("m")), F.concat(F.lit("공급액 "), of_row("price"), F.lit("만원")), F.concat(F.lit("전용 "), of_row("area"), F.lit("㎡")), of_row("lifestyle"))
+    three = lambda found, said: found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("row.doc_id").alias("doc_id"), F.concat(F.lit("- "), F.col("row.name"), F.lit(": "), said).alias("line")))).alias("top"))
+    asked = s.where("not ambiguous_scope and not unsupported_structured").join(three(structured_candidates(s, listing, key, block), bits), key, "left")
+    out.append(shape(asked.where("top is null"), "no_match_response", "NO_MATCH", F.concat(F.lit("현재 데이터 기준("), cut, F.lit(")으로 해당 조건에 맞는 아파트를 찾지 못했습니다.\n조건을 완화하거나 지역, 예산, 거리 기준을 다시 지정해 주세요.\n"), tail)))
     out.append(shape(asked.where("top is not null"), "recommendation", "EXACT_MATCH", F.concat_ws("\n", F.lit("조건에 맞는 아파트 후보입니다."), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
     c = of("RECOMMEND_COMPARATIVE")
     cannot = F.col("unsupported_comparative") | F.col("vague_place")
     out.append(shape(c.where(cannot), "unsupported_comparative_response", "UNKNOWN", F.concat(F.lit("\n".join(C.UNSUPPORTED_ANSWER) + "\n"), tail)))
     out.append(shape(c.where(~cannot & (F.size("tags") == 0)), "unsupported_comparative_response", "UNKNOWN", F.lit("비교 기준을 해석하지 못했습니다. 공원, 병원, 지하철, 학교처럼 명시적인 기준으로 다시 질문해 주세요.")))
     tagged = c.where(~cannot & (F.size("tags") > 0)).withColumn("tag", F.get("tags", 0))
-    level = lambda x: F.col(f"ask_{x}").isNull() | (F.col(f"ask_{x}") == F.col(x))
     for tag, score in SCORES.items():
-        own = tagged.where(F.col("tag") == tag).withColumnsRenamed({x: f"ask_{x}" for x in ("sido", "sigungu", "dong")}).drop("name")
-        if score in listing.columns:
-            rows = own.select(key, "ask_sido", "ask_sigungu", "ask_dong", F.lit(1).alias("__all")).join(listing.withColumn("__all", F.lit(1)), "__all").where(level("sido") & level("sigungu") & level("dong"))
-            best = comparative(rows, score, [key]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", F.concat(F.lit("- "), "name", F.lit(": "), F.col(score).cast("string")).alias("line")))).alias("top"))
-            own = own.join(best, key, "left")
-        else:
-            own = own.withColumn("top", F.lit(None).cast("array<struct<rank:int,doc_id:string,line:string>>"))
+        own = tagged.where(F.col("tag") == tag)
+        best = compared(own, listing, score, key, block) if score in listing.columns else None
+        own = own.join(three(best, F.col(f"row.{score}").cast("string")), key, "left") if best is not None else own.withColumn("top", F.lit(None).cast("array<struct<rank:int,doc_id:string,line:string>>"))
         out.append(shape(own.where("top is null"), "unknown_response", "UNKNOWN", F.concat(F.lit(f"현재 데이터로는 {tag} 기준 비교를 안전하게 판단할 수 없습니다.\n"), tail)))
         out.append(shape(own.where("top is not null"), "comparison_recommendation", "EXACT_MATCH", F.concat_ws("\n", F.lit(f"비교 기준: {tag}"), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
-    return reduce(DataFrame.unionByName, out)
+    written = scratch.settled(reduce(DataFrame.unionByName, out))
+    scratch.clear(written)
+    return written
