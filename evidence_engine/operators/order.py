@@ -21,7 +21,7 @@ STRETCH = 100_000
 BINS, FIT = 1024, 10_000
 
 
-def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal", start: int = 1, partitions: int | None = None) -> DataFrame:
+def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal", start: int = 1, partitions: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Numbers the rows start, start + 1 ... in their order, nulls first; a written table. The order must be total, or equal rows are numbered as they come.
 
     Range partitions follow one another, so a row's number is its place in its own plus the sizes of those before.
@@ -29,7 +29,7 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal"
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id()  # partition << 33 | place in it
-    placed = Scratch(spark, "ordinal").settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", place))
+    placed = (scratch or Scratch(spark, "ordinal")).settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", place))
     part = F.shiftright("__place", 33)
     sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a partition
     before, total = [], start

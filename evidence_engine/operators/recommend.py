@@ -7,6 +7,7 @@ hospital, subway, station, lifestyle and the other columns of the facts.
 from __future__ import annotations
 
 from functools import reduce
+from math import inf
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,25 +74,40 @@ def _within_limits(f: Column) -> Column:
     return reduce(Column.__and__, tests, free(f["area_band_label"], F.col("band") == f["area_band_label"]))
 
 
-def first_names(asks: DataFrame, listing: DataFrame, level: str | None, order: list[Column], k: int = 3, block: int = BLOCK) -> DataFrame:
-    """(ask, rank, row): the first k names in one order that meet each ask, by a threshold algorithm over listings sorted once.
+def _keys(wishes: tuple[bool, bool, bool]) -> list[Column]:
+    """The sort keys of order_for as numbers in ascending order, nulls last."""
+    low_price, near_subway, park_hospital = wishes
+    use = {"park": park_hospital, "hospital": park_hospital, "distance": near_subway, "price": low_price, "households": False}
+    if not any(wishes):
+        use |= {"distance": True, "price": True, "households": True}
+    sign = {"park": -1, "hospital": -1, "households": -1}
+    return [F.coalesce(F.col(c).cast("double") * sign.get(c, 1), F.lit(inf)) if on else F.lit(0.0) for c, on in use.items()]
 
-    Listings lie in blocks of consecutive ordinals, region by region of the level that the asks name. Asks read their
-    region's blocks from the first on, ever more at a time, and stop at k names: nothing behind can come
-    before them. Blocks whose bounds refuse an ask's limits are left out. asks: ask, filters, ask_sido, ask_sigungu, ask_dong.
+
+def first_names(asks: DataFrame, listing: DataFrame, views: dict[str, tuple[str | None, list[Column], Column | None]], k: int = 3, block: int = BLOCK) -> DataFrame:
+    """(ask, rank, row): the first k names that meet each ask, by a threshold algorithm over listings sorted once a view.
+
+    A view is an order of the listings: a region level or None, sort keys, and which listings take part. asks: ask,
+    view, region (of the view's level), filters, ask_sido, ask_sigungu, ask_dong. Listings lie in blocks of
+    consecutive ordinals; asks read their region's blocks from the first on, ever more at a time, and stop at k
+    names: nothing behind can come before them. Blocks whose bounds refuse an ask's limits are not read.
     """
     scratch = Scratch(asks.sparkSession, "first-names")
-    own = listing if level is None else listing.where(F.col(level).isNotNull())
-    ordered = with_ordinal(own, [*([] if level is None else [F.col(level)]), *order], "__at", 0).withColumn("__block", F.floor(F.col("__at") / block))
-    least = {c: (F.min(c) if small else F.max(c)).alias(f"z_{c}") for _, c, small, _ in _BOUNDS}
-    zones = scratch.settled(ordered.groupBy("__block").agg(*least.values(), F.collect_set("band").alias("z_band")))
-    if level is None:
-        last = ordered.agg(F.max("__at")).first()[0]
-        ranges = asks.withColumns({"__low": F.lit(0).cast("bigint"), "__high": F.lit(-1 if last is None else last).cast("bigint")})
-    else:
-        ranges = asks.join(ordered.groupBy(F.col(level).alias(f"ask_{level}")).agg(F.min("__at").alias("__low"), F.max("__at").alias("__high")), f"ask_{level}")
-    left = scratch.settled(ranges.where("__high >= __low").withColumn("__next", F.floor(F.col("__low") / block)).select("ask", "filters", "ask_sido", "ask_sigungu", "ask_dong", "__low", "__high", "__next"))
-    found = scratch.settled(left.limit(0).select("ask", F.lit("").alias("name"), F.lit(0).cast("bigint").alias("__at")))
+    sorts = [f"__k{i}" for i in range(max((len(v[1]) for v in views.values()), default=0))]
+    parts = []
+    for name, (level, keys, where) in views.items():
+        own = listing if where is None else listing.where(where)
+        region = F.lit("") if level is None else F.col(level)
+        own = own.where(region.isNotNull()).withColumns({"__view": F.lit(name), "__region": region})
+        parts.append(own.withColumns({s: keys[i] if i < len(keys) else F.lit(0.0) for i, s in enumerate(sorts)}))
+    if not parts:
+        return asks.limit(0).select("ask", F.lit(1).alias("rank"), F.lit(None).cast(f"struct<{','.join(f'`{n}`:{t}' for n, t in listing.dtypes)}>").alias("row"))
+    ordered = with_ordinal(reduce(DataFrame.unionByName, parts), ["__view", "__region", *sorts, "doc_id"], "__at", 0, scratch=scratch).withColumn("__block", F.floor(F.col("__at") / block))
+    least = [(F.min(c) if small else F.max(c)).alias(f"z_{c}") for _, c, small, _ in _BOUNDS]
+    zones = scratch.settled(ordered.groupBy("__block").agg(*least, F.collect_set("band").alias("z_band")))
+    span = ordered.groupBy(F.col("__view").alias("view"), F.col("__region").alias("region")).agg(F.min("__at").alias("__low"), F.max("__at").alias("__high"))
+    left = scratch.settled(asks.join(span, ["view", "region"]).withColumn("__next", F.floor(F.col("__low") / block)).drop("view", "region"))
+    found = None
     f, width = F.col("filters"), 1
     same = reduce(Column.__and__, (F.col(f"ask_{c}").isNull() | F.coalesce(F.col(f"ask_{c}") == F.col(c), F.lit(False)) for c in ("sido", "sigungu", "dong")))
     while not left.isEmpty():
@@ -99,53 +115,40 @@ def first_names(asks: DataFrame, listing: DataFrame, level: str | None, order: l
         asked = left.withColumn("__block", F.explode(F.sequence(F.col("__next"), end))).join(zones, "__block")
         may = [f[limit].isNull() | F.coalesce(test(F.col(f"z_{c}"), f[limit]), F.lit(False)) for limit, c, _, test in _BOUNDS]
         asked = asked.where(reduce(Column.__and__, may, f["area_band_label"].isNull() | F.array_contains("z_band", f["area_band_label"])))
-        met = asked.select("ask", "filters", "ask_sido", "ask_sigungu", "ask_dong", "__low", "__high", "__block").join(ordered, "__block")
-        met = met.where((F.col("__at") >= F.col("__low")) & (F.col("__at") <= F.col("__high")) & same & _within_limits(f))
-        named = found.unionByName(met.select("ask", "name", "__at")).groupBy("ask", "name").agg(F.min("__at").alias("__at"))
+        met = asked.select(*left.columns, "__block").join(ordered, "__block")
+        met = met.where((F.col("__at") >= F.col("__low")) & (F.col("__at") <= F.col("__high")) & same & _within_limits(f)).select("ask", "name", "__at")
+        named = (met if found is None else found.unionByName(met)).groupBy("ask", "name").agg(F.min("__at").alias("__at"))
         found = scratch.settled(named.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("__at"))).where(F.col("rank") <= k).drop("rank"))
         full = found.groupBy("ask").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         after = left.withColumn("__next", F.col("__next") + width).where(F.col("__next") <= F.floor(F.col("__high") / block))
         left, width = scratch.settled(after.join(full, "ask", "left_anti").select(left.columns)), width * 4
+    found = found if found is not None else left.select("ask", F.lit("").alias("name"), F.col("__low").alias("__at"))
     rank = F.row_number().over(Window.partitionBy("ask").orderBy("__at"))
-    rows = ordered.select("__at", F.struct(*listing.columns).alias("row"))
-    out = scratch.settled(found.withColumn("rank", rank).join(rows, "__at").select("ask", "rank", "row"))
+    out = scratch.settled(found.withColumn("rank", rank).join(ordered.select("__at", F.struct(*listing.columns).alias("row")), "__at").select("ask", "rank", "row"))
     scratch.clear(out)
     return out
 
 
-def _folded(asks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, ask) and the distinct asks: questions of equal filters and regions are one ask."""
-    named = asks.withColumn("ask", F.sha2(F.to_json(F.struct("filters", "kind", "ask_sido", "ask_sigungu", "ask_dong"), {"ignoreNullFields": "false"}), 256))
-    level = F.when(F.col("ask_dong").isNotNull(), "dong").when(F.col("ask_sigungu").isNotNull(), "sigungu").when(F.col("ask_sido").isNotNull(), "sido")
-    scratch = Scratch(asks.sparkSession, "asks")
-    named = scratch.settled(named.withColumn("level", level))
-    return named.select(key, "ask"), named.dropDuplicates(["ask"]).drop(key)
+def best_of(questions: DataFrame, listing: DataFrame, key: str = "qid", k: int = 3, block: int = BLOCK) -> DataFrame:
+    """(key, rank, row) of the best names of structured questions (score null) and of comparisons by a score.
 
-
-def structured_candidates(parsed: DataFrame, listing: DataFrame, key: str = "qid", block: int = BLOCK) -> DataFrame:
-    """(key, rank, row) of the three best names of every structured question, each distinct set of filters searched once."""
-    asks = parsed.where(~F.col("ambiguous_scope") & ~F.col("unsupported_structured")).select(key, "filters", F.lit("").alias("kind"), *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong")))
-    of, distinct = _folded(asks, key)
+    questions: key, filters, score, sido, sigungu, dong. Questions of equal filters, score and region are searched
+    once; the search goes by the finest region that they name, the coarser ones are filters.
+    """
+    scratch = Scratch(questions.sparkSession, "best-of")
     wishes = ("prefer_low_price", "prefer_near_subway", "prefer_park_hospital_access")
-    distinct = distinct.withColumns({w: F.col("filters")[w] for w in wishes})
-    parts = []
-    for c in distinct.select("level", *wishes).distinct().collect():  # of four levels and eight orders
-        mine = distinct.where(F.col("level").eqNullSafe(c.level) & reduce(Column.__and__, (F.col(w) == c[w] for w in wishes)))
-        parts.append(first_names(mine, listing, c.level, order_for(*(c[w] for w in wishes)), block=block))
-    if not parts:
-        return of.limit(0).select(key, F.lit(1).alias("rank"), F.lit(None).cast(f"struct<{','.join(f'`{n}`:{t}' for n, t in listing.dtypes)}>").alias("row"))
-    return of.join(reduce(DataFrame.unionByName, parts), "ask").drop("ask")
-
-
-def compared(parsed: DataFrame, listing: DataFrame, score: str, key: str = "qid", block: int = BLOCK) -> DataFrame:
-    """(key, rank, row): the three best names by one score in each question's region; listings without the score take no part."""
-    nothing = F.from_json(F.lit("{}"), dict(parsed.dtypes)["filters"])
-    asks = parsed.select(key, nothing.alias("filters"), F.lit(score).alias("kind"), *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong")))
-    of, distinct = _folded(asks, key)
-    own, parts = listing.where(F.col(score).isNotNull()), []
-    for c in distinct.select("level").distinct().collect():
-        parts.append(first_names(distinct.where(F.col("level").eqNullSafe(c.level)), own, c.level, [F.desc(score), F.asc("doc_id")], block=block))
-    return None if not parts else of.join(reduce(DataFrame.unionByName, parts), "ask").drop("ask")
+    levels = [F.when(F.col(f"ask_{c}").isNotNull(), c) for c in ("dong", "sigungu", "sido")]
+    asks = questions.select(key, "filters", "score", *(F.col(c).alias(f"ask_{c}") for c in ("sido", "sigungu", "dong"))).withColumns({
+        "ask": F.sha2(F.to_json(F.struct("filters", "score", "ask_sido", "ask_sigungu", "ask_dong"), {"ignoreNullFields": "false"}), 256),
+        "level": F.coalesce(*levels), "region": F.coalesce("ask_dong", "ask_sigungu", "ask_sido", F.lit("")),
+    })
+    asks = scratch.settled(asks.withColumns({w: F.coalesce(F.col("filters")[w], F.lit(False)) & F.col("score").isNull() for w in wishes}).withColumn("view", F.concat_ws("|", F.coalesce("level", F.lit("")), F.coalesce("score", F.lit("")), *(F.col(w).cast("string") for w in wishes))))
+    views = {}
+    for v in asks.select("view", "level", "score", *wishes).distinct().collect():  # four levels, eight orders or a score
+        wanted = None if v.score is None else F.col(v.score).isNotNull()
+        views[v.view] = (v.level, _keys(tuple(v[w] for w in wishes)) if v.score is None else [-F.col(v.score).cast("double")], wanted)
+    once = asks.dropDuplicates(["ask"]).select("ask", "view", "region", "filters", "ask_sido", "ask_sigungu", "ask_dong")
+    return asks.select(key, "ask").join(first_names(once, listing, views, k, block), "ask").drop("ask")
 
 
 def comparative(listing: DataFrame, score: str, by: list[str] | None = None, k: int = 3) -> DataFrame:
@@ -204,20 +207,25 @@ def answers(parsed: DataFrame, listing: DataFrame, knowledge: DataFrame, key: st
     of_row = lambda c: F.nullif(text(F.col(f"row.{c}")), F.lit("")) if c in listing.columns else F.lit(None).cast("string")
     bits = F.concat_ws(", ", F.concat(F.lit("역 "), of_row("station")), F.concat(of_row("distance"), F.lit("m")), F.concat(F.lit("공급액 "), of_row("price"), F.lit("만원")), F.concat(F.lit("전용 "), of_row("area"), F.lit("㎡")), of_row("lifestyle"))
     three = lambda found, said: found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("row.doc_id").alias("doc_id"), F.concat(F.lit("- "), F.col("row.name"), F.lit(": "), said).alias("line")))).alias("top"))
-    asked = s.where("not ambiguous_scope and not unsupported_structured").join(three(structured_candidates(s, listing, key, block), bits), key, "left")
-    out.append(shape(asked.where("top is null"), "no_match_response", "NO_MATCH", F.concat(F.lit("현재 데이터 기준("), cut, F.lit(")으로 해당 조건에 맞는 아파트를 찾지 못했습니다.\n조건을 완화하거나 지역, 예산, 거리 기준을 다시 지정해 주세요.\n"), tail)))
-    out.append(shape(asked.where("top is not null"), "recommendation", "EXACT_MATCH", F.concat_ws("\n", F.lit("조건에 맞는 아파트 후보입니다."), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
     c = of("RECOMMEND_COMPARATIVE")
     cannot = F.col("unsupported_comparative") | F.col("vague_place")
+    tagged = c.where(~cannot & (F.size("tags") > 0)).withColumn("tag", F.get("tags", 0))
+    scores = {tag: score for tag, score in SCORES.items() if score in listing.columns}
+    score = F.coalesce(*(F.when(F.col("tag") == tag, s) for tag, s in scores.items()), F.lit(None).cast("string"))
+    searched = s.where("not ambiguous_scope and not unsupported_structured").withColumn("score", F.lit(None).cast("string"))
+    nothing = F.from_json(F.lit("{}"), dict(p.dtypes)["filters"])  # comparisons have no limits
+    by_score = tagged.withColumns({"score": score, "filters": nothing}).where("score is not null")
+    wanted = [key, "filters", "score", "sido", "sigungu", "dong"]
+    best = scratch.settled(best_of(searched.select(wanted).unionByName(by_score.select(wanted)), listing, key, 3, block))
+    asked = searched.join(three(best, bits), key, "left")
+    out.append(shape(asked.where("top is null"), "no_match_response", "NO_MATCH", F.concat(F.lit("현재 데이터 기준("), cut, F.lit(")으로 해당 조건에 맞는 아파트를 찾지 못했습니다.\n조건을 완화하거나 지역, 예산, 거리 기준을 다시 지정해 주세요.\n"), tail)))
+    out.append(shape(asked.where("top is not null"), "recommendation", "EXACT_MATCH", F.concat_ws("\n", F.lit("조건에 맞는 아파트 후보입니다."), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
     out.append(shape(c.where(cannot), "unsupported_comparative_response", "UNKNOWN", F.concat(F.lit("\n".join(C.UNSUPPORTED_ANSWER) + "\n"), tail)))
     out.append(shape(c.where(~cannot & (F.size("tags") == 0)), "unsupported_comparative_response", "UNKNOWN", F.lit("비교 기준을 해석하지 못했습니다. 공원, 병원, 지하철, 학교처럼 명시적인 기준으로 다시 질문해 주세요.")))
-    tagged = c.where(~cannot & (F.size("tags") > 0)).withColumn("tag", F.get("tags", 0))
-    for tag, score in SCORES.items():
-        own = tagged.where(F.col("tag") == tag)
-        best = compared(own, listing, score, key, block) if score in listing.columns else None
-        own = own.join(three(best, F.col(f"row.{score}").cast("string")), key, "left") if best is not None else own.withColumn("top", F.lit(None).cast("array<struct<rank:int,doc_id:string,line:string>>"))
-        out.append(shape(own.where("top is null"), "unknown_response", "UNKNOWN", F.concat(F.lit(f"현재 데이터로는 {tag} 기준 비교를 안전하게 판단할 수 없습니다.\n"), tail)))
-        out.append(shape(own.where("top is not null"), "comparison_recommendation", "EXACT_MATCH", F.concat_ws("\n", F.lit(f"비교 기준: {tag}"), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
+    said = F.coalesce(*(F.when(F.col("tag") == tag, F.col(f"row.{s}").cast("string")) for tag, s in scores.items()), F.lit(""))
+    own = tagged.join(three(best.join(tagged.select(key, "tag"), key), said), key, "left")
+    out.append(shape(own.where("top is null"), "unknown_response", "UNKNOWN", F.concat(F.lit("현재 데이터로는 "), F.col("tag"), F.lit(" 기준 비교를 안전하게 판단할 수 없습니다.\n"), tail)))
+    out.append(shape(own.where("top is not null"), "comparison_recommendation", "EXACT_MATCH", F.concat_ws("\n", F.concat(F.lit("비교 기준: "), F.col("tag")), F.array_join(F.col("top.line"), "\n"), tail), F.col("top.doc_id")))
     written = scratch.settled(reduce(DataFrame.unionByName, out))
     scratch.clear(written)
     return written

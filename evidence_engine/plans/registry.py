@@ -346,35 +346,78 @@ def parse_filters(s, d):
 
 _TAGS = ", ".join(f"CASE WHEN {' OR '.join(('contains(replace(replace(replace(question, chr(51648) || chr(50669), chr(35)), chr(44396) || chr(50669), chr(35)), chr(44428) || chr(50669), chr(35)), chr(50669))' if a == '역' else f'contains(question, {chr(39)}{a}{chr(39)})') for a in al)} THEN '{t}' END" for t, al in C.COMPARATIVE_ALIASES.items())
 _LONGEST = lambda table, col, out: f"(SELECT arg_max(x, (length(x), x)) FROM (SELECT DISTINCT {col} AS x FROM {table}) WHERE contains(question, x)) AS {out}"
-_ROUTE = f"""WITH {V.LISTING}, {V.QUESTIONS}, terms(term) AS (VALUES {", ".join(f"('{t[0]}')" for t in V.TERMS)}),
+_AMB = f"(region AND {HAS('question', C.AMBIGUOUS_SCOPE)} AND NOT ex)"
+_UNS = f"(({HAS('question', C.UNSUPPORTED_QUALIFIERS)} AND NOT obj) OR {HAS('question', C.VAGUE_AMENITIES)} OR (area_band_label IS NOT NULL AND prefer_low_price) OR (area_band_label IS NOT NULL AND NOT obj AND NOT phrase) OR (region AND {HAS('question', C.RECOMMEND)} AND plain) OR (region AND {HAS('question', C.VAGUE_SYNTAX)} AND plain))"
+_VAGUE = f"(tagged AND {HAS('question', C.VAGUE_PLACES)})"
+_UCMP = f"(NOT prefer_low_price AND ({HAS('question', C.UNSUPPORTED_COMPARATIVE)} OR (tagged AND {HAS('question', C.UNSUPPORTED_COMPARATIVE_SYNTAX)})))"
+_ROUTE = f"""WITH {V.QA_LISTING}, {V.QUESTIONS}, terms(term) AS (VALUES {", ".join(f"('{t[0]}')" for t in V.TERMS)}),
 f AS ({_FILTERS}),
 e AS (SELECT *, list_filter([{_TAGS}], lambda x: x IS NOT NULL) AS tags, {_LONGEST("listing", "name", "name")}, {_LONGEST("terms", "term", "term")}, {_LONGEST("listing", "sido", "sido")}, {_LONGEST("listing", "sigungu", "sigungu")}, {_LONGEST("listing", "dong", "dong")} FROM f),
 o AS (SELECT *, price_max_manwon IS NOT NULL OR distance_subway_max_m IS NOT NULL OR move_in_year_min IS NOT NULL OR households_min IS NOT NULL OR prefer_low_price OR prefer_near_subway OR prefer_park_hospital_access AS obj,
   coalesce(sido, sigungu, dong) IS NOT NULL AS region, len(tags) > 0 AS tagged, {HAS("question", C.SUPPORTED_PHRASES)} AS phrase FROM e),
 x AS (SELECT *, obj OR exclusive_area_min IS NOT NULL AS ex FROM o),
-g AS (SELECT *, NOT ex AND NOT tagged AND NOT phrase AS plain FROM x)
-SELECT qid, CASE WHEN {HAS("question", C.META)} THEN 'DATA_SCOPE_META' WHEN term IS NOT NULL AND {HAS("question", C.KNOWLEDGE)} THEN 'REAL_ESTATE_KNOWLEDGE' WHEN name IS NOT NULL THEN 'APARTMENT_FACT_LOOKUP'
+g AS (SELECT *, NOT ex AND NOT tagged AND NOT phrase AS plain FROM x),
+r AS (SELECT *, CASE WHEN {HAS("question", C.META)} THEN 'DATA_SCOPE_META' WHEN term IS NOT NULL AND {HAS("question", C.KNOWLEDGE)} THEN 'REAL_ESTATE_KNOWLEDGE' WHEN name IS NOT NULL THEN 'APARTMENT_FACT_LOOKUP'
   WHEN term IS NULL AND NOT tagged AND NOT {HAS("question", C.AMBIGUOUS_SCOPE)} AND NOT {HAS("question", C.UNSUPPORTED_QUALIFIERS)} AND NOT {HAS("question", C.VAGUE_AMENITIES)} AND NOT ex AND NOT {HAS("question", C.HARD_SELECTION)} AND NOT {HAS("question", C.COMPARISON)} AND region AND {HAS("question", C.GENERAL_RETRIEVAL)} THEN 'GENERAL_RETRIEVAL_QA'
-  WHEN NOT prefer_low_price AND {HAS("question", C.SUBJECTIVE)} AND {HAS("question", C.SELECTION)} THEN 'RECOMMEND_COMPARATIVE'
-  WHEN (region AND {HAS("question", C.AMBIGUOUS_SCOPE)} AND NOT ex) OR ({HAS("question", C.UNSUPPORTED_QUALIFIERS)} AND NOT obj) OR {HAS("question", C.VAGUE_AMENITIES)} OR (area_band_label IS NOT NULL AND prefer_low_price) OR (area_band_label IS NOT NULL AND NOT obj AND NOT phrase)
-    OR (region AND {HAS("question", C.RECOMMEND)} AND plain) OR (region AND {HAS("question", C.VAGUE_SYNTAX)} AND plain) THEN 'RECOMMEND_STRUCTURED'
-  WHEN tagged AND {HAS("question", C.VAGUE_PLACES)} THEN 'RECOMMEND_COMPARATIVE' WHEN NOT prefer_low_price AND ({HAS("question", C.UNSUPPORTED_COMPARATIVE)} OR (tagged AND {HAS("question", C.UNSUPPORTED_COMPARATIVE_SYNTAX)})) THEN 'RECOMMEND_COMPARATIVE'
-  WHEN tagged AND {HAS("question", C.COMPARISON)} THEN 'RECOMMEND_COMPARATIVE' WHEN {HAS("question", C.RECOMMEND)} OR ex OR area_band_label IS NOT NULL OR region THEN 'RECOMMEND_STRUCTURED' ELSE 'GENERAL_RETRIEVAL_QA' END AS query_type,
-  array_to_string(tags, ',') AS tags, sigungu, dong FROM g"""
+  WHEN NOT prefer_low_price AND {HAS("question", C.SUBJECTIVE)} AND {HAS("question", C.SELECTION)} THEN 'RECOMMEND_COMPARATIVE' WHEN {_AMB} OR {_UNS} THEN 'RECOMMEND_STRUCTURED' WHEN {_VAGUE} OR {_UCMP} THEN 'RECOMMEND_COMPARATIVE'
+  WHEN tagged AND {HAS("question", C.COMPARISON)} THEN 'RECOMMEND_COMPARATIVE' WHEN {HAS("question", C.RECOMMEND)} OR ex OR area_band_label IS NOT NULL OR region THEN 'RECOMMEND_STRUCTURED' ELSE 'GENERAL_RETRIEVAL_QA' END AS query_type, {_AMB} AS amb, {_UNS} AS uns, {_VAGUE} OR {_UCMP} AS cannot FROM g)
+"""
 
 
 def _parsed(s, d):
     return route.parse(V.questions(s, d), L(s, d), V.knowledge(s), strict_band=True)
 
 
-@query(_ROUTE)
+@query(_ROUTE + " SELECT qid, query_type, array_to_string(tags, ',') AS tags, sigungu, dong FROM r")
 def route_query(s, d):
     return _parsed(s, d).select("qid", "query_type", F.array_join("tags", ",").alias("tags"), "sigungu", "dong")
 
 
-@query()
+_NL = "chr(10)"
+_LIT0 = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_TEXT = lambda x: f"CASE WHEN trim(CAST({x} AS VARCHAR)) NOT IN ('', 'nan', 'None', 'NULL', 'null') THEN trim(CAST({x} AS VARCHAR)) END"
+_HELD = ("households area supply_area price price_summary price_per_pyeong year station distance line_summary medical hospital lifestyle commute policy builder park description").split()
+_FIELDS_SQL = "list_concat(" * (len(C.LOOKUP_FIELDS) - 1) + ", ".join((f"CASE WHEN {HAS('question', words)} THEN [{', '.join(repr(n) for n in names)}] ELSE [] END" + (")" if i else "")) for i, (words, names) in enumerate(C.LOOKUP_FIELDS))
+_VALUE_SQL = "CASE x " + " ".join(f"WHEN '{f}' THEN {_TEXT('l.' + col)}" for f, col in C.FIELD_COLUMNS.items() if col in _HELD) + " END"
+_TAIL = f"'데이터 기준: ' || cutoff || {_NL} || '{C.DISCLOSURE_SCOPE}'"
+_WISH = "coalesce(prefer_park_hospital_access, false)", "coalesce(prefer_near_subway, false)", "coalesce(prefer_low_price, false)"
+_ANY = " OR ".join(_WISH)
+_INF = "CAST('infinity' AS DOUBLE)"
+_BY = f"""CASE WHEN {_WISH[0]} THEN coalesce(-l.park, {_INF}) ELSE 0 END, CASE WHEN {_WISH[0]} THEN coalesce(-l.hospital, {_INF}) ELSE 0 END, CASE WHEN {_WISH[1]} OR NOT ({_ANY}) THEN coalesce(l.distance, {_INF}) ELSE 0 END,
+  CASE WHEN {_WISH[2]} OR NOT ({_ANY}) THEN coalesce(l.price, {_INF}) ELSE 0 END, CASE WHEN NOT ({_ANY}) THEN coalesce(-l.households, {_INF}) ELSE 0 END, l.doc_id"""
+_HERE = "(r.sido IS NULL OR r.sido = l.sido) AND (r.sigungu IS NULL OR r.sigungu = l.sigungu) AND (r.dong IS NULL OR r.dong = l.dong)"
+_LIMITS = """(area_band_label IS NULL OR l.band = area_band_label) AND (price_max_manwon IS NULL OR l.price <= price_max_manwon) AND (distance_subway_max_m IS NULL OR l.distance <= distance_subway_max_m)
+  AND (exclusive_area_min IS NULL OR l.area >= exclusive_area_min) AND (move_in_year_min IS NULL OR l.year >= move_in_year_min) AND (households_min IS NULL OR l.households >= households_min)"""
+_BITS = f"concat_ws(', ', '역 ' || {_TEXT('l.station')}, {_TEXT('l.distance')} || 'm', '공급액 ' || {_TEXT('l.price')} || '만원', '전용 ' || {_TEXT('l.area')} || '㎡', {_TEXT('l.lifestyle')})"
+_SCORED = "CASE r.tags[1] WHEN '공원' THEN l.park WHEN '병원' THEN l.hospital WHEN '지하철' THEN l.subway END"
+_TOPS = lambda name, where, by, line: f"""{name}1 AS (SELECT qid, l.name AS n, l.doc_id AS d, {line} AS line, row_number() OVER (PARTITION BY qid ORDER BY {by}) AS o, row_number() OVER (PARTITION BY qid, l.name ORDER BY {by}) AS first FROM r JOIN qa_listing l ON {_HERE} AND {where}),
+{name}2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM {name}1 WHERE first = 1),
+{name} AS (SELECT qid, list(d ORDER BY rank) AS ids, string_agg('- ' || n || ': ' || line, {_NL} ORDER BY rank) AS lines FROM {name}2 WHERE rank <= 3 GROUP BY qid)"""
+_MEAN = f"'{C.FALLBACK}' || {_NL} || '판단 보류 항목: %s' || {_NL} || {_TAIL}"
+_ANSWERS = f"""{_ROUTE}, cut AS (SELECT coalesce(arg_min(cutoff, doc_id) FILTER (WHERE cutoff IS NOT NULL), '{C.NO_CUTOFF}') AS cutoff FROM listing),
+kb(kt, definition, fields, caution) AS (VALUES {", ".join("(" + ", ".join(_LIT0(x) for x in term) + ")" for term in V.TERMS)}),
+fl AS (SELECT qid, CASE WHEN len(f) = 0 THEN ['description'] ELSE list_filter(f, lambda x, i: list_position(f, x) = i) END AS fields FROM (SELECT qid, {_FIELDS_SQL} AS f FROM r WHERE query_type = 'APARTMENT_FACT_LOOKUP')),
+fact AS (SELECT r.qid, l.doc_id AS d, list_filter(list_transform(fl.fields, lambda x: x || ': ' || {_VALUE_SQL}), lambda x: x IS NOT NULL) AS lines FROM r JOIN fl USING (qid) JOIN (SELECT * FROM qa_listing QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id) = 1) l ON l.name = r.name WHERE query_type = 'APARTMENT_FACT_LOOKUP'),
+{_TOPS("st", f"query_type = 'RECOMMEND_STRUCTURED' AND NOT amb AND NOT uns AND {_LIMITS}", _BY, _BITS)},
+{_TOPS("cm", f"query_type = 'RECOMMEND_COMPARATIVE' AND NOT cannot AND {_SCORED} IS NOT NULL", f"{_SCORED} DESC, l.doc_id", f"CAST({_SCORED} AS VARCHAR)")},
+j AS (SELECT r.*, cutoff, kb.*, fact.d AS fact_doc, fact.lines AS facts, st.ids AS st_ids, st.lines AS st_lines, cm.ids AS cm_ids, cm.lines AS cm_lines FROM r CROSS JOIN cut LEFT JOIN kb ON r.query_type = 'REAL_ESTATE_KNOWLEDGE' AND kt = r.term LEFT JOIN fact ON fact.qid = r.qid LEFT JOIN st ON st.qid = r.qid LEFT JOIN cm ON cm.qid = r.qid WHERE r.query_type <> 'GENERAL_RETRIEVAL_QA'),
+k AS (SELECT qid, query_type, CASE query_type WHEN 'DATA_SCOPE_META' THEN 'meta_answer' WHEN 'REAL_ESTATE_KNOWLEDGE' THEN 'knowledge_answer' WHEN 'APARTMENT_FACT_LOOKUP' THEN 'apartment_fact_lookup' WHEN 'RECOMMEND_STRUCTURED' THEN CASE WHEN amb OR uns THEN 'unknown_response' WHEN st_ids IS NULL THEN 'no_match_response' ELSE 'recommendation' END
+    ELSE CASE WHEN cannot OR NOT tagged THEN 'unsupported_comparative_response' WHEN cm_ids IS NULL THEN 'unknown_response' ELSE 'comparison_recommendation' END END AS answer_type,
+  CASE query_type WHEN 'APARTMENT_FACT_LOOKUP' THEN [fact_doc] WHEN 'RECOMMEND_STRUCTURED' THEN coalesce(st_ids, []) WHEN 'RECOMMEND_COMPARATIVE' THEN coalesce(cm_ids, []) ELSE [] END AS ids,
+  CASE query_type WHEN 'DATA_SCOPE_META' THEN '데이터 기준: ' || cutoff || {_NL} || '{C.META_SCOPE}' || {_NL} || '{C.META_EXAMPLES}'
+    WHEN 'REAL_ESTATE_KNOWLEDGE' THEN '일반 설명: ' || definition || {_NL} || '우리 데이터에 연결 가능한 필드: ' || fields || {_NL} || '주의사항: ' || caution || {_NL} || '데이터 기준: ' || cutoff
+    WHEN 'APARTMENT_FACT_LOOKUP' THEN name || ' 정보입니다.' || {_NL} || CASE WHEN len(facts) > 0 THEN array_to_string(facts, {_NL}) ELSE '{C.NO_FACT}' END || {_NL} || '데이터 기준: ' || cutoff
+    WHEN 'RECOMMEND_STRUCTURED' THEN CASE WHEN amb THEN {_MEAN % "범위 표현"} WHEN uns THEN {_MEAN % "지원하지 않는 추천 표현"} WHEN st_ids IS NULL THEN '현재 데이터 기준(' || cutoff || ')으로 해당 조건에 맞는 아파트를 찾지 못했습니다.' || {_NL} || '조건을 완화하거나 지역, 예산, 거리 기준을 다시 지정해 주세요.' || {_NL} || {_TAIL} ELSE '조건에 맞는 아파트 후보입니다.' || {_NL} || st_lines || {_NL} || {_TAIL} END
+    ELSE CASE WHEN cannot THEN {_LIT0(chr(10).join(C.UNSUPPORTED_ANSWER))} || {_NL} || {_TAIL} WHEN NOT tagged THEN '비교 기준을 해석하지 못했습니다. 공원, 병원, 지하철, 학교처럼 명시적인 기준으로 다시 질문해 주세요.'
+      WHEN cm_ids IS NULL THEN '현재 데이터로는 ' || tags[1] || ' 기준 비교를 안전하게 판단할 수 없습니다.' || {_NL} || {_TAIL} ELSE '비교 기준: ' || tags[1] || {_NL} || cm_lines || {_NL} || {_TAIL} END END AS answer FROM j)
+SELECT qid, query_type, answer_type, CASE answer_type WHEN 'no_match_response' THEN 'NO_MATCH' WHEN 'unknown_response' THEN 'UNKNOWN' WHEN 'unsupported_comparative_response' THEN 'UNKNOWN' WHEN 'meta_answer' THEN 'KNOWN' WHEN 'knowledge_answer' THEN 'KNOWN' ELSE 'EXACT_MATCH' END AS match_status,
+  coalesce(ids[1], '') AS top_doc_id, array_to_string(ids, '|') AS cited_doc_ids, answer FROM k"""
+
+
+@query(_ANSWERS)
 def answer_questions(s, d):
-    return recommend.answers(_parsed(s, d), L(s, d), V.knowledge(s)).select("qid", "query_type", "answer_type", "match_status", "top_doc_id", F.array_join("cited_doc_ids", "|").alias("cited_doc_ids"), "answer")
+    listing = V.qa_listing(s, d)
+    return recommend.answers(route.parse(V.questions(s, d), listing, V.knowledge(s), strict_band=True), listing, V.knowledge(s)).select("qid", "query_type", "answer_type", "match_status", "top_doc_id", F.array_join("cited_doc_ids", "|").alias("cited_doc_ids"), "answer")
 
 
 @query("SELECT term, definition, '2023-09-05' AS data_cutoff FROM (VALUES " + ", ".join(f"('{t[0]}', '{t[1]}')" for t in V.TERMS) + ") AS t(term, definition)")

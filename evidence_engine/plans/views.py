@@ -65,12 +65,20 @@ _QUESTIONS = [
     "{r} 주변 아파트 뭐 있어", "데이터 기준 알려줘 {r}", "{r} 역 가까운 신축 아파트 찾아줘", "{r} 구역 공원 많은 데 비교해줘", "역세권 뜻이 뭐야 {r}", "{r} 전용면적 84.5 500세대 이상 후보", "지역 {r} 이야기", "{r} 가격 괜찮은 중형 보여줘",
 ]
 _ASKED = [q.replace("{r}", "' || n_name || '") for q in _QUESTIONS]
-QUESTIONS = "questions AS (" + " UNION ALL ".join(f"SELECT CAST(n_nationkey * 100 + {i} AS BIGINT) AS qid, '{q}' AS question FROM nation" for i, q in enumerate(_ASKED)) + ")"
+# A question a listing too, so that questions grow with the table: facts by name, limits without a region, comparisons.
+_OF_PART = [
+    "p_name || ' 전용면적과 세대수 알려줘'", "p_name || ' 가격 궁금'", "p_name || ' 지하철 정보'", "p_name || ' 병원이랑 공원 어때'", "p_name || ' 통근 정책 건설사 정보'", "'전체 ' || CAST(p_partkey % 23 AS STRING) || '억 이하 아파트 추천해줘'",
+    "'지하철 ' || CAST(p_partkey * 37 % 1500 AS STRING) || 'm 이내 신축 찾아줘'", "'전용 ' || CAST(p_partkey % 150 AS STRING) || ' 이상 ' || CAST(p_partkey % 3000 AS STRING) || '세대 이상 역 가까운 후보'", "p_name || ' 알려줘'",
+    "'공원과 병원 접근성 좋은 ' || CAST(p_partkey % 20 + 1 AS STRING) || '억 이하 추천'", "'가격 괜찮은 ' || CAST(p_partkey % 900 AS STRING) || 'm 이내 아파트 보여줘'", "p_brand || ' 공원 비교해줘'",
+]
+_ASKED_OF = "CASE " + " ".join(f"WHEN p_partkey % {len(_OF_PART)} = {i} THEN {q}" for i, q in enumerate(_OF_PART)) + " END"
+QUESTIONS = "questions AS (" + " UNION ALL ".join([f"SELECT CAST(n_nationkey * 100 + {i} AS BIGINT) AS qid, '{q}' AS question FROM nation" for i, q in enumerate(_ASKED)] + [f"SELECT CAST(p_partkey + 100000 AS BIGINT), {_ASKED_OF} FROM part"]) + ")"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.array(*(F.struct(F.lit(i).alias("i"), F.expr(f"'{q}'").alias("question")) for i, q in enumerate(_ASKED)))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.inline(made)).select((F.col("n_nationkey") * 100 + F.col("i")).cast("bigint").alias("qid"), "question")
+    of_nation = table(spark, sf_dir, "nation").select("n_nationkey", F.inline(made)).select((F.col("n_nationkey") * 100 + F.col("i")).cast("bigint").alias("qid"), "question")
+    return of_nation.unionByName(table(spark, sf_dir, "part").selectExpr("CAST(p_partkey + 100000 AS BIGINT) AS qid", f"{_ASKED_OF} AS question"))
 
 
 TERMS = [
