@@ -82,11 +82,16 @@ def monitor_verdict(warning_min: float = 10, stall_min: float = 20, avg_alert: f
     )
 
 
-def record_errors(records: DataFrame, most: int = 10) -> DataFrame:
-    """The first offending training records: missing keys, blank instruction or output, an input that is not empty."""
+def record_faults(records: DataFrame) -> DataFrame:
+    """All offending training records with what is wrong: missing keys, blank instruction or output, an input that is not empty."""
     blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     why = F.when(F.col("instruction").isNull() | F.col("input").isNull() | F.col("output").isNull(), "missing_key").when(blank("instruction"), "empty_instruction").when(blank("output"), "empty_output").when(F.col("input") != "", "input_not_empty")
-    return records.withColumn("error", why).where("error is not null").orderBy("ordinal").limit(most)
+    return records.withColumn("error", why).where("error is not null")
+
+
+def record_errors(records: DataFrame, most: int = 10) -> DataFrame:
+    """The first offending training records by their ordinal."""
+    return record_faults(records).orderBy("ordinal").limit(most)
 
 
 def disclosure_audit(pred: DataFrame, told: Column) -> DataFrame:

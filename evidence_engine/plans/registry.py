@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as K
 from ..functions import contracts as C
 from ..functions import derive as D
-from ..operators import context, curate, dictionary, evaluate, gates, generate, order, recommend, relational, retrieve, route
+from ..operators import audit, context, curate, dictionary, evaluate, gates, generate, order, recommend, relational, retrieve, route
 from . import views as V
 
 QUERIES: dict = {}
@@ -612,6 +612,37 @@ def final_selection(s, d):
     return curate.selection(curate.classified(_candidates(s, d))).select("source_dataset", "source_row_index", "sft_bucket", "split")
 
 
+# A release with planted breaches: training answers of every 29th source row are changed, every 41st valid record is missing,
+# and the summary declares one holdout row and one bucket row too many.
+_BREACH = f"""{_SELECTION.replace("SELECT source_dataset, source_row_index, bucket AS sft_bucket, CASE WHEN", ", sel AS (SELECT source_row_index, trim(question) AS question, trim(answer) AS answer, bucket AS sft_bucket, CASE WHEN")}),
+rec AS (SELECT split, question, CASE WHEN split = 'train' AND source_row_index % 29 = 0 THEN answer || '!' ELSE answer END AS answer FROM sel WHERE split = 'train' OR (split = 'valid' AND source_row_index % 41 <> 0)),
+declared AS (SELECT split, count(*) + CASE WHEN split = 'holdout_edge_safety' THEN 1 ELSE 0 END AS n FROM sel WHERE split <> 'excluded' GROUP BY 1),
+w(kind, split) AS (VALUES ('records', 'train'), ('records', 'valid'), ('candidates', 'train'), ('candidates', 'valid'), ('holdout', 'holdout_grounded_generation'), ('holdout', 'holdout_edge_safety')),
+c AS (SELECT split || '_' || kind AS check_name, coalesce((SELECT n FROM declared WHERE declared.split = w.split), 0) AS expected, CASE WHEN kind = 'records' THEN (SELECT count(*) FROM rec WHERE rec.split = w.split) ELSE (SELECT count(*) FROM sel WHERE sel.split = w.split) END AS actual FROM w),
+d AS (SELECT split, question, answer FROM (SELECT split, question, answer, 1 AS x FROM rec UNION ALL SELECT split, question, answer, -1 FROM sel WHERE split IN ('train', 'valid')) GROUP BY ALL HAVING sum(x) <> 0),
+b AS (SELECT 'train' AS split, count(DISTINCT sft_bucket) AS n FROM sel WHERE split = 'train' AND sft_bucket = 'safety_refusal')
+SELECT check_name, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, expected = actual AS passed FROM (SELECT * FROM c UNION ALL SELECT s || '_content', 0, (SELECT count(*) FROM d WHERE split = s) FROM (VALUES ('train'), ('valid')) AS t(s) UNION ALL SELECT 'train_buckets', 0, (SELECT n FROM b) UNION ALL SELECT 'valid_buckets', 0, 0)"""
+
+
+@query(_BREACH)
+def split_contract(s, d):
+    """The release of all candidates against a summary, with planted breaches."""
+    chosen = curate.selection(curate.classified(_candidates(s, d))).select("source_row_index", "question", "answer", "sft_bucket", "split")
+    row = c("source_row_index")
+    records = chosen.where("split = 'train' or split = 'valid'").where((c("split") == "train") | (row % 41 != 0)).select("split", "question", F.when((c("split") == "train") & (row % 29 == 0), F.concat("answer", F.lit("!"))).otherwise(c("answer")).alias("answer"))
+    summary = chosen.where("split <> 'excluded'").groupBy("split").agg(F.count("*").alias("n")).select(F.concat("split", F.lit("_rows")).alias("name"), (c("n") + F.when(c("split") == "holdout_edge_safety", 1).otherwise(0)).alias("rows"))
+    buckets = chosen.groupBy("split", "sft_bucket").agg(F.count("*").alias("n")).where("split in ('train', 'valid')").select("split", "sft_bucket", (c("n") + F.when((c("split") == "train") & (c("sft_bucket") == "safety_refusal"), 1).otherwise(0)).alias("rows"))
+    return audit.split_contract(records, chosen, chosen.where("split like 'holdout%'").select("split"), summary, buckets)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'missing_key' WHEN conv_id % 7 = 0 THEN 'empty_instruction' WHEN trim(text) = '' OR turn % 3 = 2 THEN 'empty_output' WHEN conv_id % 11 = 1 THEN 'input_not_empty' END AS error FROM conversations
+  WHERE turn % 5 = 4 OR conv_id % 7 = 0 OR trim(text) = '' OR turn % 3 = 2 OR conv_id % 11 = 1""")
+def record_errors(s, d):
+    """Training records made of all conversations, with missing keys, blanks and inputs planted."""
+    records = T(s, d, "conversations").select("conv_id", "turn", F.when(c("conv_id") % 7 == 0, " ").otherwise(c("role")).alias("instruction"), F.when(c("conv_id") % 11 == 1, "x").otherwise("").alias("input"), F.when(c("turn") % 5 != 4, F.when(c("turn") % 3 == 2, "").otherwise(c("text"))).alias("output"))
+    return gates.record_faults(records).select("conv_id", "turn", "error")
+
+
 @query(f"""{_CAND} SELECT question AS instruction, '' AS input, trim(answer) AS output FROM (SELECT trim(question) AS question, answer, bucket FROM bkt) WHERE bucket <> 'excluded'""")
 def training_records(s, d):
     return curate.training_records(curate.classified(_candidates(s, d)).where("include_in_sft"))
