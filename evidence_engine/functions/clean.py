@@ -78,7 +78,8 @@ def lowered(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalize(c), " "), lambda t: t != ""))
+    """The distinct words of the normalised text in order: runs of what ``normalize`` keeps, cut out in one pass."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), "[^0-9a-z가-힣]+"), lambda t: t != ""))
 
 
 def line_list(c: Column) -> Column:

@@ -8,8 +8,8 @@ contains the document's value of the boost's column. The index is two written ta
   cannot share more than n, so ``top``, the size of a block's largest document, bounds what any of the block
   can score; ``first`` is its smallest id.
 
-A search scores the largest documents and those of the smallest ids first; the k-th best of them is a question's
-threshold. By MaxScore, a document above it must have one of the question's rarest tokens, as many as the bound
+A search scores the largest documents, those of the smallest ids and those of the rarest tokens first; the k-th
+best of them is a question's threshold. By MaxScore, a document above it must have one of the question's rarest tokens, as many as the bound
 of all the others and the boosts together leave short of the threshold. Only their blocks are read, of those
 only the ones whose bound reaches the threshold, and documents are scored in full only if the rare tokens that
 they have make up for what may be missing. Frequent tokens are never looked up. Boosts are bounds in all this;
@@ -33,6 +33,8 @@ from .dictionary import contained
 #: Postings of a block, and documents of either kind that are scored first for a search of k.
 BLOCK = 1024
 HEADS = 16
+#: Rarest tokens of a question whose documents raise its threshold.
+PROBE = 3
 
 
 @dataclass
@@ -47,19 +49,22 @@ class Index:
 
 
 def build(docs: DataFrame, doc: str, content: str, boosts: dict[str, float] | None = None, scratch: Scratch | None = None) -> Index:
-    """The forward table: one pass over the texts."""
+    """The forward table: one pass over the texts. A table of fewer pieces than there are cores is dealt out first."""
     scratch = scratch or Scratch(docs.sparkSession, "impact")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     held = docs.select(F.col(doc).alias("doc"), tokens(F.col(content)).alias("tokens"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"boost_{i}") for i, c in enumerate(boosts or {})))
     held = held.withColumn("size", F.coalesce(F.size("tokens"), F.lit(0))).where("size > 0")
     return Index(scratch.settled(held), dict(boosts or {}), scratch)
 
 
 def blocks(index: Index, wanted: DataFrame) -> DataFrame:
-    """(token, top, first, docs of (doc, size)): the postings of the wanted (token, df), in blocks of at most about BLOCK."""
+    """(token, df, top, first, docs of (doc, size)): the postings of the wanted (token, df), in blocks of at most about BLOCK."""
     entry = index.forward.select("doc", "size", F.explode("tokens").alias("token")).join(wanted, "token")
     level = F.floor(F.log2(F.col("size").cast("double")) * 2).cast("int")  # sizes of a block differ by less than the root of two
     part = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("bigint"))
-    grouped = entry.groupBy("token", level.alias("level"), part.alias("part")).agg(F.max("size").alias("top"), F.min("doc").alias("first"), F.collect_list(F.struct("doc", "size")).alias("docs"))
+    grouped = entry.groupBy("token", level.alias("level"), part.alias("part")).agg(F.max("df").alias("df"), F.max("size").alias("top"), F.min("doc").alias("first"), F.collect_list(F.struct("doc", "size")).alias("docs"))
     return index.scratch.settled(grouped.drop("level", "part"))
 
 
@@ -90,10 +95,31 @@ def _by_tokens(questions: DataFrame, docs: DataFrame, index: Index) -> DataFrame
     return shared.join(questions.select("qid", "asked"), "qid").select("qid", "doc", (F.col("n") + _boosted(index)).alias("score"))
 
 
+def _scored(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, doc, score) of pairs. The questions' few tokens go to the documents, so that the long lists move once and are cut to a number where they are met."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not fewer: little data, but each row is work
+    wanted = pairs.join(asked.select("qid", "asked", "terms"), "qid").repartition(parts, "doc")
+    return index.forward.join(wanted, "doc").select("qid", "doc", (F.size(F.array_intersect("tokens", "terms")) + _boosted(index)).alias("score"))
+
+
+def _bounded(asked: DataFrame, best: DataFrame, k: int, most: float) -> DataFrame:
+    """Adds each question's threshold (least, last_doc) and how many of its rarest tokens lead to any document above it, and to an equal one of a smaller id."""
+    m = F.size("terms")
+    last = best.groupBy("qid").agg(F.max_by(F.struct("score", "doc"), "rank").alias("last"), F.count("*").alias("found"))
+    held = asked.join(last, "qid", "left").withColumns({"least": F.when(F.col("found") >= k, F.col("last.score")).otherwise(0.0), "last_doc": F.when(F.col("found") >= k, F.col("last.doc"))})
+    short = m + most - F.col("least")
+    held = held.withColumns({"above": F.least(m, F.greatest(F.lit(0), F.ceil(short).cast("int"))), "level": F.least(m, F.greatest(F.lit(0), (F.floor(short) + 1).cast("int")))})
+    return held.select("qid", "asked", "terms", "least", "last_doc", "above", "level")
+
+
+def _essential(held: DataFrame) -> DataFrame:
+    return held.select("qid", "least", "last_doc", "above", F.posexplode("terms").alias("place", "token"), "level").where("place < level")
+
+
 def search(index: Index, questions: DataFrame, k: int, *, qid: str, question: str, heads: int | None = None, block_report: list | None = None) -> DataFrame:
-    """(qid, rank, doc, score) of the k best documents with a score above zero, as a written table. ``block_report`` gets the pairs that were scored."""
+    """(qid, rank, doc, score) of the k best documents with a score above zero, as a written table. ``block_report`` gets the number of pairs that were scored."""
     scratch, most = index.scratch, index.most
-    asked = scratch.settled(questions.select(F.col(qid).alias("qid"), F.coalesce(F.col(question).cast("string"), F.lit("")).alias("asked"), F.coalesce(tokens(F.col(question)), F.array().cast("array<string>")).alias("terms")).where(F.size("terms") > 0))
+    asked = questions.select(F.col(qid).alias("qid"), F.coalesce(F.col(question).cast("string"), F.lit("")).alias("asked"), F.coalesce(tokens(F.col(question)), F.array().cast("array<string>")).alias("terms")).where(F.size("terms") > 0)
     vocabulary = asked.select(F.explode("terms").alias("token")).distinct()
     frequency = scratch.settled(index.forward.select(F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")))
     # Tokens that some document has, the rarest first.
@@ -103,27 +129,24 @@ def search(index: Index, questions: DataFrame, k: int, *, qid: str, question: st
     n = heads or HEADS * k
     head = scratch.settled(index.forward.orderBy(F.desc("size"), "doc").limit(n).unionByName(index.forward.orderBy("doc").limit(n)).distinct())
     first = scratch.settled(_best(_by_tokens(asked, head, index), k))
-    bound = first.groupBy("qid").agg(F.max_by(F.struct("score", "doc"), "rank").alias("last"), F.count("*").alias("found"))
-    m = F.size("terms")
-    held = asked.join(bound, "qid", "left").withColumns({
-        "least": F.when(F.col("found") >= k, F.col("last.score")).otherwise(0.0), "last_doc": F.when(F.col("found") >= k, F.col("last.doc")),
-    }).withColumns({"above": F.least(m, F.greatest(F.lit(0), F.ceil(m + most - F.col("least")).cast("int"))), "level": F.least(m, F.greatest(F.lit(0), (F.floor(m + most - F.col("least")) + 1).cast("int")))})
-    held = scratch.settled(held.select("qid", "asked", "terms", "least", "last_doc", "above", "level"))
+    held = scratch.settled(_bounded(asked, first, k, most))
+    posting = blocks(index, frequency.join(_essential(held).select("token").distinct(), "token", "left_semi"))
+    # The documents of a question's rarest tokens are the likeliest to be better: they raise the threshold before the rest is looked up.
+    probe = _essential(held).where((F.col("place") < PROBE) & (F.col("place") < F.col("above"))).join(posting.where(F.col("df") <= BLOCK), "token").select("qid", F.inline("docs")).select("qid", "doc").distinct()
+    second = _scored(index, probe, asked)
+    best = scratch.settled(_best(first.select("qid", "doc", "score").unionByName(second), k))
+    held = scratch.settled(_bounded(asked, best, k, most))
     # Tokens below ``above`` lead to any better document; the ones up to ``level`` also to equal ones of smaller ids.
-    essential = held.select("qid", "least", "last_doc", "above", F.posexplode("terms").alias("place", "token"), "level").where("place < level")
-    rare = frequency.join(essential.select("token").distinct(), "token", "left_semi")
-    posting = blocks(index, rare)
-    reach = F.col("top") + most >= F.col("least")
-    open_block = essential.join(posting, "token").where(reach & ((F.col("place") < F.col("above")) | (F.col("first") < F.col("last_doc"))))
-    pair = open_block.select("qid", "least", "place", "above", "last_doc", F.inline("docs")).where((F.col("size") + most >= F.col("least")) & ((F.col("place") < F.col("above")) | (F.col("doc") < F.col("last_doc"))))
+    least = F.col("least")
+    leads = lambda doc: (F.col("place") < F.col("above")) | (F.col(doc) < F.col("last_doc"))
+    open_block = _essential(held).join(posting, "token").where((F.col("top") + most >= least) & leads("first"))
+    pair = open_block.select("qid", "least", "place", "above", "last_doc", F.inline("docs")).where((F.col("size") + most >= least) & leads("doc"))
     seen = pair.groupBy("qid", "doc").agg(F.count("*").alias("n"))
     # What a document may have besides the rare tokens that were counted: the frequent ones and the boosts.
-    may = seen.join(held.select("qid", "least", F.size("terms").alias("m"), "level"), "qid").where(F.col("n") + F.col("m") - F.col("level") + most >= F.col("least")).select("qid", "doc")
-    may = scratch.settled(may)
+    may = scratch.settled(seen.join(held.select("qid", "least", F.size("terms").alias("m"), "level"), "qid").where(F.col("n") + F.col("m") - F.col("level") + most >= least).select("qid", "doc"))
     if block_report is not None:
-        block_report.append(may.count() + first.count())
-    full = index.forward.join(may, "doc").join(held.select("qid", "asked", "terms"), "qid").withColumn("score", F.size(F.array_intersect("tokens", "terms")) + _boosted(index)).select("qid", "doc", "score")
-    found = scratch.settled(_best(first.select("qid", "doc", "score").unionByName(full), k))
+        block_report.append(may.count() + probe.count() + first.count())
+    found = scratch.settled(_best(best.select("qid", "doc", "score").unionByName(_scored(index, may, asked)), k))
     if index.boosts:
         found = scratch.settled(_best(found.select("qid", "doc", "score").unionByName(_by_boosts(index, held, found, k)), k))
     return found.select("qid", "rank", "doc", "score")
