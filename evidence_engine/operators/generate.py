@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts as C
 from ..functions.clean import format_number, metric, nullify, number, strip
+from ..sources.scratch import Scratch
 from .relational import keep_one
 
 
@@ -165,19 +166,39 @@ def _filled(listing: DataFrame, block: int, kind: str, levels: tuple, pattern: s
 def edge_questions(listing: DataFrame, quotas: dict[str, int] = C.EDGE_QUOTAS) -> DataFrame:
     """(type, question, expected_doc, expected_field, …): what the data answers about its commonest places, the first of each question, filled up to the quotas of the types.
 
-    A question belongs to the first type that makes it, also where that one's quota leaves it out. Ties go to the smaller
-    id or value. An empty listing leaves the questions over no place and the fill with its stand-ins. All but the
+    A typed question belongs to the first type that makes it, also where that one's quota leaves it out; a fill question
+    only where the fill gets to it, else to a later type. Ties go to the smaller id or value. An empty listing leaves the questions over no place and the fill with its stand-ins. All but the
     aggregates by place is of a size that the fixed lists bound.
     """
     blocks = [_filled(listing, i, *block) for i, block in enumerate(C.EDGE_FILL)] + [_asked(listing, i, *block) for i, block in enumerate(C.EDGE_BLOCKS)]
     names = ("type", "question", "expected_field", "expected_router_type", "expected_match_status", "must_disclose_limit")
     fixed = [F.struct(F.array(F.lit(99 if at else 0), F.lit(i)).alias("ord"), *(F.lit(v).alias(n) for n, v in zip(names, (kind, *rest))), F.lit("").alias("expected_doc"), F.lit("Y").alias("must_not_recommend")) for i, (kind, at, *rest) in enumerate(C.EDGE_FIXED)]
     rows = reduce(DataFrame.unionByName, blocks + [listing.sparkSession.range(1).select(F.inline(F.array(*fixed)))])
-    by_type = F.create_map(*(x for i, k in enumerate(C.EDGE_QUOTAS) for x in (F.lit(k), F.lit(i))))[F.col("type")]
-    first = keep_one(rows.withColumns({"question": strip(F.col("question")), "__type": by_type}).where("question <> ''"), ["question"], ["__type", "ord"])
-    limit = F.coalesce(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])[F.col("type")], F.lit(0))
-    turn = F.row_number().over(Window.partitionBy("type").orderBy("ord"))
-    return first.withColumn("__n", turn).where(F.col("__n") <= limit).drop("__n", "__type", "ord")
+    ready = rows.withColumn("question", strip(F.col("question"))).where("question <> ''")
+    return first_come(ready, "question", "type", "ord", quotas, F.get("ord", F.lit(0)) < 100).drop("ord")
+
+
+def first_come(rows: DataFrame, key: str, kind: str, order: str, quotas: dict[str, int], claims: Column) -> DataFrame:
+    """Kinds in the quotas' order, each its first rows by order that no kind before it has, up to its quota; a written table.
+
+    Rows that claim are a kind's before the others, and their keys are gone for later kinds also where the quota
+    leaves them out. The others only fill what is left, and stop there: a key that no fill got to is free for the next
+    kind. A round a kind settles what it took; the rows that a round sorts are bounded by its quota.
+    """
+    scratch = Scratch(rows.sparkSession, "first-come")
+    own = scratch.settled(keep_one(rows.withColumn("__claims", claims), [kind, key], [order]))
+    gone = scratch.settled(own.limit(0).select(key))
+    taken = []
+    for name, quota in quotas.items():
+        mine = own.where(F.col(kind) == name).join(gone, key, "left_anti")
+        claimed = scratch.settled(mine.where("__claims"))
+        room = max(0, quota - claimed.count())
+        fill = scratch.settled(mine.where("not __claims").join(claimed.select(key), key, "left_anti").orderBy(order).limit(room))
+        taken += [claimed.orderBy(order).limit(quota), fill]
+        gone = scratch.settled(gone.unionByName(claimed.select(key)).unionByName(fill.select(key)))
+    out = scratch.settled(reduce(DataFrame.unionByName, taken).drop("__claims"))
+    scratch.clear(out)
+    return out
 
 
 def literal_records(spark, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:

@@ -770,10 +770,17 @@ def _edge_fill(block, kind, levels, pattern, words, field, router, refuse):
 
 
 _EDGE_SQL = (
-    f"WITH {V.QA_LISTING}, a AS (" + " UNION ALL ".join([x for i, block in enumerate(C.EDGE_BLOCKS) for x in _edge_block(i, *block)] + [_edge_fill(i, *block) for i, block in enumerate(C.EDGE_FILL)])
+    f"WITH {V.QA_LISTING}, a AS MATERIALIZED (" + " UNION ALL ".join([x for i, block in enumerate(C.EDGE_BLOCKS) for x in _edge_block(i, *block)] + [_edge_fill(i, *block) for i, block in enumerate(C.EDGE_FILL)])
     + "".join(f" UNION ALL SELECT {list(C.EDGE_QUOTAS).index(kind)}, [{99 if at else 0}, {i}], '{kind}', '{q}', '', '{field}', '{router}', '{status}', 'Y', '{tell}'" for i, (kind, at, q, field, router, status, tell) in enumerate(C.EDGE_FIXED))
-    + "), f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY kind, ord) AS n FROM a), g AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ord) AS turn FROM f WHERE n = 1)"
-    + " SELECT type, question, expected_doc, expected_field, expected_router_type, expected_match_status, must_not_recommend, must_disclose_limit FROM g WHERE turn <= CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.EDGE_QUOTAS.items()) + " END"
+    + "), s0 AS (SELECT '' AS question WHERE false)"
+    + "".join(
+        f", d{i} AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ord) AS n FROM a WHERE kind = {i}) WHERE n = 1 AND question NOT IN (SELECT question FROM s{i}))"
+        f", t{i} AS (SELECT * FROM d{i} WHERE question IN (SELECT question FROM a WHERE kind = {i} AND ord[1] < 100)), k{i} AS (SELECT * FROM t{i} ORDER BY ord LIMIT {most})"
+        f", f{i} AS (SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (ORDER BY ord) AS turn FROM d{i} WHERE question NOT IN (SELECT question FROM t{i})) WHERE turn <= {most} - (SELECT count(*) FROM t{i}))"
+        f", s{i + 1} AS (SELECT question FROM s{i} UNION ALL SELECT question FROM t{i} UNION ALL SELECT question FROM f{i})"
+        for i, most in enumerate(C.EDGE_QUOTAS.values())
+    )
+    + " SELECT type, question, expected_doc, expected_field, expected_router_type, expected_match_status, must_not_recommend, must_disclose_limit FROM (" + " UNION ALL ".join(f"SELECT * FROM k{i} UNION ALL SELECT * FROM f{i}" for i in range(len(C.EDGE_QUOTAS))) + ")"
 )
 
 

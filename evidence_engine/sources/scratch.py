@@ -17,21 +17,24 @@ class Scratch:
             root = "file://" + tempfile.mkdtemp(prefix="scratch-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.folder = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.written = 0
 
     def settled(self, df: DataFrame) -> DataFrame:
         """The same rows as a written table."""
-        path = f"{self.folder}/{len(self.paths)}"
+        path = f"{self.folder}/{self.written}"
+        self.written += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
     def clear(self, *but: DataFrame) -> None:
         """Deletes the tables of this run, except some."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        for key, path in list(self.paths.items()):
-            if key not in {id(b) for b in but}:
+        kept = [(table, path) for table, path in self.tables if any(table is b for b in but)]
+        for table, path in self.tables:
+            if not any(table is b for b in but):
                 at = hadoop(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-                del self.paths[key]
+        self.tables = kept

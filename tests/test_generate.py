@@ -1,6 +1,7 @@
 """Question templates: shared names, missing values and columns, fixed records, least size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidence_engine.operators import generate
 from evidence_engine.plans import views
@@ -92,3 +93,13 @@ def test_edge_quota_and_empty(spark):
     assert got == {"condition": 2 + 4, "comparison": 3 + 12, "multi_condition": 16, "region": 15 + 15 + 16 + 16, "vague": 5 + 96, "colloquial": 175}
     few = generate.edge_questions(empty, {"vague": 2, "colloquial": 0}).collect()
     assert [r.question for r in sorted(few, key=lambda r: r.question)] == ["괜찮은 아파트 추천해줘", "살기 좋은 단지 뭐 있어"]
+
+
+def test_first_come_gives_what_a_fill_leaves_to_later_kinds(spark):
+    from evidence_engine.operators import generate
+
+    rows = [("a", "q1", [1], True), ("a", "q2", [2], True), ("a", "q3", [3], True), ("a", "x", [100], False), ("b", "q3", [1], True), ("b", "q4", [2], True), ("b", "y", [100], False), ("b", "x", [101], False), ("b", "z", [102], False), ("c", "z", [5], True), ("c", "y", [6], True), ("c", "w", [100], False), ("c", "x", [101], False)]
+    df = spark.createDataFrame(rows, "kind string, q string, ord array<int>, claims boolean")
+    out = generate.first_come(df, "q", "kind", "ord", {"a": 2, "b": 2, "c": 3}, F.col("claims")).collect()
+    # a: q3 is claimed and cut; its fill has no room, so x stays free. b: q4, then y fills. c: z as b's fill never got to it, then w and x.
+    assert sorted((r.kind, r.q) for r in out) == [("a", "q1"), ("a", "q2"), ("b", "q4"), ("b", "y"), ("c", "w"), ("c", "x"), ("c", "z")]
