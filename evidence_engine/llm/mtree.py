@@ -12,7 +12,9 @@ Queries are a stated part of the rows and go to every block; each block answers
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors are compared
 with those of their own length only; rows of one id and equal vector are one; rows of the query's own id are
-never its candidates. Components count exactly while |floor(256 x)| is below 2^25.
+never its candidates. Scores are exact whatever the components: bounds and distances are floating-point with slack,
+scores of a block where a sum could leave 64 bits are summed in integers of any size. A component beyond 64 bits,
+or a score that a long cannot hold, is refused with an error.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ SLACK = 1e-6
 class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.v = ids, vectors.astype(np.int64)
-        self.longest = int((self.v**2).sum(axis=1).max(initial=0))
-        extra = np.sqrt(np.maximum(self.longest - (self.v**2).sum(axis=1), 0))
+        norms = (self.v.astype(float) ** 2).sum(axis=1)
+        self.longest = float(norms.max(initial=0))
+        extra = np.sqrt(np.maximum(self.longest - norms, 0))
+        self.widest = np.abs(self.v.astype(float)).max(axis=0, initial=0)
         self.x = np.column_stack([self.v.astype(float), extra]) if len(ids) else np.zeros((0, vectors.shape[1] + 1))
         self.computed = 0
         self.root = self._page(np.arange(len(ids)), np.random.default_rng(7)) if len(ids) else None
@@ -68,7 +72,8 @@ class MTree:
             return []
         q = q.astype(np.int64)
         x = np.append(q.astype(float), 0.0)
-        both = float((q**2).sum()) + self.longest
+        both = float((q.astype(float) ** 2).sum()) + self.longest
+        wide = bool(np.abs(q.astype(float)) @ self.widest >= 2.0**62)  # a sum may leave 64 bits
         slack = SLACK * max(1.0, both)
         best: list[tuple[int, int]] = []
         least = -np.inf
@@ -81,7 +86,7 @@ class MTree:
             if "points" in page:
                 at = page["points"][bound(np.abs(d - page["stored"])) >= least]
                 self.computed += len(at)
-                scores = self.v[at] @ q
+                scores = (self.v[at].astype(object) @ q.astype(object)) if wide else self.v[at] @ q
                 found = [(s, i) for s, i in zip(scores.tolist(), self.ids[at].tolist()) if s >= least and i != but]
                 if found:
                     best = heapq.nsmallest(k, best + found, key=lambda t: (-t[0], t[1]))
@@ -123,6 +128,8 @@ def _search(k: int):
                     tree = MTree(np.concatenate(ids), np.concatenate(vectors)) if ids else MTree(np.zeros(0, np.int64), np.zeros((0, rows.shape[1]), np.int64))
                 for i, q in zip(own[a:b].tolist(), rows):
                     out += [(i, vec, score) for score, vec in tree.top(q, k, but=i)]
+            if beyond := [s for _, _, s in out if abs(s) >= 1 << 63]:
+                raise OverflowError(f"a score of {beyond[0]} is beyond 64 bits")
             q, vec, score = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
@@ -130,10 +137,11 @@ def _search(k: int):
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the vectors that take part, each component floor(256 x)."""
+    """(id, v) of the vectors that take part, each component floor(256 x); an error where one is beyond 64 bits."""
     x = F.col(vector_col)
+    held = lambda c: F.when(F.abs(c) < 2.0**63, F.floor(c)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("bigint"))
     whole = x.isNotNull() & F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(c))
-    return vectors.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256)).alias("v")).distinct()
+    return vectors.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: held(c.cast("double") * 256)).alias("v")).distinct()
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
