@@ -127,7 +127,10 @@ def search(index: Index, questions: DataFrame, k: int, *, qid: str, question: st
     known = known.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
     asked = scratch.settled(asked.join(known, "qid", "left").withColumn("terms", F.coalesce(F.col("known.token"), F.array().cast("array<string>"))).drop("known"))
     n = heads or HEADS * k
-    head = scratch.settled(index.forward.orderBy(F.desc("size"), "doc").limit(n).unionByName(index.forward.orderBy("doc").limit(n)).distinct())
+    # Chosen by numbers alone, so that no task gathers the largest documents of all others; 2 n ids at most.
+    narrow = index.forward.select("doc", "size")
+    ids = narrow.orderBy(F.desc("size"), "doc").limit(n).unionByName(narrow.orderBy("doc").limit(n)).select("doc").distinct()
+    head = scratch.settled(index.forward.join(F.broadcast(ids), "doc", "left_semi"))
     first = scratch.settled(_best(_by_tokens(asked, head, index), k))
     held = scratch.settled(_bounded(asked, first, k, most))
     posting = blocks(index, frequency.join(_essential(held).select("token").distinct(), "token", "left_semi"))
