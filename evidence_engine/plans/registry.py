@@ -476,7 +476,7 @@ def eval_metrics(s, d):
 
 @query(f"""{PRED} SELECT count(*) AS total_questions, {_RATE("list_contains(string_split(cited_doc_ids, '|'), expected_doc)")} AS doc_hit_rate, {_RATE("list_contains(string_split(used_fields, '|'), expected_field)")} AS field_hit_rate,
   {_RATE("expected_router_type <> '' AND query_type = expected_router_type")} AS router_match_rate, {_RATE("match_status = expected_match_status")} AS match_status_match_rate,
-  1.0::DOUBLE AS must_not_recommend_pass_rate, round(CAST(count(*) FILTER (WHERE must_disclose_limit = 'Y' AND {_WORDS("answer")}) AS DOUBLE) / count(*) FILTER (WHERE must_disclose_limit = 'Y'), 6) AS must_disclose_limit_pass_rate,
+  round(CAST(count(*) FILTER (WHERE trim(must_not_recommend) = 'Y' AND top_doc_id = '') AS DOUBLE) / count(*) FILTER (WHERE trim(must_not_recommend) = 'Y'), 6) AS must_not_recommend_pass_rate, round(CAST(count(*) FILTER (WHERE must_disclose_limit = 'Y' AND {_WORDS("answer")}) AS DOUBLE) / count(*) FILTER (WHERE must_disclose_limit = 'Y'), 6) AS must_disclose_limit_pass_rate,
   {_RATE("insufficient_context")} AS insufficient_context_rate, round(avg(latency_ms), 6) AS avg_latency_ms FROM pred""")
 def edge_metrics(s, d):
     m = evaluate.edge_metrics(P(s, d)).drop("unsafe_recommendation", "disclosure_miss")
@@ -699,12 +699,12 @@ def run_verdict(s, d):
 
 
 _DOCS = "docs AS (SELECT 'D' || CAST(doc_id AS STRING) AS doc, text AS content FROM documents)"
-_CITED = f"""{PRED}, {_DOCS}, k AS (SELECT source_row_index, list_filter(list_transform(string_split(cited_doc_ids, '|'), lambda x: trim(x)), lambda x: x <> '')[:2] AS ids FROM pred WHERE role = 'user'),
+_CITED = f"""{PRED}, {_DOCS}, k AS (SELECT source_row_index, list_filter(list_transform(string_split(cited_doc_ids, '|'), lambda x: trim(x)), lambda x: x <> '')[:2] AS ids FROM pred),
 f AS (SELECT source_row_index, p AS pos, ids[p] AS doc, content FROM k, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS p) JOIN docs ON docs.doc = ids[p])"""
 
 
 def _cited(s, d):
-    rows = P(s, d).where("role = 'user'")
+    rows = P(s, d)
     docs = T(s, d, "documents").select(F.concat(F.lit("D"), c("doc_id").cast("string")).alias("doc"), c("text").alias("content"))
     return rows, context.cited_documents(rows, docs, key="source_row_index", cited="cited_doc_ids", doc="doc")
 

@@ -31,7 +31,7 @@ def _pick(expr: str, values: list[str]) -> str:
 
 _PRED = [
     "conv_id * 1000 + turn AS source_row_index",
-    f"substr(text, 1, 30) || {_pick('conv_id + turn', [' 소형 비교', ' 살기 좋은', '', ''])} AS question",
+    f"text || {_pick('conv_id + turn', [' 소형 비교', ' 살기 좋은', '', ''])} AS question",
     f"CASE WHEN (conv_id * 3 + turn) % 9 = 0 THEN '' ELSE text || {_pick('conv_id + turn', [' 데이터 기준일: 2023', ' 비교 기준', '', ' 판단 보류'])} END AS answer",
     f"{_pick('conv_id * 7 + turn', _TYPES)} AS answer_type", f"{_pick('conv_id + turn * 3', _STATUS)} AS match_status", f"{_pick('conv_id * 3 + turn', _ROUTERS)} AS query_type",
     f"{_pick('conv_id * 7 + turn + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END)', _TYPES)} AS expected_answer_type", f"{_pick('conv_id + turn * 3 + (CASE WHEN conv_id % 6 = 0 THEN 1 ELSE 0 END)', _STATUS)} AS expected_match_status",
@@ -39,8 +39,8 @@ _PRED = [
     "CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE 'D' || CAST(conv_id % 20 AS STRING) END AS top_doc_id",
     "CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE 'D' || CAST(conv_id % 20 AS STRING) || '|D' || CAST((conv_id + 7) % 20 AS STRING) || '| |D' || CAST(turn AS STRING) END AS cited_doc_ids",
     "'D' || CAST(conv_id % 17 AS STRING) AS expected_doc", "'F' || CAST(turn % 3 AS STRING) AS expected_field", "'F' || CAST(conv_id % 3 AS STRING) || '|F9' AS used_fields",
-    "substr(text, 5, 12) AS expected_answer", "CASE WHEN conv_id % 4 = 0 THEN NULL ELSE substr(text, 3, 6) END AS must_include", "CASE WHEN conv_id % 3 = 0 THEN 'zzz' ELSE '' END AS must_not_include",
-    "CASE WHEN conv_id % 3 = 0 THEN ' y ' WHEN conv_id % 3 = 1 THEN 'N' ELSE '?' END AS must_not_recommend", "CASE WHEN turn % 2 = 0 THEN 'Y' ELSE 'N' END AS must_disclose_limit",
+    "CASE WHEN (conv_id + turn) % 3 = 0 THEN text ELSE text || ' 외' END AS expected_answer", "CASE WHEN conv_id % 4 = 0 THEN NULL WHEN turn % 3 = 1 THEN text || ' ?!' ELSE '기준' END AS must_include", "CASE WHEN conv_id % 3 = 0 THEN 'zzz' ELSE '' END AS must_not_include",
+    "CASE WHEN conv_id % 6 = 0 THEN ' y ' WHEN conv_id % 3 = 0 THEN ' Y ' WHEN conv_id % 3 = 1 THEN 'N' ELSE '?' END AS must_not_recommend", "CASE WHEN turn % 2 = 0 THEN 'Y' ELSE 'N' END AS must_disclose_limit",
     "conv_id % 8 = 0 AS insufficient_context", "CAST((conv_id * 37 + turn * 11) % 30000 AS DOUBLE) AS latency_ms", "role",
 ]
 PRED = f"pred AS (SELECT {', '.join(_PRED)} FROM conversations)"

@@ -24,7 +24,7 @@ def docs(spark, tmp_path_factory):
 
 def cited(spark, d, texts):
     ids = {f"D{k}": v for k, v in texts.items()}
-    for r in views.predictions(spark, d).where("role = 'user'").collect():
+    for r in views.predictions(spark, d).collect():
         asked = [x.strip() for x in r.cited_doc_ids.split("|") if x.strip()][:2]
         yield r, [(x, ids[x]) for x in asked if x in ids]
 
