@@ -123,6 +123,17 @@ FIELD_COLUMNS = {
 }
 NO_FACT = "해당 항목 데이터가 없습니다"
 
+# What an answer says where a row may not recommend, has no documents and must say so, or has none at all.
+NO_RECOMMENDATION = "현재 데이터 기준으로는 추천을 확정해서 답변할 수 없습니다."
+NO_CONTEXT_LIMITED = ("현재 데이터 기준으로는 답변을 확정할 수 없습니다.", "데이터 기준: 제공된 문서 문맥 없음", "row contract top_doc_id: ", "row contract cited_doc_ids: ")
+NO_CONTEXT = "제공된 문서 문맥이 없어 답변을 생성하지 못했습니다."
+NONE_WORD = "없음"
+# The parts of the contextual instruction and of the output rules.
+INSTRUCTION = ("문맥만 사용. 추측 금지.", "추천 금지.", "끝에 '데이터 기준:'과 '답변 가능 범위:'를 그대로 쓰기.")
+OUTPUT_RULES = ("- 한국어로 답변", "- 제공된 문서 문맥 밖의 사실을 만들지 않기", "- 일반적인 부동산 조언이나 외부 검색 유도 금지")
+SUMMARY_RULE, CANDIDATE_RULE = "- 문서 설명을 3~5문장 grounded summary로 정리", "- 질문 조건에 맞는 후보 또는 제한 사유부터 바로 제시"
+LIMIT_RULES = ("- 추천 표현 금지, 데이터 한계 중심으로 설명", "- 반드시 '데이터 기준' 또는 '답변 가능 범위' 수준의 한계 고지 포함")
+
 # The nineteen question templates in order, (category, answer key, what follows the subject).
 QA_TEMPLATES = (
     ("fact", "fact_area", " 전용면적은 얼마야"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import contracts as C
 from ..functions.clean import clip, pipe_values, text
 from .relational import keep_one
 
@@ -45,3 +46,31 @@ def contextual(rows: DataFrame, found: DataFrame, *, key: str, content: str, bud
 def accepted(summary: DataFrame) -> DataFrame:
     """One row: whether a view has rows and none of them is beyond the budget."""
     return summary.agg(((F.count_if(F.col("status") == "kept") > 0) & (F.count_if(F.col("status") == "over_budget") == 0)).alias("accepted"))
+
+
+def instruction(must_not_recommend: Column, must_disclose: Column) -> Column:
+    """The contextual instruction: what always holds, and what a row's two flags add."""
+    base, no_recommendation, footer = map(F.lit, C.INSTRUCTION)
+    return F.concat_ws(" ", base, F.when(text(must_not_recommend) == "Y", no_recommendation), F.when(text(must_disclose) == "Y", footer))
+
+
+def output_rules(query_type: Column, must_not_recommend: Column, must_disclose: Column) -> Column:
+    """The rules for an output, a line each, by the kind of question and the two flags."""
+    shape = F.when(text(query_type) == "GENERAL_RETRIEVAL_QA", C.SUMMARY_RULE).otherwise(C.CANDIDATE_RULE)
+    return F.concat_ws("\n", *map(F.lit, C.OUTPUT_RULES), shape, F.when(text(must_not_recommend) == "Y", C.LIMIT_RULES[0]), F.when(text(must_disclose) == "Y", C.LIMIT_RULES[1]))
+
+
+def fallback_answer(found: Column, description: Column, data_date: Column, scope: Column, query_type: Column, must_not_recommend: Column, must_disclose: Column, top_doc: Column, cited: Column, most: int = 2) -> Column:
+    """What is answered without a model: from the first cited document that exists, or that there is none. found: whether one does; the others are null then."""
+    given = lambda c: F.nullif(text(c), F.lit(""))
+    tail = (F.concat(F.lit("데이터 기준: "), given(data_date)), F.concat(F.lit("답변 가능 범위: "), given(scope)))
+    told = F.nullif(F.concat_ws("\n", given(description), *tail), F.lit(""))
+    refuse, limited = text(must_not_recommend) == "Y", text(must_disclose) == "Y"
+    head, basis, top, ids = C.NO_CONTEXT_LIMITED
+    without = F.concat_ws("\n", F.lit(head), F.lit(basis), F.concat(F.lit(top), F.coalesce(given(top_doc), F.lit(C.NONE_WORD))), F.concat(F.lit(ids), F.coalesce(F.nullif(F.array_join(pipe_values(cited, most), "|"), F.lit("")), F.lit(C.NONE_WORD))))
+    return (
+        F.when(found & (text(query_type) == "GENERAL_RETRIEVAL_QA") & told.isNotNull(), told)
+        .when(found & refuse, F.concat_ws("\n", F.lit(C.NO_RECOMMENDATION), told))
+        .when(found & given(description).isNotNull(), told)
+        .when(limited | refuse, without).otherwise(C.NO_CONTEXT)
+    )

@@ -714,6 +714,33 @@ def context_docs(s, d):
     return _cited(s, d)[1].select("source_row_index", "n_docs", F.coalesce(F.array_join(c("docs.doc"), ","), F.lit("")).alias("docs"))
 
 
+_BARE = lambda x: f"nullif(CASE WHEN {x} IN ('nan', 'None', 'NULL', 'null') THEN '' ELSE {x} END, '')"
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_Y = lambda x: f"trim({x}) = 'Y'"
+_SAY = "nullif(concat_ws(chr(10), body, '데이터 기준: ' || dt, '답변 가능 범위: ' || sc), '')"
+
+
+@query(f"""{_CITED}, one AS (SELECT source_row_index, arg_min(doc, pos) AS doc FROM f GROUP BY 1),
+o AS (SELECT pred.*, k.ids, one.doc AS doc, {_BARE(_STRIP('documents.text'))} AS body, CASE WHEN doc_id % 4 <> 0 THEN '2023-09-05' END AS dt, CASE WHEN doc_id % 3 <> 0 THEN lang END AS sc FROM pred JOIN k USING (source_row_index) LEFT JOIN one USING (source_row_index) LEFT JOIN documents ON 'D' || CAST(doc_id AS STRING) = one.doc)
+SELECT source_row_index, CASE WHEN doc IS NOT NULL AND query_type = 'GENERAL_RETRIEVAL_QA' AND {_SAY} IS NOT NULL THEN {_SAY} WHEN doc IS NOT NULL AND {_Y('must_not_recommend')} THEN concat_ws(chr(10), '{C.NO_RECOMMENDATION}', {_SAY}) WHEN doc IS NOT NULL AND body IS NOT NULL THEN {_SAY}
+  WHEN {_Y('must_disclose_limit')} OR {_Y('must_not_recommend')} THEN concat_ws(chr(10), '{C.NO_CONTEXT_LIMITED[0]}', '{C.NO_CONTEXT_LIMITED[1]}', '{C.NO_CONTEXT_LIMITED[2]}' || coalesce(nullif(top_doc_id, ''), '{C.NONE_WORD}'), '{C.NO_CONTEXT_LIMITED[3]}' || coalesce(nullif(array_to_string(ids, '|'), ''), '{C.NONE_WORD}')) ELSE '{C.NO_CONTEXT}' END AS answer FROM o""")
+def fallback_answers(s, d):
+    """All predictions; documents have a date or a scope or neither."""
+    rows, i = P(s, d), c("doc_id")
+    docs = T(s, d, "documents").select(F.concat(F.lit("D"), i.cast("string")).alias("doc"), c("text").alias("description"), F.when(i % 4 != 0, "2023-09-05").alias("data_date"), F.when(i % 3 != 0, c("lang")).alias("scope"))
+    found = context.cited_documents(rows, docs, key="source_row_index", cited="cited_doc_ids", doc="doc")
+    first = F.get("docs", F.lit(0))
+    said = context.fallback_answer(c("n_docs") > 0, first["description"], first["data_date"], first["scope"], c("query_type"), c("must_not_recommend"), c("must_disclose_limit"), c("top_doc_id"), c("cited_doc_ids"))
+    return rows.join(found, "source_row_index").select("source_row_index", said.alias("answer"))
+
+
+@query(f"""{PRED} SELECT source_row_index, concat_ws(' ', {_LIT0(C.INSTRUCTION[0])}, CASE WHEN {_Y('must_not_recommend')} THEN {_LIT0(C.INSTRUCTION[1])} END, CASE WHEN {_Y('must_disclose_limit')} THEN {_LIT0(C.INSTRUCTION[2])} END) AS instruction,
+  concat_ws(chr(10), {", ".join(map(_LIT0, C.OUTPUT_RULES))}, CASE WHEN query_type = 'GENERAL_RETRIEVAL_QA' THEN {_LIT0(C.SUMMARY_RULE)} ELSE {_LIT0(C.CANDIDATE_RULE)} END, CASE WHEN {_Y('must_not_recommend')} THEN {_LIT0(C.LIMIT_RULES[0])} END, CASE WHEN {_Y('must_disclose_limit')} THEN {_LIT0(C.LIMIT_RULES[1])} END) AS rules FROM pred""")
+def contextual_rules(s, d):
+    flags = c("must_not_recommend"), c("must_disclose_limit")
+    return P(s, d).select("source_row_index", context.instruction(*flags).alias("instruction"), context.output_rules(c("query_type"), *flags).alias("rules"))
+
+
 @query()
 def contextual_input(s, d):
     """Over all documents and whole texts; tests hold it against brute force."""
