@@ -252,3 +252,13 @@ EDGE_FILL = (
     ("colloquial", (EDGE_REGION,), "%s %s %s", (EDGE_THEMES, EDGE_SNIPPETS), "질문 해석", "RECOMMEND_STRUCTURED", "Y"),
     ("colloquial", (EDGE_DONG,), "%s %s %s", (("아파트", "단지", "추천", "후보"), EDGE_SNIPPETS), "질문 해석", "RECOMMEND_STRUCTURED", "Y"),
 )
+
+# The knowledge records: term, definition, related fields, caution.
+TERMS = [
+    ("용적률", "대지면적 대비 건축물 연면적의 비율입니다. 일반적으로 높을수록 같은 땅에 더 많은 연면적이 들어간다는 뜻입니다.", "용적률", "단지별 실제 값은 데이터 기준일과 원본 수집 상태에 따라 다를 수 있습니다."),
+    ("건폐율", "대지면적 대비 건축면적의 비율입니다. 같은 부지에서 건물이 바닥을 얼마나 차지하는지 보여줍니다.", "건폐율", "일반 개념 설명이며, 단지별 값은 데이터 필드를 따로 확인해야 합니다."),
+    ("실거래가", "실제로 거래가 성사된 금액입니다. 시점에 따라 달라지므로 기준일이 매우 중요합니다.", "실거래가_최근값", "현재 저장소에 실거래가 필드가 없으면 개념만 설명하고 수치는 답하지 않습니다."),
+    ("시세", "일반적으로 시장에서 형성된 가격 수준을 의미합니다. 실거래가와 다를 수 있습니다.", "시세_기준일", "현재 저장소에 시세 필드가 없으면 개념만 설명하고 수치는 답하지 않습니다."),
+    ("평당가", "평 단위로 환산한 가격입니다. 단지 간 가격 수준을 비교할 때 자주 사용합니다.", "평당_공급액", "현재 단계에서는 공급액 기준 평당가를 사용합니다."),
+    ("역세권", "일반적으로 지하철역에 접근하기 쉬운 입지를 뜻합니다. 서비스에서는 역명, 거리, 환승 여부, 노선 수로 판단합니다.", "가장가까운역|거리_m|환승역여부|호선수", "서비스 내부 판단 기준은 거리와 환승/노선 정보를 기반으로 합니다."),
+]

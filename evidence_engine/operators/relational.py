@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,15 @@ def schema_diff(declared: list[str], read: list[str], written: list[str]) -> dic
     return {k: sorted(v) for k, v in kinds.items()}
 
 
+def set_classes(declared: DataFrame, read: DataFrame, written: DataFrame, name: str) -> DataFrame:
+    """(kind, names): the same seven classes of the distinct names of three frames, each class's names in order; classes without a name have none."""
+    sides = reduce(DataFrame.unionByName, (df.select(F.col(name).alias("name"), F.lit(1 << i).alias("bit")) for i, df in enumerate((declared, read, written))))
+    bits = sides.where(F.col("name").isNotNull()).groupBy("name").agg(F.bit_or("bit").alias("bits"))
+    kinds = {7: "all", 3: "declared_read", 5: "declared_written", 6: "read_written", 1: "declared_only", 2: "read_only", 4: "written_only"}
+    kind = F.coalesce(*(F.when(F.col("bits") == b, k) for b, k in kinds.items()))
+    return bits.groupBy(kind.alias("kind")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
 def unmatched_left(left: DataFrame, right: DataFrame, key: list[str], suffixes: tuple[str, str] = ("_pred", "_base")) -> DataFrame:
     """Left join with both sides' columns suffixed; the right side must be unique on the key."""
     a = left.withColumnsRenamed({c: c + suffixes[0] for c in left.columns if c not in key})

@@ -123,10 +123,15 @@ def entity_longest_match(s, d):
     return dictionary.longest_entries(q, n.select(F.lit("entry").alias("kind"), c("n_name").alias("entry")), "n_nationkey", "q", ["entry"])
 
 
-@query("SELECT 'all' AS kind, 'a' AS columns UNION ALL SELECT 'declared_read', 'b' UNION ALL SELECT 'declared_written', '' UNION ALL SELECT 'read_written', 'd' UNION ALL SELECT 'declared_only', 'c' UNION ALL SELECT 'read_only', '' UNION ALL SELECT 'written_only', 'e,f'")
+@query("""WITH p AS (SELECT p_partkey, p_brand || ' ' || CAST(p_size AS VARCHAR) AS name, p_retailprice FROM part), s AS (SELECT name, 1 AS bit FROM p WHERE p_retailprice < 1000 UNION ALL SELECT name, 2 FROM p WHERE p_retailprice > 1900 UNION ALL SELECT name, 4 FROM p JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity > 45),
+  b AS (SELECT name, bit_or(bit) AS bits FROM s WHERE name IS NOT NULL GROUP BY 1)
+  SELECT CASE bits WHEN 7 THEN 'all' WHEN 3 THEN 'declared_read' WHEN 5 THEN 'declared_written' WHEN 6 THEN 'read_written' WHEN 1 THEN 'declared_only' WHEN 2 THEN 'read_only' ELSE 'written_only' END AS kind, string_agg(name, ',' ORDER BY name) AS columns FROM b GROUP BY 1""")
 def schema_diff(s, d):
-    found = relational.schema_diff(["a", "b", "c"], ["a", "b", "d"], ["a", "d", "e", "f"])
-    return generate.literal_records(s, [(k, ",".join(v)) for k, v in found.items()], ["kind", "columns"])
+    """The seven classes of the brands and sizes that three sides name: cheap parts, dear parts, parts returned in large numbers."""
+    parts = T(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit(" "), c("p_size").cast("string")).alias("name"), "p_retailprice")
+    returned = T(s, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7 and l_quantity > 45").select(c("l_partkey").alias("p_partkey"))
+    found = relational.set_classes(parts.where("p_retailprice < 1000"), parts.where("p_retailprice > 1900"), parts.join(returned, "p_partkey", "left_semi"), "name")
+    return found.select("kind", F.array_join("names", ",").alias("columns"))
 
 
 @query("SELECT p_partkey, printf('APT_%06d', row_number() OVER (ORDER BY p_brand, p_partkey)) AS doc_id, row_number() OVER (ORDER BY p_brand, p_partkey) AS ordinal FROM part")
@@ -420,9 +425,16 @@ def answer_questions(s, d):
     return recommend.answers(route.parse(V.questions(s, d), listing, V.knowledge(s), strict_band=True), listing, V.knowledge(s)).select("qid", "query_type", "answer_type", "match_status", "top_doc_id", F.array_join("cited_doc_ids", "|").alias("cited_doc_ids"), "answer")
 
 
-@query("SELECT term, definition, '2023-09-05' AS data_cutoff FROM (VALUES " + ", ".join(f"('{t[0]}', '{t[1]}')" for t in V.TERMS) + ") AS t(term, definition)")
+@query(f"""WITH {V.LISTING}, t(term, definition) AS (VALUES {", ".join(f"('{t[0]}', '{t[1]}')" for t in V.TERMS)}), q AS (SELECT text AS x FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT n_name || term || ' 뜻' FROM nation, t)
+  SELECT term, definition, (SELECT arg_min(cutoff, doc_id) FROM listing WHERE cutoff IS NOT NULL) AS data_cutoff, (SELECT count(*) FROM q WHERE contains(x, term)) AS mentions FROM t""")
 def knowledge_base(s, d):
-    return V.knowledge(s).select("term", "definition", "data_cutoff")
+    """The knowledge records with the cutoff of the listings, and how many documents, turns and questions name each term."""
+    base = V.knowledge(s)
+    asked = T(s, d, "nation").select("n_name").crossJoin(F.broadcast(base.select("term"))).select(F.concat("n_name", "term", F.lit(" 뜻")).alias("text"))  # six terms
+    texts = T(s, d, "documents").select("text").unionByName(T(s, d, "conversations").select("text")).unionByName(asked).withColumn("row", F.monotonically_increasing_id())
+    named = dictionary.contained(texts, base.select(F.lit("term").alias("kind"), c("term").alias("entry")), "row", "text").groupBy(c("entry").alias("term")).agg(F.count("*").alias("mentions"))
+    cut = recommend.data_cutoff(L(s, d)).withColumnRenamed("cutoff", "data_cutoff")
+    return base.drop("data_cutoff").join(F.broadcast(cut)).join(named, "term", "left").select("term", "definition", "data_cutoff", F.coalesce("mentions", F.lit(0)).cast("bigint").alias("mentions"))
 
 
 # Retrieval
@@ -648,11 +660,17 @@ def training_records(s, d):
     return curate.training_records(curate.classified(_candidates(s, d)).where("include_in_sft"))
 
 
-@query("""SELECT 'dataset' AS source, 'train_rows' AS check_name, true AS passed UNION ALL SELECT 'dataset', 'valid_rows', false UNION ALL SELECT 'dataset', 'missing_contract_fields', true UNION ALL SELECT 'dataset', 'holdout_edge_safety_rows', true UNION ALL SELECT 'dataset', 'holdout_grounded_generation_rows', false
-  UNION ALL SELECT 'edge', 'must_not_recommend_pass_rate', true UNION ALL SELECT 'edge', 'must_disclose_limit_pass_rate', false UNION ALL SELECT 'edge', 'router_match_rate', true UNION ALL SELECT 'edge', 'match_status_match_rate', false UNION ALL SELECT 'edge', 'avg_latency_ms', true UNION ALL SELECT 'eval', 'answer_type_match_rate', true UNION ALL SELECT 'eval', 'match_status_match_rate', false""")
+_GATED = f"""WITH dataset AS (SELECT count(*) AS train_rows, (SELECT count(*) FROM labels) AS valid_rows, count(*) FILTER (WHERE text IS NULL OR text = '') AS missing_contract_fields, (SELECT count(*) FROM conversations) AS holdout_edge_safety_rows FROM documents), edge AS ({ORACLES["edge_metrics"]}), eval AS ({ORACLES["eval_metrics"]})
+""" + " UNION ALL ".join(f"SELECT '{s}' AS source, '{n}' AS check_name, coalesce({f'(SELECT {n} FROM {s})' if n != 'holdout_grounded_generation_rows' else 'NULL'}, 0) {op} {limit!r} AS passed" for n, s, op, limit in C.READINESS)
+
+
+@query(_GATED)
 def readiness_gate(s, d):
-    one = lambda **v: s.range(1).select(*(F.lit(x).alias(k) for k, x in v.items()))
-    checks = gates.readiness(one(train_rows=500, valid_rows=49, missing_contract_fields=5, holdout_edge_safety_rows=150), one(must_not_recommend_pass_rate=0.9, must_disclose_limit_pass_rate=0.89, router_match_rate=0.85), one(answer_type_match_rate=1.0))
+    """The checks over what the tables hold and the metrics of all predictions; a number that nobody gives counts as 0."""
+    docs = T(s, d, "documents").agg(F.count("*").alias("train_rows"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("missing_contract_fields"))
+    dataset = docs.join(T(s, d, "labels").agg(F.count("*").alias("valid_rows"))).join(T(s, d, "conversations").agg(F.count("*").alias("holdout_edge_safety_rows")))
+    p = P(s, d)
+    checks = gates.readiness(dataset, evaluate.edge_metrics(p), evaluate.eval_metrics(p.withColumn("expected_doc_id", c("expected_doc"))))
     return checks.select("source", c("check").alias("check_name"), "passed")
 
 
