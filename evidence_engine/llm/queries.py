@@ -25,5 +25,6 @@ ORACLES = {
     "op8_jaccard_rtree": jaccard.OP8_SQL,
     "op7_license_digest": licences.OP7_SQL,
     "op6_mtree": mtree.OP6_SQL,
+    "op11_induced_suffixes": repeats.OP11_SQL,
     "op13_infill_split": infill.OP13_SQL,
 }

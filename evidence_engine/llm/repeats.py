@@ -298,3 +298,19 @@ def op11(spark, sf_dir: str) -> DataFrame:
     S.discard(spark, *used)
     spark.sql(f"DROP TABLE {used[0]._scratch_table}")
     return named.join(found, "name").drop("name")
+
+
+#: Windows as 400 hexadecimal digits, cut out of stretches of 500 windows; runs of covered bytes; what stays between them.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, s, substr(x, 1000 * s + 1, 1398) AS part FROM d, LATERAL (SELECT unnest(range(0, (length(x) // 2 + 300) // 500)) AS s)),
+w AS (SELECT r, 500 * s + o AS i, md5(substr(part, 2 * o + 1, 400)) AS h FROM c, LATERAL (SELECT unnest(range(0, greatest(0, length(part) // 2 - 199))) AS o)),
+hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM hit),
+k AS (SELECT r, i, count(*) FILTER (WHERE p IS NULL OR i > p + 200) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+span AS (SELECT r, run, min(i) AS lo, max(i) + 200 AS hi FROM k GROUP BY r, run),
+cut AS (SELECT r, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM span GROUP BY r),
+j AS (SELECT doc_id, x, length(x) // 2 AS n, coalesce(los, []) AS los, coalesce(his, []) AS his FROM d LEFT JOIN cut USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(his), 0) - coalesce(list_sum(los), 0) AS BIGINT) AS n_removed, CAST(len(los) AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, len(los) + 1), lambda s: substr(x, 2 * (CASE WHEN s = 0 THEN 0 ELSE his[s] END) + 1, 2 * ((CASE WHEN s = len(los) THEN n ELSE los[s + 1] END) - (CASE WHEN s = 0 THEN 0 ELSE his[s] END)))), ''))) AS kept_sha256 FROM j
+"""
