@@ -33,6 +33,31 @@ def test_stages(spark, sf):
     assert mixing.MOST == 3
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
+
+
+def test_run_against_the_plain_tokenizer(spark, sf):
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    got = C.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf), "t")
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = Counter()
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want[(r.doc_id, len(ids), zlib.crc32(ids.tobytes()))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    upto = 0
+    for r in sorted(got, key=lambda r: r.start):  # ascending ids, one document after the other
+        assert r.start == upto
+        upto += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id for r in got)
