@@ -6,13 +6,15 @@ the bytes before, nearest first, with a Krichevsky-Trofimov estimator at every n
 The weighted probability of a node is half its own estimate and half the product of its children's, so a
 decision's probability mixes the estimates of all depths by their weight on the training texts.
 
-How it is spread: texts are dealt into chunks of about ``CHUNK`` bytes. Each chunk counts its distinct
-(context, byte) grams, and the counts are summed over the chunks; nothing of the corpus' statistics is
-capped, and grams that only other texts have join with count zero. The trees are computed in groups of the
+How it is spread: texts are dealt into chunks of about ``CHUNK`` bytes, a task each. Each chunk counts its
+distinct (context, byte) grams, and the counts are summed over the chunks; nothing of the corpus' statistics is
+capped, and grams that only other texts have join with count zero. A task that counts holds at most ``HELD``
+distinct grams and then gives out what it has, as counts of one gram in several rows add up all the same. The trees are computed in groups of the
 two nearest context bytes, of which there are 65,536; the largest holds the grams of the commonest byte pair
 (one or two hundredths of the distinct grams of prose). The two depths above are at most 65,280 nodes, which
 go to the driver and to all machines. Each gram's log-probability goes back to the chunks
-that have it, and meets their texts. Word counts of the base score take the same way.
+that have it, and the chunk's texts come after its grams in one sorted stream: a task holds the chunk's distinct
+grams and one batch of its texts. Word counts of the base score take the same way.
 
 Defined cases: null text is empty: its end byte and end token alone; without training texts every decision
 has probability 1/2; repeated rows are counted as often as they are there.
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 DEPTH, CHUNK, EDGE = 5, 48 << 20, 0xFF
-GRAM, WORD = 0, 1
+#: Distinct grams or words that a counting task holds, and bytes of the texts it looks at together.
+HELD, SLICE = 1 << 22, 1 << 20
+#: What a row of a chunk is. Texts come last.
+GRAM, WORD, TEXT = 0, 1, 2
 LOG10 = np.log(10.0)
 
 
@@ -97,16 +102,45 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], rows: int = 1 << 17) ->
         yield keys[new], np.add.reduceat(counts, new)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, held_out, text), sorted by chunk, to (chunk, kind, key, n): distinct keys and training counts."""
+class Counts:
+    """Keys with their counts from many small parts: merged whenever the parts outgrow what is merged already."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.merged = self.added = 0
+
+    def add(self, keys: np.ndarray, learns: bool) -> None:
+        if not len(keys):
+            return
+        k, n = np.unique(keys, return_counts=True)
+        self.parts.append((k, n if learns else np.zeros(len(k), np.int64)))
+        self.added += len(k)
+        if self.added > max(1 << 19, self.merged):
+            own = list(_merged(self.parts))
+            self.parts = [(np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own]))]
+            self.merged, self.added = len(self.parts[0][0]), 0
+
+    def taken(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of them, sorted, a range at a time. Nothing is held afterwards."""
+        parts, self.parts, self.merged, self.added = self.parts, [], 0, 0
+        if parts:
+            yield from _merged(parts)
+
+
+def _count(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(chunk, held_out, text), sorted by chunk, to (chunk, kind, key, n): distinct keys and training counts.
+
+    A key comes again in a chunk of more than ``most`` distinct ones.
+    """
     last = None
-    held: dict[int, list] = {GRAM: [], WORD: []}
+    held = {GRAM: Counts(), WORD: Counts()}
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            for keys, n in _merged(parts) if parts else ():
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
+        for kind, own in held.items():
+            if own.merged < least:
+                continue
+            for keys, n in own.taken():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), last, np.int32)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(S.signed(keys)), pa.array(n)], names=["chunk", "kind", "key", "n"])
-            held[kind] = []
 
     for batch in batches:
         chunk = batch.column(0).to_numpy()
@@ -115,18 +149,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a == b:
                 continue
             if last is not None and chunk[a] != last:
-                yield from flush()
+                yield from flush(0)
             last = int(chunk[a])
             out = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
             data, off = S.flat(batch.column(2).slice(a, b - a))
-            for i, j, part, o in S.slices(data, off):
-                for kind, (keys, first) in ((GRAM, grams(part, o)), (WORD, tokens(part, o))):
+            for i, j, part, o in S.slices(data, off, SLICE):
+                for kind, of in ((GRAM, grams), (WORD, tokens)):
+                    keys, first = of(part, o)
                     skip = np.repeat(out[i:j], np.diff(first))
-                    for own, learns in ((keys[~skip], True), (keys[skip], False)):
-                        if len(own):
-                            k, n = np.unique(own, return_counts=True)
-                            held[kind].append((k, n.astype(np.uint32) if learns else np.zeros(len(k), np.uint32)))
-    yield from flush()
+                    held[kind].add(keys[~skip], True)
+                    held[kind].add(keys[skip], False)
+                yield from flush(most)
+    yield from flush(0)
 
 
 class Group:
@@ -171,7 +205,7 @@ class Group:
         self.nodes = [np.concatenate(x) for x in zip(*nodes)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 18) -> Iterator[Group]:
+def _groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 17) -> Iterator[Group]:
     """Groups of (near, key, n) rows that come sorted by near: whole pairs of nearest bytes, together until there are enough grams."""
     last, held, keys, counts = None, 0, [], []
     for batch in batches:
@@ -219,7 +253,7 @@ def gram_logs(group: Group, top: dict[str, np.ndarray]) -> np.ndarray:
         for a, b, own in ((top["a1"][c1, prefix], top["b1"][c1, prefix], top["own1"][c1, prefix]), (top["a0"][prefix], top["b0"][prefix], top["own0"][prefix])):
             p = own * (np.where(bit, b, a) + 0.5) / (a + b + 1) + (1 - own) * p
         total += np.log10(p)
-    return np.minimum(total, -1e-300)  # a gram is told from a word by its sign
+    return total
 
 
 def _models(top):
@@ -230,52 +264,75 @@ def _models(top):
     return run
 
 
-def score_chunk(docs: pa.Table, keys: pa.Table, total: float, unseen: float, ends: float) -> pa.Table:
-    """A chunk's rows (id, held_out, chunk, text) with the values of all its grams (logarithms below 0) and words (counts).
+def _looked_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of many batches, sorted by key. Empties the list."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    key = np.concatenate([k for k, _ in parts])
+    val = np.concatenate([v for _, v in parts])
+    parts.clear()
+    order = np.argsort(key)
+    return key[order], val[order]
+
+
+def score_texts(rows: pa.StructArray, value: dict[int, tuple[np.ndarray, np.ndarray]], total: float, unseen: float, ends: float) -> Iterator[pa.RecordBatch]:
+    """Rows (id, held_out, text) of a chunk scored by the sorted values of all its grams (logarithms) and words (counts).
 
     total: training tokens; unseen: log10 of the base probability's denominator; ends: training texts.
     """
-    key, val = keys.column("key").to_numpy().view(np.uint64), keys.column("value").to_numpy()
-    del keys
-    value = {}
-    for k, own in ((GRAM, val < 0), (WORD, val >= 0)):
-        at = np.flatnonzero(own)
-        at = at[np.argsort(key[at])]
-        value[k] = (key[at], val[at])
-    del key, val, at
-    data, off = S.flat(docs.column("text"))
-    score, base, n_tokens, known = [], [], [], []
+    ids, held_out, text = rows.flatten()
+    data, off = S.flat(text)
     end_log = np.log10(ends + 1) - unseen
-    for _, _, part, o in S.slices(data, off):
+    for i, j, part, o in S.slices(data, off, SLICE):
         g, first = grams(part, o)
         run = np.concatenate(([0.0], np.cumsum(value[GRAM][1][np.searchsorted(value[GRAM][0], g)])))
-        score.append(run[first[1:]] - run[first[:-1]])
+        score = run[first[1:]] - run[first[:-1]]
         w, first = tokens(part, o)
         c = value[WORD][1][np.searchsorted(value[WORD][0], w)] if len(w) else np.zeros(0)
         run = np.concatenate(([0.0], np.cumsum(np.log10(c + 1) - unseen)))
-        base.append(run[first[1:]] - run[first[:-1]] + end_log)
+        base = run[first[1:]] - run[first[:-1]] + end_log
         seen = np.concatenate(([0], np.cumsum(c > 0)))
-        known.append(seen[first[1:]] - seen[first[:-1]] + int(ends > 0))
-        n_tokens.append(np.diff(first) + 1)
-    both = lambda x: pa.array(np.concatenate(x))
-    size = np.diff(off)
-    scores = np.concatenate(score)
-    return pa.table({
-        "doc_id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": both(n_tokens), "n_known": both(known), "train_tokens": pa.array(np.full(len(size), int(total))),
-        "base_score": both(base), "score": pa.array(scores), "bits_per_byte": pa.array(-scores / np.log10(2) / (size + 1)),
-    })
+        known = seen[first[1:]] - seen[first[:-1]] + int(ends > 0)
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": ids.slice(i, j - i), "held_out": held_out.slice(i, j - i), "n_tokens": pa.array(np.diff(first) + 1), "n_known": pa.array(known), "train_tokens": pa.array(np.full(j - i, int(total))),
+            "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / (np.diff(o) + 1)),
+        })
+
+
+def _scores(total: float, unseen: float, ends: float):
+    """(part, key, value, row), sorted by part = 3 * chunk + kind, to the scores of the texts: a chunk's values first, then its texts, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, value = None, {GRAM: [], WORD: []}, {}
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if a == b:
+                    continue
+                chunk, kind = divmod(int(part[a]), 3)
+                if chunk != last:
+                    last, value = chunk, {}
+                if kind != TEXT:
+                    held[kind].append((batch.column(1).to_numpy()[a:b].view(np.uint64).copy(), batch.column(2).to_numpy()[a:b].copy()))
+                    continue
+                if not value:
+                    value = {k: _looked_up(parts) for k, parts in held.items()}
+                yield from score_texts(batch.column(3).slice(a, b - a), value, total, unseen, ends)
+
+    return run
 
 
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, modulus: int = 7, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row."""
     spark = docs.sparkSession
-    S.arrow_batches(spark)
+    S.arrow_batches(spark, mb=8)
     rows = docs.select(F.col(id_col).alias("id"), (S.crc_mod(F.col(id_col), modulus) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
     size = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.count_if(~F.col("held_out")).alias("ends")).first()
     chunks = max(1, -(-(size.size or 0) // chunk_bytes))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    counted = dealt.select("chunk", "held_out", "text").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_count, "chunk int, kind int, key bigint, n bigint")
+    counted = dealt.select("chunk", "held_out", "text").repartitionById(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(S.trimmed(_count), "chunk int, kind int, key bigint, n bigint")
     counted = S.settled(counted, "ctw-counts")
     words = S.settled(counted.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "ctw-words")
     sums = words.where("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -284,14 +341,17 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     every = counted.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")).withColumn("near", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int"))
     every = S.settled(every.repartition("near").sortWithinPartitions("near"), "ctw-grams")
     grouped = every.select("near", "key", "n").repartition("near").sortWithinPartitions("near")
-    top = grouped.mapInArrow(_tops, "c1 int, prefix int, a double, b double, w double").groupBy("c1", "prefix").agg(*(F.sum(c).alias(c) for c in "abw"))
+    top = grouped.mapInArrow(S.trimmed(_tops), "c1 int, prefix int, a double, b double, w double").groupBy("c1", "prefix").agg(*(F.sum(c).alias(c) for c in "abw"))
     model = spark.sparkContext.broadcast(top_nodes(top.collect()))  # at most 256 * 255 rows
-    logs = S.settled(grouped.mapInArrow(_models(model), "key bigint, value double"), "ctw-model")
+    logs = S.settled(grouped.mapInArrow(S.trimmed(_models(model)), "key bigint, value double"), "ctw-model")
     values = logs.select(F.lit(GRAM).alias("kind"), "key", "value").union(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
-    back = counted.select("chunk", "kind", "key").join(values.hint("merge"), ["kind", "key"]).select("chunk", "key", "value")
+    part = lambda of: (F.col("chunk").cast("long") * 3 + of).alias("part")
+    back = counted.select("chunk", "kind", "key").join(values.hint("merge"), ["kind", "key"]).select(part(F.col("kind")), "key", "value", F.lit(None).alias("row"))
+    texts = dealt.select(part(TEXT), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), F.struct("id", "held_out", "text").alias("row"))
+    laid = back.union(texts).repartitionById(chunks, F.expr("int(part div 3)")).sortWithinPartitions("part")
     unseen = float(np.log10(total + vocabulary + 1))
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda d, k: score_chunk(d, k, total, unseen, ends), out)
+    return laid.mapInArrow(S.trimmed(_scores(total, unseen, ends)), out)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

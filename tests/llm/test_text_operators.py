@@ -375,6 +375,70 @@ def test_context_trees_match_a_plain_recursion(spark):
     assert ctw.scored(df.limit(0)).isEmpty()
 
 
+def test_context_tree_counting_holds_distinct_grams_only():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(48, 58, 1 << 20))) for _ in range(2)]
+    row = lambda t: pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([False]), pa.array([t])], names=["chunk", "held_out", "text"])
+    tracemalloc.start()
+    rows = [0, 0]
+    for batch in ctw._count(row(texts[i % 2]) for i in range(48)):
+        for kind in (ctw.GRAM, ctw.WORD):
+            rows[kind] += int(batch.column(3).to_numpy()[batch.column(1).to_numpy() == kind].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [48 * ((1 << 20) + 1), 48]
+    assert peak < 150e6  # 1.3 million distinct grams; 48 parts side by side take more
+
+
+def test_context_tree_counts_add_up_where_they_are_given_out_early():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts, held = ["".join(map(chr, rng.integers(97, 123, 200_000))) for _ in range(12)], [i % 5 == 2 for i in range(12)]
+    batch = lambda i: pa.RecordBatch.from_arrays([pa.array([i // 8], pa.int32()), pa.array([held[i]]), pa.array([texts[i]])], names=["chunk", "held_out", "text"])
+    once, often = (pa.Table.from_batches(ctw._count(map(batch, range(12)), most)) for most in (1 << 30, 1 << 10))
+    added = lambda t: t.group_by(["chunk", "kind", "key"]).aggregate([("n", "sum")]).sort_by([(c, "ascending") for c in ("chunk", "kind", "key")])
+    assert len(added(once)) == len(once) < len(often) and added(once).equals(added(often))
+
+
+def test_context_tree_scores_texts_before_the_last_is_read():
+    import pyarrow as pa
+
+    texts = [f"w{i} abc" * (i % 7) for i in range(40)]
+    data, off = S.flat(pa.array(texts))
+    key, word = (np.unique(of(data, off)[0]) for of in (ctw.grams, ctw.tokens))
+    none = pa.nulls(1, pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())]))
+    pulled = 0
+
+    def batches(size):
+        nonlocal pulled
+        for chunk in (4, 9):
+            for kind, keys in ((ctw.GRAM, key), (ctw.WORD, word)):
+                for k in np.random.default_rng(chunk).permutation(keys):  # as they come: in no order
+                    value = -float(k % 97) / 10 - 0.5 if kind == ctw.GRAM else float(k % 3)
+                    yield pa.RecordBatch.from_arrays([pa.array([3 * chunk + kind]), pa.array([k]).view(pa.int64()), pa.array([value]), none], names=["part", "key", "value", "row"])
+            for a in range(0, 40, size):
+                own = range(a, min(40, a + size))
+                pulled += 1
+                row = pa.StructArray.from_arrays([pa.array([100 * chunk + i for i in own]), pa.array([i % 2 == 0 for i in own]), pa.array([texts[i] for i in own])], names=["id", "held_out", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([3 * chunk + ctw.TEXT] * len(own)), pa.array([0] * len(own)), pa.array([0.0] * len(own)), row], names=["part", "key", "value", "row"])
+
+    whole = [r for b in ctw._scores(50.0, 2.0, 3.0)(batches(40)) for r in b.to_pylist()]
+    pulled, by_one = 0, []
+    for b in ctw._scores(50.0, 2.0, 3.0)(batches(1)):
+        by_one += b.to_pylist()
+        assert pulled == len(by_one)
+    assert [r["doc_id"] for r in whole] == [r["doc_id"] for r in by_one] == [100 * c + i for c in (4, 9) for i in range(40)]
+    for a, b, t in zip(whole, by_one, texts * 2):
+        g = ctw.grams(*S.flat(pa.array([t])))[0]
+        assert abs(a["score"] + sum(float(k % 97) / 10 + 0.5 for k in g)) < 1e-8 and abs(a["score"] - b["score"]) < 1e-8 and abs(a["base_score"] - b["base_score"]) < 1e-8
+        assert (a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["n_tokens"], b["n_known"], b["train_tokens"]) and a["n_tokens"] == len(re.findall(mixing.SIZE, t)) + 1
+
+
 def test_word_hashes_do_not_depend_on_place():
     raw = b"alpha beta alpha  gamma beta"
     data, off = np.frombuffer(raw, np.uint8), np.array([0, 11, len(raw)])
